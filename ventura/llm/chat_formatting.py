@@ -69,6 +69,10 @@ def _instruction(get) -> Column:
     return _pairs(("system", get("system", "string")), ("user", F.when(F.coalesce(more, F.lit("")) != "", F.concat(ask, F.lit("\n"), more)).otherwise(ask)), ("assistant", get("output", "string")))
 
 
+def _renamed(old: str, new: str):
+    return lambda t: F.struct(F.when(t["role"] == old, F.lit(new)).otherwise(t["role"]).alias("role"), t["text"].alias("text"))
+
+
 def _list_of(path: str, role: str, text: str):
     def turns(get) -> Column:
         return F.transform(get(path, f"array<struct<{role}:string,{text}:string>>"), lambda t: F.struct(t[role].alias("role"), t[text].alias("text")))
@@ -125,7 +129,7 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     for layout in [x for x in LAYOUTS if x.turns is not None]:
         made = layout.turns(get)
         for old, new in layout.roles.items():
-            made = F.transform(made, lambda t, old=old, new=new: F.struct(F.when(t["role"] == old, F.lit(new)).otherwise(t["role"]).alias("role"), t["text"].alias("text")))
+            made = F.transform(made, _renamed(old, new))
         turns = F.when(F.col("layout") == layout.name, made.cast(TURN)).otherwise(turns)
     return rows.select("conv_id", "layout", F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", "layout")
 

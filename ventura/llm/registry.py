@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ventura.llm import chat_formatting, exact_dedup
+from ventura.llm import bpe, chat_formatting, exact_dedup, line_dedup, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_chat_formatting": chat_formatting.op1_chat_formatting,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op6_packing": packing.op6_packing,
+        "op7_bpe": bpe.op7_bpe,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
