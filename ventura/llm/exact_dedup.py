@@ -175,7 +175,9 @@ def dedup(docs: DataFrame, is_snapshot: Column, id_col: str = "doc_id", text_col
     # Byte check of every row whose digest is shared, against its group's best row.
     texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("cp")).withColumn("digest", digest(F.col("norm")))
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    members = texts.join(shared.select("digest", "n", "best"), "digest").withColumn("salt", F.pmod(F.xxhash64("id", "cp"), salts).cast("int"))
+    # Shared digests grow with the table, so they are never broadcast: texts are dealt by digest, few go on.
+    members = texts.join(shared.select("digest", "n", "best").hint("shuffle_hash"), "digest").withColumn("salt", F.pmod(F.xxhash64("id", "cp"), salts).cast("int"))
+    members = cut(members, "members")
     lead = members.filter((F.col("id").eqNullSafe(F.col("best.id"))) & (F.col("cp") == -F.col("best.order")))
     lead = lead.groupBy("digest").agg(F.min("norm").alias("lead"), F.max("n").alias("n")).select("digest", "lead", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT_ROWS).cast("int") - 1)).alias("salt"))
     checked = members.join(lead, ["digest", "salt"]).select("digest", "id", "cp", F.when(F.col("norm") != F.col("lead"), F.col("norm")).alias("other"))
