@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ventura.llm import bpe, chat_formatting, exact_dedup, line_dedup, packing, quality_rules
+from ventura.llm import bpe, chat_formatting, exact_dedup, license_scan, line_dedup, packing, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_chat_formatting": chat_formatting.op1_chat_formatting,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op7_bpe": bpe.op7_bpe,
+        "op9_license_scan": license_scan.op9_license_scan,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
