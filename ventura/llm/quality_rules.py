@@ -32,10 +32,10 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the counts and shares of FEATURES for each row's whole text."""
+def statistics(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (a column or the name of one) and the counts and shares of FEATURES for each row's whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
+    rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), text.alias("t")).select(
         "id",
         "t",
         F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
@@ -199,12 +199,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, sample_ro
     return sorted((r.asDict() for r in made.collect()), key=lambda r: r["order"])
 
 
+def _judged(docs: DataFrame, rules: list[Rule], id_col: str | Column, text_col: str) -> DataFrame:
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    made = statistics(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("rule", verdict(rules))
+    return made.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the counts, base_failed, rule (number of the learned rule that rejects it) and kept."""
-    made = statistics(docs, id_col, text_col)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    made = made.withColumn("base_failed", failed).withColumn("rule", verdict(rules))
-    return made.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"))
+    made = _judged(docs, rules, id_col, text_col)
+    return made.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns: the row travels as a struct beside its statistics."""
+    made = _judged(docs, rules, F.struct("*"), text_col)
+    return made.filter("kept").select("id.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ventura.llm import bpe, chat_formatting, exact_dedup, license_scan, line_dedup, packing, quality_rules, token_counts, toxicity
+from ventura.llm import bpe, chat_formatting, exact_dedup, license_scan, line_dedup, ngram_jaccard, packing, quality_rules, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op7_bpe": bpe.op7_bpe,
+        "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }

@@ -34,11 +34,12 @@ SAMPLE_ROWS, MAX_WORDS, FOLDS = 20_000, 2_000, 5
 #: Letters that a character is used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e"}
 #: Costs of a letter for another character, of leaving out a letter of a run of three or more or of a pair, any character, a separator.
-SUBSTITUTE, RUN, PAIR, DROP, SEPARATOR = 0.5, 0.3, 3.0, 9.0, 0.3
+SUBSTITUTE, RUN, PAIR, DROP, SEPARATOR = 0.5, 0.3, 6.0, 9.0, 0.3
 CACHED = 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _ODD = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!+|(€])|([a-z])\1\1|[a-z][.\-_*~'][a-z][.\-_*~']", re.S)
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}[^\W_](?![^\W_])){3,}")
+_LEADING = re.compile(r"[@$!][a-z]{2}")
 _PLAIN = re.compile(r"[a-z]+")
 
 
@@ -85,7 +86,7 @@ class Restorer:
     def word(self, token: str) -> str:
         t = token.lower()
         core = t.strip(_EDGES)
-        if core.isalpha() and not _ODD.search(core):
+        if core.isalpha() and not _ODD.search(core) and not _LEADING.match(t):
             return core
         # symbols at the edges can be letters of the word ($tupid), so they stay for decoding if they are in LEET
         own = t.strip("".join(c for c in _EDGES if c not in "@$!+|("))
@@ -226,6 +227,17 @@ def score(docs: DataFrame, model: CharModel, judge: Model, id_col: str = "doc_id
     return made.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_listed")
 
 
+def keep_clean(docs: DataFrame, model: CharModel, judge: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` scored under 0.5, with their columns; the rows are judged where they are, without a join."""
+
+    def verdicts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Restorer(model)
+        for batch in texts:
+            yield pd.Series([judge.score(own.words(t or "")) < 0.5 for t in batch], dtype=bool)
+
+    return docs.filter(F.pandas_udf(verdicts, "boolean")(F.col(text_col)))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, Model]:
     model = CharModel(char_counts(docs))
     return model, train(docs, labels, model)
