@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ventura.session import ship
+
 #: Deleted by the normalisation of exact matching, and the separators of words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder. As every operator begins here, the package is sent to the workers here too."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
