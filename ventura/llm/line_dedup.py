@@ -29,8 +29,12 @@ def _rotate(h: Column, by: int) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row as a struct, so that no name clashes, with its key (id and hash of the text) and lines."""
-    return docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("th"), F.split(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), "\n").alias("lines"))
+    """The row as a struct, so that no name clashes, with its key (id and hash of the text)."""
+    return docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{id_col}").alias("id"), F.xxhash64(f"row.{text_col}").alias("th"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def chunks(keyed: DataFrame) -> DataFrame:
@@ -57,14 +61,16 @@ def chunks(keyed: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` with its columns and the repeated chunks gone from the text; ``report`` adds n_lines, removed_lines, removed_chunks."""
     keyed = _keyed(docs, id_col, text_col)
-    found = cut(chunks(keyed), "chunks")
+    text = F.col(f"row.{text_col}")
+    found = cut(chunks(keyed.select("id", "th", _lines(text).alias("lines"))), "chunks")
     repeated = found.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "start")).alias("first")).filter("copies > 1")
     places = found.join(repeated, "h")
     is_first = F.struct("id", "th", "start").eqNullSafe(F.col("first"))
     wanted = places.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "h", "copies", is_first.alias("is_first"))).alias("places"))
     # distinct: rows equal in id and text give their chunks once
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    texts = keyed.select("id", "th", "lines").alias("d").join(wanted.alias("w"), same(_Side("d"), _Side("w"))).select("d.id", "d.th", "d.lines", F.explode("w.places").alias("p"))
+    # Lines are split after the joins, so the text alone is dealt out.
+    texts = keyed.select("id", "th", text.alias("text")).alias("d").join(wanted.alias("w"), same(_Side("d"), _Side("w"))).select("d.id", "d.th", _lines(F.col("d.text")).alias("lines"), F.explode("w.places").alias("p"))
     texts = texts.select("id", "th", "p.*", F.array_join(F.slice("lines", F.col("p.start") + 1, F.col("p.n")), "\n").alias("chunk"))
     texts = cut(texts, "repeated")
     salts = F.ceil(F.col("copies") / SALT_ROWS).cast("int")
@@ -72,12 +78,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = texts.filter("NOT is_first").withColumn("salt", F.pmod(F.xxhash64("id", "th", "start"), salts).cast("int"))
     gone = others.join(first, ["h", "salt"]).filter(F.col("chunk") == F.col("first_chunk")).select("id", "th", "start", "n").distinct()
     gone = gone.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    out = keyed.alias("d").join(gone.alias("g"), same(_Side("d"), _Side("g")), "left").select("d.row", "d.lines", F.col("g.gone").alias("gone"))
+    out = keyed.alias("d").join(gone.alias("g"), same(_Side("d"), _Side("g")), "left").select("d.row", _lines(F.col(f"d.row.{text_col}")).alias("lines"), F.col("g.gone").alias("gone"))
     dropped = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
     out = out.withColumn("dropped", dropped)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))
-    text = F.when(F.col("dropped").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(kept, "\n"))
-    names = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    cleaned = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    names = [cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if report:
         names += [F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks")]
     return out.select(*names)
