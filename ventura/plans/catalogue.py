@@ -25,8 +25,26 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLES)
+
+
+def plan(name: str, sql: str | None = None, *views: str):
+    """As ``query``, for a function of the ``Tables`` of a folder; the oracle gets the views it reads in front."""
+    from ventura.plans.model import Tables, oracle
+
+    def add(fn):
+        query(name, oracle(sql, *views) if sql else None)(lambda spark, sf_dir: fn(Tables(spark, sf_dir)))
+        return fn
+
+    return add
+
+
+def load() -> None:
+    """Import the plan modules, which register themselves."""
+    from ventura.plans import aggregates, joins, merges, reports, scalars, statistics, streams, windows  # noqa: F401
