@@ -32,40 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventura.llm.common import cut, table
+from ventura.llm.hashing import BASE, M1, mix, word_hashes
 
 SKETCH_BITS, POSITION_BLOCK, ROUNDS, BLOCK_ROWS = 18, 8, 2, 64
 BATCH_BYTES = 4 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts that lie end to end in ``data``, and the text each belongs to."""
-    inside = ~_BLANK[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    begins = offsets[:-1][offsets[:-1] < len(data)]
-    first[begins] = inside[begins]  # a word ends with its text
-    start = np.flatnonzero(first)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(inside)
-    word = np.cumsum(first[at]) - 1
-    place = at - start[word]
-    power = np.cumprod(np.full(int(place.max()) + 1, _BASE))
-    value = (_LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * power[place]
-    size = np.bincount(word, minlength=len(start)).astype(np.uint64)
-    sums = np.add.reduceat(value, np.flatnonzero(first[at]))
-    return _mix(sums + size * _M2), np.searchsorted(offsets, start, side="right") - 1
 
 
 def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -78,18 +48,19 @@ def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BATCH_BYTES, side="right")) - 1)
         own = offsets[lo : hi + 1] - offsets[lo]
         with np.errstate(over="ignore"):
-            words, text = _word_hashes(data[offsets[lo] : offsets[hi]], own)
+            words, start, _ = word_hashes(data[offsets[lo] : offsets[hi]], own)
+            text = np.searchsorted(own, start, side="right") - 1
             bounds = np.searchsorted(text, np.arange(hi - lo + 1))
             grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
             for k in range(n):
-                grams = _mix(grams + words[k : len(words) - n + 1 + k] * (_BASE + np.uint64(2 * k)))
+                grams = mix(grams + words[k : len(words) - n + 1 + k] * (BASE + np.uint64(2 * k)))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b - a >= n:
                     yield np.unique(grams[a : b - n + 1])
                 elif b > a:
                     whole = np.uint64(b - a)
                     for h in words[a:b]:
-                        whole = _mix(np.array([whole + h * _BASE], np.uint64))[0]
+                        whole = mix(np.array([whole + h * BASE], np.uint64))[0]
                     yield np.array([whole], np.uint64)
                 else:
                     yield grams[:0]
@@ -128,7 +99,7 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataF
             for s in text_sets(batch.column("text"), n):
                 with np.errstate(over="ignore"):
                     k1.append(s.sum(dtype=np.uint64))
-                    k2.append(np.bitwise_xor.reduce(_mix(s + _M1)))
+                    k2.append(np.bitwise_xor.reduce(mix(s + M1)))
                 sizes.append(len(s))
                 order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 heads.append(s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s)

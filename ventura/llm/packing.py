@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventura.llm.common import table
-from ventura.llm.memo import Memo
+from ventura.llm.hashing import word_hashes
+from ventura.llm.memo import HashMemo, Memo
 
 CAPACITY, END_ID = 4096, 2
 SENTENCE_CUT, HARD_CUT, HARD_STEP, SEQUENCE_COST = 8.0, 96.0, 256, 1.0
 #: Windows of a power of two below this are left to the end of a partition.
 LEAST_POWER = 256
 BLOCK = 1 << 20
-CACHED_CHUNKS, CACHED_PIECES = 250_000, 400_000
+CACHED_CHUNKS, CACHED_PIECES = 2_000_000, 500_000
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -44,9 +45,10 @@ _encoders: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Ids of texts by a lower-casing tokenizer that drops white space, such as word_bpe_49k.
 
-    Two memos keep the tokenizer's work to distinct strings: chunks between white space, and below them the pieces its
-    pre-tokenizer makes of a chunk. Chunks with characters from U+0250 on or with special tokens go to the tokenizer
-    whole. A memo is emptied when it has grown beyond CACHED_CHUNKS or CACHED_PIECES entries.
+    Two memos keep the tokenizer's work to distinct strings: chunks between blanks, known by the 64-bit hash of their
+    lower-cased bytes, and below them the pieces its pre-tokenizer makes of a chunk. Chunks with characters from U+0250
+    on go to the tokenizer whole, and so do texts with ``<|``, where special tokens begin. A memo is emptied when it has
+    grown beyond CACHED_CHUNKS or CACHED_PIECES entries.
     """
 
     #: The pre-tokenizer's pattern (a fixed value of the tokenizer file).
@@ -58,11 +60,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = min(special.items())
-        self.odd = re.compile("[^\x00-\u024f]|" + "|".join(map(re.escape, special)))
+        self.mark, self.mark_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.odd = re.compile("[^\x00-\u024f]")
         self.sentence_ids = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and re.fullmatch(r"[.!?\"')]*[.!?][.!?\"')]*", t.removesuffix("</w>"))), dtype=np.int64)
-        self.chunks, self.pieces = Memo(), Memo()
+        self.chunks, self.pieces = HashMemo(), Memo()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -75,30 +76,46 @@ class ChunkEncoder:
             at = np.flatnonzero(ids == self.mark_id)
             self.pieces.add(part, np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1, np.delete(ids, at))
 
-    def _learn(self, new: list[str]) -> None:
-        odd = [c for c in new if self.odd.search(c)] if self.odd.search(" ".join(new)) else []
-        if odd:
-            whole = [self._ids(c) for c in odd]
-            self.chunks.add(odd, np.array([len(x) for x in whole]), np.concatenate(whole))
-            new = sorted(set(new).difference(odd))
-        rows = [self.PIECE.findall(c) for c in " ".join(new).lower().split(" ")] if new else []
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
+        """Chunks by their keys, which are sorted."""
+        joined = " ".join(new)
+        rows = [self.PIECE.findall(c) for c in joined.lower().split(" ")]
+        odd = [i for i, c in enumerate(new) if self.odd.search(c)] if self.odd.search(joined) else []
+        for i in odd:
+            rows[i] = []
         if len(self.pieces.at) > CACHED_PIECES:
             self.pieces = Memo()
         if unknown := set(chain.from_iterable(rows)).difference(self.pieces.at):
-            self._learn_pieces(sorted(unknown))
-        if new:
-            flat, ends = self.pieces.gather(rows)
-            self.chunks.add(new, np.diff(ends, prepend=0), flat)
+            self._learn_pieces(list(unknown))
+        flat, ends = self.pieces.gather(rows)
+        size = np.diff(ends, prepend=0)
+        if odd:
+            whole = [self._ids(new[i]) for i in odd]
+            flat = np.insert(flat, np.repeat(ends[odd], [len(x) for x in whole]), np.concatenate(whole))
+            size[odd] = [len(x) for x in whole]
+        self.chunks.add(keys, size, flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks.at) > CACHED_CHUNKS:
-            self.chunks = Memo()
-        # str.split also parts at \x1c-\x1f, which the tokenizer reads as symbols
-        rows = [[c for c in re.split(r"[^\S\x1c-\x1f]+", t) if c] if re.search(r"[\x1c-\x1f]", t) else t.split() for t in texts]
-        if new := set(chain.from_iterable(rows)).difference(self.chunks.at):
-            self._learn(sorted(new))
-        ids, upto = self.chunks.gather(rows)
-        return np.split(ids, upto[:-1]) if len(upto) else []
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks = HashMemo()
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        raw = [t.encode() for t in texts]
+        for i in special:
+            raw[i] = b""
+        offsets = np.cumsum([0] + [len(r) for r in raw])
+        data = b"".join(raw)
+        hashes, start, size = word_hashes(np.frombuffer(data, np.uint8), offsets)
+        keys, where, at = np.unique(hashes, return_index=True, return_inverse=True)
+        new = self.chunks.missing(keys)
+        if new.any():
+            a, n = start[where[new]], size[where[new]]
+            self._learn(keys[new], [data[i:j].decode() for i, j in zip(a.tolist(), (a + n).tolist())])
+        ids, ends = self.chunks.gather(keys, at)
+        upto = np.concatenate([[0], ends])[np.searchsorted(start, offsets[1:])]
+        out = np.split(ids, upto[:-1])
+        for i in special:
+            out[i] = self._ids(texts[i])
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -233,8 +250,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pd.DataFrame(rows, columns=columns)
 
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
+            for lo in range(0, len(batch), 2048):
+                part = batch.iloc[lo : lo + 2048]
                 for doc_id, ids in zip(part["doc_id"].tolist(), own.encode(["" if t is None else t for t in part["text"]])):
                     packer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if packer.size >= BLOCK and (rows := packer.flush(False)):
