@@ -1 +1,290 @@
-"""Plans."""
+"""Scalar functions over pages, documents, parts and firms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ventura.functions import text as X
+from ventura.operators.joins import token_sort_ratio
+from ventura.plans.catalogue import plan
+from ventura.plans.model import Tables
+
+_HOST = r"regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '^([^/?#:]*)', 1), '^www\.', '')"
+
+
+@plan("P01_canonicalize_domain", f"""
+SELECT page_id, CASE WHEN len(p) <= 2 THEN h WHEN array_to_string(p[-2:], '.') IN ('co.uk', 'com.au', 'co.kr', 'co.il', 'co.in', 'com.br', 'co.jp', 'com.mx', 'co.nz', 'co.za') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain
+FROM (SELECT page_id, {_HOST} AS h, string_split({_HOST}, '.') AS p FROM pages)""")
+def p01(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.canonicalize_domain(F.col("url")).alias("domain"))
+
+
+@plan("P02_is_product_domain", f"SELECT page_id, NOT (regexp_matches({_HOST}, '^(.*\\.)?(medium\\.com|github\\.io|localhost)$') OR regexp_matches({_HOST}, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$')) AS ok FROM pages")
+def p02(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.is_product_domain(X.host(F.col("url"))).alias("ok"))
+
+
+@plan("P03_domains_in_text")
+def p03(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.extract_domains(F.col("html")).alias("domains"))
+
+
+@plan("P04_homepage_domain")
+def p04(t: Tables) -> DataFrame:
+    """Homepage, else blog, else the first own domain in the text."""
+    own = lambda c: F.when(X.is_product_domain(c), c)
+    listed = F.get(F.filter(X.extract_domains(F.col("html")), lambda d: X.is_product_domain(d)), 0)
+    return t.pages.select("page_id", F.coalesce(own(X.canonicalize_domain(F.col("url"))), listed).alias("domain"))
+
+
+@plan("P05_simple_domain", r"SELECT page_id, lower(split_part(regexp_replace(url, '^(https?://)?(www\.)?', ''), '/', 1)) AS d FROM pages")
+def p05(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.simple_domain(F.col("url")).alias("d"))
+
+
+_SUFFIX = ", ".join(f"'{s}'" for s in X.NAME_SUFFIXES)
+
+
+@plan("P06_normalize_name", f"""
+SELECT p_partkey, nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' Labs, Inc.'), '[^\\w\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_SUFFIX})), ' '), '- '), '') AS name FROM part""")
+def p06(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", X.normalize_company_name(F.concat("p_name", F.lit(" Labs, Inc."))).alias("name"))
+
+
+_LEGAL = ", ".join(f"'{s}'" for s in X.LEGAL_SUFFIXES)
+
+
+@plan("P07_normalize_conservative", f"""
+SELECT p_partkey, nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' Labs, Inc.'), '[^\\w\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_LEGAL})), ' '), '- '), '') AS name FROM part""")
+def p07(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", X.normalize_company_name(F.concat("p_name", F.lit(" Labs, Inc.")), X.LEGAL_SUFFIXES).alias("name"))
+
+
+@plan("P08_fuzzy_similarity")
+def p08(t: Tables) -> DataFrame:
+    """Similarity of each part's name and the next part's."""
+    a = t.part.select("p_partkey", "p_name")
+    b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return a.join(b, "p_partkey").select("p_partkey", F.round(token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("similarity"))
+
+
+@plan("P09_entity_key", "SELECT id, coalesce('domain:' || lower(domain), 'name:' || trim(regexp_replace(lower(name), '[^a-z0-9_ -]', ' ', 'g'))) AS key FROM companies", "companies")
+def p09(t: Tables) -> DataFrame:
+    return t.companies.select("id", X.entity_key(F.col("domain"), F.col("name")).alias("key"))
+
+
+_STRONG = r"\b(large language model|llm|generative ai|machine learning|deep learning|artificial intelligence|neural net|transformer|fine[- ]?tun)\b"
+_MODERATE = r"\b(inference|embedding|vector database|retriev|orchestrat|chatbot|computer vision|nlp)\b"
+_SAMPLES = "(SELECT id, CASE id % 5 WHEN 0 THEN 'transformer-based inference' WHEN 1 THEN 'fine-tuning transformers' WHEN 2 THEN 'An LLM chatbot' WHEN 3 THEN 'bakery' ELSE 'deep learning for vision, founded 2020' END AS body, CASE id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'ai' ELSE 'web' END AS topic, cb_ai_tagged, domain FROM companies)"
+
+
+def _samples(t: Tables) -> DataFrame:
+    i = F.col("id") % 5
+    body = F.when(i == 0, "transformer-based inference").when(i == 1, "fine-tuning transformers").when(i == 2, "An LLM chatbot").when(i == 3, "bakery").otherwise("deep learning for vision, founded 2020")
+    k = F.col("id") % 3
+    topic = F.when(k == 0, "llm").when(k == 1, "ai").otherwise("web")
+    return t.companies.select("id", body.alias("body"), topic.alias("topic"), "cb_ai_tagged", "domain")
+
+
+@plan("P10_ai_score", f"""
+SELECT id, round(least(1.0, CASE WHEN topic = 'llm' THEN 0.3 ELSE 0 END + CASE WHEN topic = 'ai' THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '{_STRONG}') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '{_MODERATE}') THEN 0.1 ELSE 0 END + CASE WHEN cb_ai_tagged THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {_SAMPLES}""", "companies")
+def p10(t: Tables) -> DataFrame:
+    return _samples(t).select("id", F.round(X.ai_score(F.array("topic"), F.col("body"), F.col("cb_ai_tagged")), 6).alias("score"))
+
+
+@plan("P11_ai_mentioned", f"SELECT id, regexp_matches(lower(body), '{_STRONG}') OR regexp_matches(lower(body), '{_MODERATE}') AS mentioned FROM {_SAMPLES}", "companies")
+def p11(t: Tables) -> DataFrame:
+    return _samples(t).select("id", (F.col("body").rlike(X.STRONG_TEXT) | F.col("body").rlike(X.MODERATE_TEXT)).alias("mentioned"))
+
+
+@plan("P12_startup_score", f"SELECT id, round((CASE WHEN domain IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN topic = 'llm' THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '\\b(startup|founded|pricing|customers|enterprise)\\b') THEN 0.2 ELSE 0 END + CASE WHEN cb_ai_tagged THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {_SAMPLES}", "companies")
+def p12(t: Tables) -> DataFrame:
+    kind = F.when(F.col("topic") == "llm", "Organization").otherwise("User")
+    return _samples(t).select("id", F.round(X.startup_score(F.col("domain"), kind, F.col("body"), F.col("cb_ai_tagged")), 6).alias("score"))
+
+
+@plan("P13_likelihood", "SELECT doc_id, CASE WHEN n >= 3 THEN 0.25 WHEN n >= 1 THEN 0.15 ELSE 0 END::DOUBLE AS likelihood FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS n FROM documents)")
+def p13(t: Tables) -> DataFrame:
+    n = F.regexp_count(F.lower("text"), F.lit("tion"))
+    return t.documents.select("doc_id", F.when(n >= 3, 0.25).when(n >= 1, 0.15).otherwise(0.0).alias("likelihood"))
+
+
+@plan("P14_extract_tags", f"""
+SELECT id, list_sort(list_distinct(list_filter([CASE WHEN topic IN ('llm', 'ai') THEN topic END, CASE WHEN regexp_matches(lower(body), '\\btransformer\\b') THEN 'transformer' END, CASE WHEN regexp_matches(lower(body), '\\bdeep learning\\b') THEN 'deep-learning' END], lambda x: x IS NOT NULL))) AS tags FROM {_SAMPLES}""", "companies")
+def p14(t: Tables) -> DataFrame:
+    body = F.lower("body")
+    made = F.array(F.when(F.col("topic").isin("llm", "ai"), F.col("topic")), F.when(body.rlike(r"\btransformer\b"), F.lit("transformer")), F.when(body.rlike(r"\bdeep learning\b"), F.lit("deep-learning")))
+    return _samples(t).select("id", F.array_sort(F.array_distinct(F.array_compact(made))).alias("tags"))
+
+
+_RULES = (("chat", r"\b(llm|chatbot)\b"), ("training", r"fine[- ]?tun"), ("serving", r"\binference\b"), ("vision", r"\bvision\b"))
+
+
+@plan("P15_first_match_class", f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(lower(body), {chr(39)}{r}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for n, r in _RULES)} ELSE 'other' END AS subdomain FROM {_SAMPLES}", "companies")
+def p15(t: Tables) -> DataFrame:
+    out = F.lit("other")
+    for name, rule in reversed(_RULES):
+        out = F.when(F.lower("body").rlike(rule), name).otherwise(out)
+    return _samples(t).select("id", out.alias("subdomain"))
+
+
+@plan("P16_bounded_keyword", f"SELECT id, regexp_matches(lower(body), '(^|[^a-z0-9])(llm|ai|deep learning)($|[^a-z0-9])') AS is_ai FROM {_SAMPLES}", "companies")
+def p16(t: Tables) -> DataFrame:
+    return _samples(t).select("id", F.lower("body").rlike(r"(?<![a-z0-9])(llm|ai|deep learning)(?![a-z0-9])").alias("is_ai"))
+
+
+@plan("P18_new_vocabulary", "SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(before, w) AND regexp_matches(after, w)) AS added FROM (SELECT doc_id, substr(lower(text), 1, 200) AS before, substr(lower(text), 201) AS after, unnest(['ing ', 'tion', 'ung', 'que']) AS w FROM documents) GROUP BY 1")
+def p18(t: Tables) -> DataFrame:
+    before, after = F.substring(F.lower("text"), 1, 200), F.substring(F.lower("text"), 201, 2**31 - 1)
+    hit = lambda w: (F.instr(before, w) == 0) & (F.instr(after, w) > 0)
+    total = sum((F.when(hit(w), 1).otherwise(0) for w in ("ing ", "tion", "ung", "que")), F.lit(0))
+    return t.documents.select("doc_id", total.cast("long").alias("added"))
+
+
+_STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b.*?</footer\\s*>', ' ', 'g'), '(?is)<svg\\b.*?</svg\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+
+
+@plan("P19_visible_text", f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace({_STRIP}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS body FROM pages")
+def p19(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.visible_text(F.col("html")).alias("body"))
+
+
+@plan("P20_clean_text", r"SELECT doc_id, length(regexp_replace(text, 'https?://[^ \n]+', '', 'g')) AS clean_len, length(regexp_replace(text, 'https?://[^ \n]+', '', 'g'))::DOUBLE / length(text) >= 0.4 AS keep FROM documents WHERE length(text) > 0")
+def p20(t: Tables) -> DataFrame:
+    clean = F.length(F.regexp_replace("text", r"https?://[^ \n]+", ""))
+    return t.documents.filter(F.length("text") > 0).select("doc_id", clean.cast("long").alias("clean_len"), (clean / F.length("text") >= 0.4).alias("keep"))
+
+
+@plan("P21_token_jaccard", """
+SELECT item_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS j FROM (SELECT x.item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(x.text)), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(trim(y.text)), '\\s+'), lambda w: w <> '')) AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)""")
+def p21(t: Tables) -> DataFrame:
+    nxt = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return t.benchmark.join(nxt, "item_id").select("item_id", F.round(X.token_jaccard(F.col("text"), F.col("other")), 9).alias("j"))
+
+
+@plan("P22_normalize_country", "SELECT id, CASE trim(split_part(split_part(country || ' / x;y', ';', 1), '/', 1)) WHEN 'NATION_3' THEN 'Three' ELSE trim(split_part(split_part(country || ' / x;y', ';', 1), '/', 1)) END AS country FROM companies", "companies")
+def p22(t: Tables) -> DataFrame:
+    raw = F.trim(F.split_part(F.split_part(F.concat("country", F.lit(" / x;y")), F.lit(";"), F.lit(1)), F.lit("/"), F.lit(1)))
+    return t.companies.select("id", F.coalesce(F.try_element_at(F.create_map(F.lit("NATION_3"), F.lit("Three")), raw), raw).alias("country"))
+
+
+@plan("P23_regions", "SELECT region, count(DISTINCT country) AS countries FROM companies GROUP BY 1", "companies")
+def p23(t: Tables) -> DataFrame:
+    dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    return t.companies.select("country").join(F.broadcast(dim), F.col("country") == F.col("n_name")).groupBy(F.col("r_name").alias("region")).agg(F.countDistinct("country").alias("countries"))
+
+
+@plan("P25_tld_country", "SELECT page_id, CASE WHEN d LIKE '%.example.org' THEN 'O' WHEN d LIKE '%.example.net' THEN 'N' WHEN d LIKE '%.com' THEN 'C' END AS place FROM (SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS d FROM pages)")
+def p25(t: Tables) -> DataFrame:
+    """The longest suffix of a small table that the host ends with."""
+    dim = t.spark.createDataFrame([(".com", "C"), (".example.net", "N"), (".example.org", "O")], "suffix string, place string")
+    d = F.lower(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)))
+    rows = t.pages.select("page_id", d.alias("d")).join(F.broadcast(dim), F.col("d").endswith(F.col("suffix")), "left")
+    return rows.groupBy("page_id").agg(F.max_by("place", F.length("suffix")).alias("place"))
+
+
+@plan("P26_location_parts", "SELECT c_custkey, trim(split_part(loc, ',', 1)) AS city, trim(split_part(loc, ',', -1)) AS country FROM (SELECT c_custkey, c_mktsegment || ', NATION_' || c_nationkey AS loc FROM customer)")
+def p26(t: Tables) -> DataFrame:
+    loc = F.split(F.concat("c_mktsegment", F.lit(", NATION_"), F.col("c_nationkey").cast("string")), ",")
+    return t.customer.select("c_custkey", F.trim(loc[0]).alias("city"), F.trim(F.element_at(loc, -1)).alias("country"))
+
+
+@plan("P27_batch_year", "SELECT id, CASE WHEN id % 3 = 0 THEN 2000 + CAST(substr(b, 2) AS INT) WHEN id % 3 = 1 THEN CAST(regexp_extract(b, '((?:19|20)[0-9]{2})', 1) AS INT) END AS y FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'W' || lpad(CAST(id % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'Cohort ' || CAST(1990 + id % 30 AS VARCHAR) ELSE 'none' END AS b FROM companies)", "companies")
+def p27(t: Tables) -> DataFrame:
+    i = F.col("id")
+    b = F.when(i % 3 == 0, F.concat(F.lit("W"), F.lpad((i % 30).cast("string"), 2, "0"))).when(i % 3 == 1, F.concat(F.lit("Cohort "), (1990 + i % 30).cast("string"))).otherwise("none")
+    return t.companies.select("id", X.batch_year(b).alias("y"))
+
+
+@plan("P29_category_map", "SELECT company_id, list_sort(list_distinct(list(CASE tag WHEN 'ECONOMY' THEN 'value' WHEN 'PROMO' THEN 'value' WHEN 'SMALL' THEN 'size' WHEN 'LARGE' THEN 'size' ELSE 'other' END))) AS verticals FROM firm_tags GROUP BY 1", "firm_tags")
+def p29(t: Tables) -> DataFrame:
+    names = F.create_map(*map(F.lit, ("ECONOMY", "value", "PROMO", "value", "SMALL", "size", "LARGE", "size")))
+    lists = t.firm_tags.groupBy("company_id").agg(F.collect_list("tag").alias("tags"))
+    return lists.select("company_id", F.array_sort(F.array_distinct(F.transform("tags", lambda x: F.coalesce(F.try_element_at(names, x), F.lit("other"))))).alias("verticals"))
+
+
+@plan("P30_parsers", "SELECT p_partkey, CAST(regexp_extract(s, '([0-9]+)', 1) AS INT) AS low, nullif(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_retailprice END, 0) AS amount FROM (SELECT *, CAST(p_size * 1 AS VARCHAR) || '-' || CAST(p_size * 2 AS VARCHAR) AS s FROM part)")
+def p30(t: Tables) -> DataFrame:
+    s = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") * 2).cast("string"))
+    return t.part.select("p_partkey", X.employee_count(s).alias("low"), F.nullif(F.when(F.col("p_size") % 4 == 0, 0.0).otherwise(F.col("p_retailprice")), F.lit(0.0)).alias("amount"))
+
+
+@plan("P32_tag_label", "SELECT DISTINCT p_type, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS label FROM part")
+def p32(t: Tables) -> DataFrame:
+    return t.part.select("p_type", X.tag_label(F.col("p_type")).alias("label")).distinct()
+
+
+@plan("P33_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def p33(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@plan("P34_vocabulary", "SELECT id, CASE WHEN segment IN ('MACHINERY', 'BUILDING') THEN segment ELSE 'other' END AS segment, CASE WHEN founded_year BETWEEN 2005 AND 2020 THEN founded_year END AS year FROM companies", "companies")
+def p34(t: Tables) -> DataFrame:
+    return t.companies.select("id", F.when(F.col("segment").isin("MACHINERY", "BUILDING"), F.col("segment")).otherwise("other").alias("segment"), F.when(F.col("founded_year").between(2005, 2020), F.col("founded_year")).alias("year"))
+
+
+@plan("P36_rule_cascade", "SELECT event_id, CASE WHEN status = 'error' AND seconds > 90 THEN 'timeout' WHEN status = 'error' THEN 'failed' WHEN status = 'zero_result' AND difficulty = 'easy' THEN 'escalate' ELSE 'fine' END AS verdict FROM runs", "runs")
+def p36(t: Tables) -> DataFrame:
+    status = F.col("status")
+    verdict = F.when((status == "error") & (F.col("seconds") > 90), "timeout").when(status == "error", "failed").when((status == "zero_result") & (F.col("difficulty") == "easy"), "escalate").otherwise("fine")
+    return t.runs.select("event_id", verdict.alias("verdict"))
+
+
+@plan("P37_dates", "SELECT o_orderkey, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m') AS m, CAST(date_trunc('week', o_orderdate) AS DATE) AS w, year(o_orderdate) || CASE WHEN month(o_orderdate) <= 6 THEN 'H1' ELSE 'H2' END AS h FROM orders")
+def p37(t: Tables) -> DataFrame:
+    d = F.col("o_orderdate")
+    half = F.concat(F.year(d).cast("string"), F.when(F.month(d) <= 6, "H1").otherwise("H2"))
+    return t.orders.select("o_orderkey", F.year(d).alias("y"), F.date_format(d, "yyyy-MM").alias("m"), F.to_date(F.date_trunc("week", d)).alias("w"), half.alias("h"))
+
+
+@plan("P38_misc", "SELECT c_custkey, left(c_name, 8) AS head, md5(c_name) AS digest, nullif(c_mktsegment, 'BUILDING') AS segment, greatest(c_acctbal, 0) AS balance, try_cast(c_name AS INT) AS bad FROM customer")
+def p38(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", F.left("c_name", F.lit(8)).alias("head"), F.md5("c_name").alias("digest"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.greatest("c_acctbal", F.lit(0.0)).alias("balance"), F.col("c_name").try_cast("int").alias("bad"))
+
+
+@plan("P40_leaders_first", "SELECT l_orderkey, list(l_suppkey ORDER BY (l_returnflag <> 'A'), l_suppkey, l_linenumber)[1:6] AS people FROM lineitem GROUP BY 1")
+def p40(t: Tables) -> DataFrame:
+    people = F.array_sort(F.collect_list(F.struct((F.col("l_returnflag") != "A").alias("last"), "l_suppkey", "l_linenumber")))
+    return t.lineitem.groupBy("l_orderkey").agg(people.alias("p")).select("l_orderkey", F.slice("p.l_suppkey", 1, 6).alias("people"))
+
+
+@plan("P41_numbers_check", r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: length(x) <> 4)) = 0 AS ok FROM documents")
+def p41(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (~F.exists(F.regexp_extract_all("text", F.lit(r"\b([0-9]+)\b"), 1), lambda x: F.length(x) != 4)).alias("ok"))
+
+
+@plan("P43_math", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, floor(c_acctbal) AS f, least(1, greatest(0, c_acctbal / 10000)) AS clipped, round(ln(1 + abs(c_acctbal)), 6) AS l FROM customer")
+def p43(t: Tables) -> DataFrame:
+    v = F.col("c_acctbal")
+    return t.customer.select("c_custkey", F.round(F.sqrt(F.abs(v)), 6).alias("r"), F.floor(v).alias("f"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / 10000)).alias("clipped"), F.round(F.log(1 + F.abs(v)), 6).alias("l"))
+
+
+@plan("P44_arrays", "SELECT company_id, len(t) AS n, array_to_string(list_sort(list_distinct(list_concat(t, ['NEW']))), ',') AS joined, list_sort(t)[1:2] AS head FROM (SELECT company_id, list(tag) AS t FROM firm_tags GROUP BY 1)", "firm_tags")
+def p44(t: Tables) -> DataFrame:
+    lists = t.firm_tags.groupBy("company_id").agg(F.collect_list("tag").alias("t"))
+    return lists.select("company_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort(F.array_union("t", F.array(F.lit("NEW")))), ",").alias("joined"), F.slice(F.array_sort("t"), 1, 2).alias("head"))
+
+
+@plan("P45_maps", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 2 AS twice, json_extract(props, '$.z') IS NOT NULL AS has_z FROM events")
+def p45(t: Tables) -> DataFrame:
+    m = F.from_json("props", "map<string,bigint>")
+    return t.events.select("event_id", (F.element_at(m, "k") * 2).alias("twice"), F.map_contains_key(m, "z").alias("has_z"))
+
+
+@plan("P46_urls", "SELECT page_id, split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) AS host, split_part(url, '://', 1) AS scheme FROM pages")
+def p46(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).alias("scheme"))
+
+
+@plan("P47_casing", "SELECT c_custkey, CASE WHEN upper(c_mktsegment) = c_mktsegment THEN upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) ELSE c_mktsegment END AS segment FROM customer")
+def p47(t: Tables) -> DataFrame:
+    s = F.col("c_mktsegment")
+    return t.customer.select("c_custkey", F.when(F.upper(s) == s, F.initcap(F.lower(s))).otherwise(s).alias("segment"))
+
+
+@plan("P48_triage", "SELECT id, CASE WHEN ai_score >= 0.7 THEN 'accept' WHEN ai_score < 0.1 THEN 'reject' WHEN llm_ai_verified THEN 'accept' WHEN llm_ai_verified = false THEN 'reject' WHEN ai_score >= 0.35 THEN 'accept' ELSE 'reject' END AS verdict FROM companies", "companies")
+def p48(t: Tables) -> DataFrame:
+    s, v = F.col("ai_score"), F.col("llm_ai_verified")
+    return t.companies.select("id", F.when(s >= 0.7, "accept").when(s < 0.1, "reject").when(v, "accept").when(~v, "reject").when(s >= 0.35, "accept").otherwise("reject").alias("verdict"))
