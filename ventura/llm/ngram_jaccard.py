@@ -12,6 +12,7 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
    number of pairs; the links join components and the distances are kept. Later pairs inside a component are skipped,
    and so are two nodes whose Jaccard distances to a common leader differ by more than 1 - t: they cannot link by the
    triangle inequality, so their answer follows from the leader's. ROUNDS rounds have different leaders.
+   Before an exact comparison parity bitmaps bound how much two sets can share, which rules most pairs out.
 5. What is left, nodes of different components that share a list, is compared exactly, block by block. Nothing is capped.
 
 Components by these links equal components by all links, as only pairs that are already connected or cannot link are
@@ -35,6 +36,8 @@ from ventura.llm.common import cut, table
 from ventura.llm.hashing import BASE, M1, mix, word_hashes
 
 SKETCH_BITS, POSITION_BLOCK, ROUNDS, BLOCK_ROWS = 18, 8, 2, 64
+#: Bits of a set's bitmap; a shingle flips one, so two bitmaps differ in at most as many bits as the sets in shingles.
+BITMAP = 1024
 BATCH_BYTES = 4 << 20
 
 
@@ -91,22 +94,24 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """id, size of the set, its 128-bit key and its prefix in the global order."""
+    """id, size of the set, its 128-bit key, its prefix in the global order and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, k1, k2, heads = [], [], [], []
+            sizes, k1, k2, heads, bits = [], [], [], [], []
             for s in text_sets(batch.column("text"), n):
                 with np.errstate(over="ignore"):
                     k1.append(s.sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(mix(s + M1)))
                 sizes.append(len(s))
+                odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1
+                bits.append(np.packbits(odd).view(np.uint64))
                 order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 heads.append(s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s)
-            made = [batch.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads)]
-            yield pa.RecordBatch.from_arrays(made, ["id", "size", "k1", "k2", "prefix"])
+            made = [batch.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(bits)]
+            yield pa.RecordBatch.from_arrays(made, ["id", "size", "k1", "k2", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "id long, size long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, size long, k1 long, k2 long, prefix array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -137,8 +142,8 @@ def components(edges: DataFrame) -> DataFrame:
 class _Join:
     """State of one join: the nodes' lists, the components so far and the distances to leaders."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, n: int, t: Fraction):
-        self.docs, self.postings, self.n, self.t = docs, postings, n, t
+    def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, n: int, t: Fraction):
+        self.docs, self.nodes, self.postings, self.n, self.t = docs, nodes, postings, n, t
         spark = docs.sparkSession
         self.roots = spark.createDataFrame([], "node long, root long")
         self.compared = spark.createDataFrame([], "a long, b long, size_a long, size_b long, common long")
@@ -179,7 +184,13 @@ class _Join:
         return self.fresh(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
     def fresh(self, pairs: DataFrame) -> DataFrame:
-        return pairs.join(self.compared.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        """Pairs not compared yet whose bitmaps allow a link: the bits they differ in bound the shingles they differ in."""
+        pairs = pairs.join(self.compared.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            pairs = pairs.join(self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+        num, den = self.t.numerator, self.t.denominator
+        return pairs.filter(differ * (num + den) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b").distinct()
 
     def block_pairs(self) -> DataFrame:
         """The pairs that remain: blocks of lists with more than one component meet where size and position allow."""
@@ -229,10 +240,11 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     members = cut(found.select("id", *keys).join(nodes, keys, "left"), "members")
     own = found.join(nodes.hint("merge"), keys).filter("id = node").dropDuplicates(["id", *keys])
     size_class = F.floor(F.log(F.col("size").cast("double")) / math.log(threshold.denominator / threshold.numerator)).cast("int") if threshold < 1 else F.col("size").cast("int")
+    own = cut(own, "nodes")
     postings = own.select("id", "size", size_class.alias("sc"), F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
     postings = cut(postings.join(shared.hint("merge"), "token", "left_semi"), "postings")
-    roots = _Join(named, postings, n, threshold).run()
+    roots = _Join(named, own.select("id", "size", "bits"), postings, n, threshold).run()
     out = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("root", "node", "id").alias("component_id"))
 
