@@ -1 +1,75 @@
-"""Plans."""
+"""Site health and event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ventura.operators.joins import as_of_backward
+from ventura.plans.catalogue import plan
+from ventura.plans.model import Tables
+from ventura.streaming import health as H
+
+#: 31 January 2024, after the last event.
+AS_OF = 1_706_659_200_000_000
+
+
+@plan("R01_site_health")
+def r01(t: Tables) -> DataFrame:
+    return H.batch_health(t.runs)
+
+
+@plan("R02_reactivation")
+def r02(t: Tables) -> DataFrame:
+    return H.reactivate(H.batch_health(t.runs), AS_OF + 90 * H.DAY).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@plan("R03_due_sites")
+def r03(t: Tables) -> DataFrame:
+    return H.due(H.batch_health(t.runs), AS_OF).select("site", "status")
+
+
+@plan("R04_cooldown", "SELECT site FROM runs GROUP BY 1 HAVING coalesce(max(finished_at) FILTER (WHERE status = 'success'), TIMESTAMP '1970-01-01') + INTERVAL 2 DAY <= TIMESTAMP '2024-01-31'", "runs")
+def r04(t: Tables) -> DataFrame:
+    last = F.max(F.when(F.col("status") == "success", F.col("finished_at").cast("timestamp")))
+    return t.runs.groupBy("site").agg(last.alias("last")).filter(F.coalesce("last", F.lit("1970-01-01").cast("timestamp")) + F.expr("INTERVAL 2 DAYS") <= F.lit("2024-01-31").cast("timestamp")).select("site")
+
+
+@plan("R05_retry_window", "SELECT site FROM runs QUALIFY row_number() OVER (PARTITION BY site ORDER BY finished_at DESC, event_id DESC) = 1 AND status = 'zero_result' AND finished_at >= TIMESTAMP '2024-01-29'", "runs")
+def r05(t: Tables) -> DataFrame:
+    latest = t.runs.groupBy("site").agg(F.max_by(F.struct("status", F.col("finished_at").cast("timestamp").alias("at")), F.struct("finished_at", "event_id")).alias("l"))
+    return latest.filter((F.col("l.status") == "zero_result") & (F.col("l.at") >= F.lit("2024-01-29").cast("timestamp"))).select("site")
+
+
+@plan("R06_escalation", "SELECT event_id, CASE WHEN difficulty = 'easy' AND status <> 'success' THEN 'hard' ELSE difficulty END AS next_difficulty FROM runs", "runs")
+def r06(t: Tables) -> DataFrame:
+    return t.runs.select("event_id", F.when((F.col("difficulty") == "easy") & (F.col("status") != "success"), "hard").otherwise(F.col("difficulty")).alias("next_difficulty"))
+
+
+@plan("R07_trend_score", """
+SELECT event_id, round(0.45 * CASE WHEN hi = lo THEN CASE WHEN d > 0 THEN 0.5 ELSE 0 END ELSE (d - lo) / (hi - lo) END + 0.55 * stars / top, 6) AS trend FROM (SELECT *, max(d) OVER () AS hi, min(d) OVER () AS lo, max(stars) OVER () AS top FROM (
+  SELECT s.event_id, s.stars, coalesce(s.stars - p.stars, 0) AS d FROM snapshots s LEFT JOIN LATERAL (SELECT stars FROM snapshots b WHERE b.repo = s.repo AND b.collected_at <= s.collected_at - INTERVAL 7 DAY ORDER BY b.collected_at DESC, b.stars DESC LIMIT 1) p ON true))""", "snapshots")
+def r07(t: Tables) -> DataFrame:
+    rows = as_of_backward(t.snapshots, "repo", "collected_at", "stars", "7 days").select("event_id", "stars", F.coalesce(F.col("stars") - F.col("prior"), F.lit(0.0)).alias("d"))
+    # the extremes are one row, so they join every snapshot instead of a window over all of them
+    ends = rows.agg(F.max("d").alias("hi"), F.min("d").alias("lo"), F.max("stars").alias("top")).withColumn("one", F.lit(1))
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one")
+    scaled = F.when(F.col("hi") == F.col("lo"), F.when(F.col("d") > 0, 0.5).otherwise(0.0)).otherwise((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return rows.select("event_id", F.round(0.45 * scaled + 0.55 * F.col("stars") / F.col("top"), 6).alias("trend"))
+
+
+@plan("R08_transitions", "SELECT event_id, before, status FROM (SELECT event_id, status, lag(status) OVER (PARTITION BY site ORDER BY finished_at, event_id) AS before FROM runs) WHERE before <> status", "runs")
+def r08(t: Tables) -> DataFrame:
+    before = F.lag("status").over(Window.partitionBy("site").orderBy("finished_at", "event_id"))
+    return t.runs.select("event_id", before.alias("before"), "status").filter(F.col("before") != F.col("status"))
+
+
+@plan("R09_tumbling_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def r09(t: Tables) -> DataFrame:
+    return H.windowed_counts(t.events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@plan("R11_session_windows")
+def r11(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("at", F.col("ts").cast("timestamp"))
+    return rows.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("sessions"))
