@@ -2,7 +2,8 @@
 
 A rolling (cyclic polynomial) hash runs over the hashes of a document's lines. A chunk ends after a line where a bit of
 it is 0, so boundaries depend on WINDOW lines alone and come back after any shift. A line of LONG_WORDS words or more
-is a chunk by itself. Chunks of two lines or more that have words, and long lines, count; the rest always stays. Of
+is a chunk by itself. Chunks of two lines or more that have words, and long lines, count; a chunk of one line counts
+together with the chunk after it. Of
 equal chunks anywhere in the table, in one document or in many, the first by (id, position) stays and the others go.
 
 Only chunk hashes are grouped, combined before the shuffle. The texts of hashes that repeat are then fetched and every
@@ -53,6 +54,13 @@ def chunks(keyed: DataFrame) -> DataFrame:
     rows = rows.withColumn("ends", F.filter(cuts, lambda e: e.isNotNull()))
     made = F.transform("ends", lambda e, j: F.struct(F.coalesce(F.get("ends", j - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
     rows = rows.withColumn("made", made)
+
+    def with_next(c: Column, j: Column) -> Column:
+        """A chunk of one line and the chunk after it, neither being a long line."""
+        after = F.get("made", j + 1)
+        return F.when((c["start"] == c["end"]) & ~long(c["start"]) & after.isNotNull() & ~long(after["start"]), F.struct(c["start"].alias("start"), after["end"].alias("end")))
+
+    rows = rows.withColumn("made", F.concat("made", F.array_compact(F.transform("made", with_next))))
     worth = lambda c: (F.size(F.filter(F.slice("words", c["start"] + 1, c["end"] - c["start"] + 1), lambda n: n > 0)) > 1) | long(c["start"])
     out = F.transform(F.filter("made", worth), lambda c: F.struct(c["start"].alias("start"), (c["end"] - c["start"] + 1).alias("n"), F.xxhash64(F.slice("lines", c["start"] + 1, c["end"] - c["start"] + 1)).alias("h")))
     return rows.select("id", "th", F.explode(out).alias("c")).select("id", "th", "c.start", "c.n", "c.h")
@@ -80,7 +88,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     out = keyed.alias("d").join(gone.alias("g"), same(_Side("d"), _Side("g")), "left").select("d.row", _lines(F.col(f"d.row.{text_col}")).alias("lines"), F.col("g.gone").alias("gone"))
     dropped = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
-    out = out.withColumn("dropped", dropped)
+    out = out.withColumn("dropped", F.array_distinct(dropped))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get("lines", i))
     cleaned = F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(kept, "\n"))
     names = [cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
