@@ -35,44 +35,35 @@ def found(df):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
 
 
-def copies(seed, families, members, words, edits):
+def copies(seed, first, families, members, words, edits):
     """Families of near copies, some of them chains, and texts that share a long passage."""
     rng = random.Random(seed)
-    out, i = [], 200
+    out = []
     passage = [f"p{k}" for k in range(40)]
     for f in range(families):
-        base = [f"f{f}w{k}" for k in range(words)] + passage
+        base = [f"f{first}x{f}w{k}" for k in range(words)] + passage
         for _ in range(members):
             own = list(base)
             for _ in range(rng.randint(0, edits)):
                 own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
-            out.append((i, " ".join(own).title() if rng.random() < 0.2 else " ".join(own)))
-            i += 1
+            out.append((first + len(out), " ".join(own).title() if rng.random() < 0.2 else " ".join(own)))
     rng.shuffle(out)
     return out
 
 
-def test_links_at_the_contract(spark, tmp_path):
-    texts = AWKWARD + copies(1, 6, 12, 120, 3)
-    got = J.op8_ngram_jaccard(spark, input_dir(spark, tmp_path, frame(spark, texts)))
-    assert found(got) == brute(texts, 3, Fraction(9, 10))
-
-
-def test_links_at_the_default(spark):
-    texts = AWKWARD + copies(2, 5, 14, 90, 4)
-    assert found(J.link_components(frame(spark, texts))) == brute(texts, 5, Fraction(4, 5))
+#: Sets on either side of the thresholds: 21 words, one end word changed (18 of 20 shingles of three), one inner word.
+W = [f"w{k}" for k in range(21)]
+SHARP = [(601, " ".join(W)), (602, " ".join([*W[:-1], "x"])), (603, " ".join([*W[:10], "y", *W[11:]]))]
+TEXTS = AWKWARD + SHARP + copies(1, 700, 6, 12, 120, 3) + copies(3, 1000, 1, 110, 150, 4)
 
 
-def test_large_group(spark):
-    texts = copies(3, 1, 150, 150, 4)
-    assert found(J.link_components(frame(spark, texts), 3, Fraction(9, 10))) == brute(texts, 3, Fraction(9, 10))
+def test_links_at_the_contract(spark, tmp_path):
+    got = J.op8_ngram_jaccard(spark, input_dir(spark, tmp_path, frame(spark, TEXTS)))
+    assert found(got) == brute(TEXTS, 3, Fraction(9, 10))
 
 
-def test_sharp_threshold(spark):
-    a = [f"w{k}" for k in range(21)]  # 19 shingles; one end word changed: 18 of 20
-    texts = [(1, " ".join(a)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*a[:10], "y", *a[11:]]))]
-    assert found(J.link_components(frame(spark, texts), 3, Fraction(9, 10))) == brute(texts, 3, Fraction(9, 10))
-    assert found(J.link_components(frame(spark, texts), 3, Fraction(7, 10))) == brute(texts, 3, Fraction(7, 10))
+def test_links_at_the_default(spark):
+    assert found(J.link_components(frame(spark, TEXTS))) == brute(TEXTS, 5, Fraction(4, 5))
 
 
 def test_components_of_a_chain(spark):
