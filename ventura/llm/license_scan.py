@@ -113,7 +113,8 @@ def frequencies(docs: DataFrame, text_col: str = "text", templates: dict[str, st
             for text in batch["text"]:
                 if text:
                     counts.update(vocabulary.intersection(words(text)))
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     made = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in made.collect()}
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Scanner(frequency)
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             made = pd.DataFrame([own.scan(t or "") for t in batch["text"]], columns=columns)
             made = made.astype({"first_word": "Int64", "last_word": "Int64"})
             yield made.assign(id=batch["id"].to_numpy())[["id", *columns]]

@@ -65,7 +65,9 @@ def statistics(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str =
 
     rows = rows.withColumn("places", F.sort_array(F.transform(F.filter("sorted", twice), lambda p: p["i"])))
     covered = F.aggregate(F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
+    # A filter on a deterministic column is pushed below the projections and computes each array many times over, for each
+    # element; the (always true) test of the row number keeps it above them.
+    rows = rows.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0).cast("long"))))
     chars, words, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("word_chars", "n_words", "n_lines"))
     return rows.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -213,9 +215,7 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns: the row travels as a struct beside its statistics."""
-    made = _judged(docs, rules, F.struct("*"), text_col)
-    # A filter on a deterministic column would be pushed below the projections, and each statistic computed many times over.
-    return made.select("id", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept")).filter("kept").select("id.*")
+    return _judged(docs, rules, F.struct("*"), text_col).filter("kept").select("id.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
