@@ -37,6 +37,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ventura-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
+    # Spark deletes shuffle files once the driver's collector finds their plans unreachable, by default every half hour;
+    # a job of many cuts would hold those of all its steps.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

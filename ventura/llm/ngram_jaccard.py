@@ -145,7 +145,7 @@ class _Join:
     def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, n: int, t: Fraction):
         self.docs, self.nodes, self.postings, self.n, self.t = docs, nodes, postings, n, t
         spark = docs.sparkSession
-        self.roots = spark.createDataFrame([], "node long, root long")
+        self.roots, self.linked = spark.createDataFrame([], "node long, root long"), False
         self.compared = spark.createDataFrame([], "a long, b long, size_a long, size_b long, common long")
 
     def may_link(self, a: str, b: str) -> Column:
@@ -157,6 +157,8 @@ class _Join:
 
     def rooted(self) -> DataFrame:
         """Postings with the component of their node."""
+        if not self.linked:
+            return self.postings.withColumn("root", F.col("id"))
         return self.postings.join(self.roots, F.col("id") == F.col("node"), "left").select("token", "id", "size", "pos", "sc", F.coalesce("root", "id").alias("root"))
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> None:
@@ -173,7 +175,7 @@ class _Join:
         edges = links.join(own.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         new = components(edges)
         moved = own.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        self.roots = cut(moved.unionByName(new.join(own, "node", "left_anti")), "roots")
+        self.roots, self.linked = cut(moved.unionByName(new.join(own, "node", "left_anti")), "roots"), True
 
     def leader_pairs(self, number: int) -> DataFrame:
         """Each node with the leaders of its lists, in its own and the next size class, that are in other components."""
@@ -195,17 +197,12 @@ class _Join:
     def block_pairs(self) -> DataFrame:
         """The pairs that remain: blocks of lists with more than one component meet where size and position allow."""
         num, den = self.t.numerator, self.t.denominator
-        c = self.compared.withColumn("d", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
-        known = c.select(F.col("a").alias("node"), F.struct(F.col("b").alias("to"), "d").alias("k")).unionByName(c.select(F.col("b").alias("node"), F.struct(F.col("a").alias("to"), "d").alias("k")))
-        # a node meets at most as many leaders as its lists have, so its distances are bounded by its own prefix
-        led = self.compared.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("b").alias("to")).unionByName(self.compared.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("to"))).distinct()
-        known = known.select("node", "k.to", "k.d").join(led, "to").groupBy("node").agg(F.collect_list(F.struct("to", "d")).alias("known"))
         p = self.rooted()
         open_lists = p.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("token", "n")
-        p = p.join(open_lists, "token").join(known, F.col("id") == F.col("node"), "left").drop("node")
+        p = p.join(open_lists, "token")
         salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
         blocks = p.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), salt.alias("salt")).agg(
-            F.collect_list(F.struct("id", "size", "pos", "root", "known")).alias("rows"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
+            F.collect_list(F.struct("id", "size", "pos", "root")).alias("rows"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
         )
         blocks = cut(blocks, "blocks")
         ahead = blocks.select(F.col("*"), F.explode(F.array("sc", F.col("sc") - 1)).alias("meets"))
@@ -215,9 +212,20 @@ class _Join:
         meet &= F.least("x.rest", "y.rest") * (num + den) >= (F.col("x.least") + F.col("y.least")) * num
         meet &= (F.col("x.least") * num <= F.col("y.most") * den) & (F.col("y.least") * num <= F.col("x.most") * den)
         pairs = x.join(y, meet).select(F.col("x.rows").alias("xs"), F.explode("y.rows").alias("y")).select(F.explode("xs").alias("x"), "y")
-        apart = F.exists(F.col("x.known"), lambda k: F.exists(F.col("y.known"), lambda m: (k["to"] == m["to"]) & (F.abs(k["d"] - m["d"]) > 1 - num / den + 1e-9)))
-        pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & self.may_link("x", "y") & ~F.coalesce(apart, F.lit(False)))
-        return self.fresh(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+        pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & self.may_link("x", "y"))
+        return self.not_apart(self.fresh(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
+
+    def not_apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the distances to a common leader don't keep from linking."""
+        c = self.compared.withColumn("d", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
+        both = c.select(F.col("a").alias("node"), F.col("b").alias("to"), "d").unionByName(c.select(F.col("b").alias("node"), F.col("a").alias("to"), "d"))
+        led = both.groupBy("to").agg(F.count("*").alias("n")).filter("n > 1").select("to")  # leaders alone, few for any node
+        known = both.join(led, "to").groupBy("node").agg(F.collect_list(F.struct("to", "d")).alias("known"))
+        for side in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("node").alias(side), F.col("known").alias(f"known_{side}")), side, "left")
+        far = 1 - self.t.numerator / self.t.denominator + 1e-9
+        apart = F.exists("known_a", lambda k: F.exists("known_b", lambda m: (k["to"] == m["to"]) & (F.abs(k["d"] - m["d"]) > far)))
+        return pairs.filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
     def run(self) -> DataFrame:
         for step in range(ROUNDS + 1):
