@@ -100,3 +100,26 @@ def test_lines_hot_passage_is_salted(spark):
     texts = [(i, f"head {i} x\n{PASSAGE}") for i in range(700)]
     out = L.dedup_lines(frame(spark, texts), report=True)
     assert out.filter("removed_lines > 0").count() == 699
+
+
+def test_lines_short_passages_go_whole_wherever_they_stand(spark):
+    """Passages of 50 to 80 words on 2 to 8 lines, each in documents with other neighbours and at other offsets."""
+    passages = {(n, k): [" ".join(f"p{n}v{k}l{i}w{w}" for w in range(-(-(50 + 6 * k) // n))) for i in range(n)] for n in range(2, 9) for k in range(6)}
+    own = lambda d, part: [f"own line {x} {part} of {d}" for x in range((7 * d) % 5 + 1)]
+    texts = {}
+    for lines in passages.values():
+        for _ in range(3):
+            d = len(texts)
+            texts[d] = [own(d, "before"), lines, own(d, "after")]
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(frame(spark, [(d, "\n".join(sum(t, []))) for d, t in texts.items()])).collect()}
+    assert got == {d: "\n".join(a + (b if d % 3 == 0 else []) + c) for d, (a, b, c) in texts.items()}
+
+
+def test_lines_of_one_range_are_compared_chunk_by_chunk(spark, monkeypatch):
+    """Where hashes can't tell lines apart, only chunks of equal bytes go."""
+    weak = L.chunks
+    monkeypatch.setattr(L, "chunks", lambda rows: weak(rows).withColumn("h", F.col("n").cast("long")))
+    line = lambda name: " ".join(f"{name}{w}" for w in range(30))
+    docs = frame(spark, [(1, f"{line('a')}\n{line('b')}"), (2, f"{line('a')}\n{line('b')}"), (3, f"{line('a')}\n{line('x')}")])
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()}
+    assert got == {1: f"{line('a')}\n{line('b')}", 2: "", 3: f"{line('a')}\n{line('x')}"}
