@@ -79,6 +79,19 @@ def test_toxicity_deobfuscation(fitted):
     assert own.words("plain words, stay as-is.") >= {"plain", "words", "stay"}
 
 
+def test_toxicity_spaced_sentences_and_fragments(fitted):
+    (chars, model), _, _ = fitted
+    own = toxicity.Restorer(chars, {"stupid", "idiot"})
+    cases = [
+        ("y o u  i d i o t", {"you", "idiot"}), ("y o u i d i o t", {"idiot"}), ("you are a s t u p i d fool", {"stupid", "fool"}), ("I h a t e this", {"hate"}),
+        ("a s s", {"ass"}), ("455 and @$$", {"ass", "455"}), ("so st upid", {"stupid"}), ("an id iot.", {"idiot"}), ("s-t-u-p-i-d  i-d-i-o-t", {"stupid", "idiot"}),
+    ]
+    for text, words in cases:
+        assert own.words(text) >= words, (text, own.words(text))
+    assert "idiot" not in own.words("idi of ot")
+    assert own.words("s " * 20_000)
+
+
 def test_toxicity_awkward(spark, tmp_path, fitted):
     d = input_dir(spark, tmp_path, frame(spark, AWKWARD), labels(spark, [(4, 1, 1), (5, 1, 0), (8, None, None), (None, 1, 1)]))
     got = toxicity.op4_toxicity(spark, d)

@@ -4,7 +4,9 @@ A token that looks obfuscated (letters mixed with digits or symbols, a letter th
 with separators between them) becomes a lattice: a character can stand for itself, for the letters LEET lists, be a
 repetition or a separator to leave out, each at a cost. Viterbi search finds the cheapest word under a character trigram
 model, which is counted over the words of all documents. Other tokens are taken as they stand, in lower case, without
-the punctuation around them.
+the punctuation around them; those of digits and symbols alone are decoded as well. A run of single letters is split
+at its wider gaps, and each piece is read as one word, as one word after a leading a or I, and as the cheapest row of
+several words; all of these count, as does every word with a weight among its letters. Neighbouring tokens that make up a word with a weight count as that word.
 
 From at most SAMPLE_ROWS labelled documents that aren't held out, those of the smallest hash of the id, words that are
 significantly more frequent in toxic documents get log-odds weights (at most MAX_WORDS), and a logistic curve over the sum
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,9 +40,13 @@ SUBSTITUTE, RUN, PAIR, DROP, SEPARATOR = 0.5, 0.3, 6.0, 9.0, 0.3
 CACHED = 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _ODD = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!+|(€])|([a-z])\1\1|[a-z][.\-_*~'][a-z][.\-_*~']", re.S)
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,2}[^\W_](?![^\W_])){3,}")
+_SPACED = re.compile(r"(?<![^\W_])(?<![@$])(?:[^\W_]|[@$])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$])(?![^\W_]|[@$])){2,}")
+_GAP = re.compile(r"[ .\-_*~]+")
 _LEADING = re.compile(r"[@$!][a-z]{2}")
 _PLAIN = re.compile(r"[a-z]+")
+_LETTERLESS = re.compile(r"[0-9@$!+|(€]{3,}")
+#: Fewest letters of a word that is joined from fragments, and most fragments.
+JOINED, FRAGMENTS = 4, 4
 
 
 class CharModel:
@@ -52,8 +58,8 @@ class CharModel:
         self.cost = -np.log((c + 5.0 * pair[None]) / (c.sum(axis=2, keepdims=True) + 5.0))
         self.table = self.cost.tolist()
 
-    def decode(self, observed: str) -> str:
-        """The cheapest word behind the observed characters (lower case)."""
+    def decode(self, observed: str, drops: bool = True) -> str:
+        """The cheapest word behind the observed characters (lower case); without ``drops`` each of them is a letter."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
         runs = {i for m in re.finditer(r"(.)\1\1+", observed, re.S) for i in range(m.start() + 1, m.end())}
@@ -62,7 +68,7 @@ class CharModel:
             drop = RUN if at in runs else PAIR if ch == before else DROP if ch.isalnum() or ch in LEET else SEPARATOR
             step: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, out) in states.items():
-                if not "a" <= ch <= "z" or ch == before:
+                if drops and (not "a" <= ch <= "z" or ch == before):
                     held = step.get((a, b))
                     if held is None or cost + drop < held[0]:
                         step[a, b] = (cost + drop, out)
@@ -77,11 +83,47 @@ class CharModel:
         return min((cost + self.table[a][b][0], out) for (a, b), (cost, out) in states.items())[1]
 
 
+    def segment(self, observed: str) -> list[str]:
+        """The cheapest row of words behind observed characters whose spaces say nothing (lower case); of one letter, only a and i."""
+        # the letters so far are linked pairs, as a run may be long
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        before = ""
+        runs = {i for m in re.finditer(r"(.)\1\1+", observed, re.S) for i in range(m.start() + 1, m.end())}
+        for at, ch in enumerate(observed):
+            choices = [(ch, 0.0)] if "a" <= ch <= "z" else [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
+            if not choices:
+                continue
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, out) in states.items():
+                if ch == before and b:
+                    drop = cost + (RUN if at in runs else PAIR)
+                    if (a, b) not in step or drop < step[a, b][0]:
+                        step[a, b] = (drop, out)
+                row = self.table[a][b]
+                for x, more in choices:
+                    k = ord(x) - 96
+                    total = cost + more + row[k]
+                    if (b, k) not in step or total < step[b, k][0]:
+                        step[b, k] = (total, (out, x))
+            ends = [(cost + self.table[a][b][0], (out, " ")) for (a, b), (cost, out) in step.items() if b and (a or b in (1, 9))]
+            if ends:
+                step[0, 0] = min(ends, key=lambda e: e[0])
+            states, before = step, ch
+        link = min(((cost + (self.table[a][b][0] if b else 0.0), out) for (a, b), (cost, out) in states.items()), key=lambda e: e[0])[1]
+        letters = []
+        while link:
+            link, x = link
+            letters.append(x)
+        return "".join(reversed(letters)).split()
+
+
 class Restorer:
-    """Distinct restored words of a text, with a bounded memo over raw tokens."""
+    """Distinct restored words of a text, with a bounded memo over raw tokens; ``listed`` are words to join fragments to."""
 
-    def __init__(self, model: CharModel):
+    def __init__(self, model: CharModel, listed: Iterable[str] = ()):
         self.model, self.memo = model, {}
+        self.listed = {w for w in listed if len(w) >= JOINED}
+        self.begins = {w[:k] for w in self.listed for k in range(1, len(w))}
 
     def word(self, token: str) -> str:
         t = token.lower()
@@ -103,8 +145,61 @@ class Restorer:
             if w is None:
                 w = memo[token] = self.word(token)
             out.add(w)
+            if _LETTERLESS.fullmatch(token):
+                more = memo.get((token,))
+                if more is None:
+                    more = memo[token,] = {self.model.decode(token), self.model.decode(token, drops=False)}
+                out |= more
         for m in _SPACED.finditer(text):
-            out.add(self.model.decode(m.group().lower()))
+            out |= self.spaced(m.group().lower())
+        if self.listed:
+            out |= self.joined([memo[token] for token in text.split()])
+        return out
+
+    def spaced(self, run: str) -> set[str]:
+        """Readings of a run of single letters: of the whole, and of its pieces between gaps wider than the narrowest."""
+        gaps = _GAP.findall(run)
+        least = min(map(len, gaps))
+        pieces, last = [""], run[0]
+        for ch, gap in zip(_GAP.split(run)[1:], gaps):
+            pieces[-1] += last
+            if len(gap) > least:
+                pieces.append("")
+            last = ch
+        pieces[-1] += last
+        out = {self.model.decode(run)}
+        out |= self.within(self.model.decode("".join(pieces)))
+        for piece in {*pieces, "".join(pieces)}:
+            out.add(self.model.decode(piece))
+            out.update(self.model.segment(piece))
+            if piece[0] in "ai1" and len(piece) > 2:
+                out.add(self.model.decode(piece[1:]))
+                out.update(self.model.segment(piece[1:]))
+        return out
+
+    def within(self, letters: str) -> set[str]:
+        """Listed words at any place among letters whose word edges are unknown."""
+        out = set()
+        for i in range(len(letters)):
+            for k in range(i + 1, len(letters) + 1):
+                w = letters[i:k]
+                if w in self.listed:
+                    out.add(w)
+                if w not in self.begins:
+                    break
+        return out
+
+    def joined(self, words: list[str]) -> set[str]:
+        """Listed words that neighbouring fragments make up."""
+        out = set()
+        for i, w in enumerate(words):
+            if w in self.begins:
+                for k in range(i + 1, min(i + FRAGMENTS, len(words))):
+                    w += words[k]
+                    if w in self.listed:
+                        out.add(w)
+                    if w not in self.begins:
+                        break
         return out
 
 
@@ -202,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, label_col: str =
     shape = Model(weights, 0.0, 1.0)
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Restorer(model)
+        own = Restorer(model, weights)
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "x": [shape.total(own.words(t or "")) for t in batch["text"]]})
 
@@ -216,7 +311,7 @@ def score(docs: DataFrame, model: CharModel, judge: Model, id_col: str = "doc_id
     """Per row: id, held_out, score, predicted, n_listed (distinct restored words that have a weight)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Restorer(model)
+        own = Restorer(model, judge.weights)
         for batch in batches:
             found = [own.words(t or "") for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "score": [judge.score(w) for w in found], "n_listed": [len(judge.weights.keys() & w) for w in found]})
@@ -230,7 +325,7 @@ def keep_clean(docs: DataFrame, model: CharModel, judge: Model, text_col: str =
     """The rows of ``docs`` scored under 0.5, with their columns; the rows are judged where they are, without a join."""
 
     def verdicts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Restorer(model)
+        own = Restorer(model, judge.weights)
         for batch in texts:
             yield pd.Series([judge.score(own.words(t or "")) < 0.5 for t in batch], dtype=bool)
 
