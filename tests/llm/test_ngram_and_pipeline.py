@@ -105,3 +105,12 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 def test_pipeline_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "line_dedup", "near_duplicates", "packing"]
+
+
+def test_sets_of_one_row_of_few_words():
+    import pyarrow as pa
+
+    from ventura.llm.ngram_jaccard import text_sets
+
+    for words in range(1, 6):
+        assert [len(x) for x in text_sets(pa.array(["a b c d e"[: 2 * words - 1]]), 5)] == [1]

@@ -54,9 +54,10 @@ def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             words, start, _ = word_hashes(data[offsets[lo] : offsets[hi]], own)
             text = np.searchsorted(own, start, side="right") - 1
             bounds = np.searchsorted(text, np.arange(hi - lo + 1))
-            grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+            count = max(0, len(words) - n + 1)
+            grams = np.zeros(count, np.uint64)
             for k in range(n):
-                grams = mix(grams + words[k : len(words) - n + 1 + k] * (BASE + np.uint64(2 * k)))
+                grams = mix(grams + words[k : k + count] * (BASE + np.uint64(2 * k)))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b - a >= n:
                     yield np.unique(grams[a : b - n + 1])
