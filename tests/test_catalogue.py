@@ -35,3 +35,12 @@ def test_buckets_partition_the_firms(spark):
 
     total = Tables(spark, DIR).companies.count()
     assert sum(r["n"] for r in QUERIES["K01_share_by_bucket"](spark, DIR).collect()) == total
+
+
+def test_whole_forms_take_every_firm(spark):
+    from ventura.plans.model import Tables
+
+    d = "/root/testdata/sf0.01"
+    t = Tables(spark, d)
+    assert QUERIES["A08_ordered_list_all"](spark, d).count() == t.deals.select("company_id").distinct().count()
+    assert QUERIES["J12_entity_match_all"](spark, d).filter("match_id % 2 = 1").count() > 0
