@@ -44,3 +44,11 @@ def test_whole_forms_take_every_firm(spark):
     t = Tables(spark, d)
     assert QUERIES["A08_ordered_list_all"](spark, d).count() == t.deals.select("company_id").distinct().count()
     assert QUERIES["J12_entity_match_all"](spark, d).filter("match_id % 2 = 1").count() > 0
+
+
+def test_reference_limits(spark):
+    from ventura.plans.model import Tables
+
+    d = "/root/testdata/sf0.01"
+    assert QUERIES["D01_newest_firms_15000"](spark, d).count() == Tables(spark, d).companies.count() > 500
+    assert "LIMIT 5000" in ORACLES["D20_hidden_search_5000"]
