@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 def build(app: str = "ventura", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the engine relies on (UTC, AQE, last-wins maps)."""
     settings = {
+        # one machine only: a cluster names a folder that all executors share
+        "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='ventura-checkpoint-')}",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
