@@ -125,3 +125,18 @@ def test_windows_are_optimal():
 def test_empty(spark, tmp_path):
     d = input_dir(spark, tmp_path, frame(spark, []))
     assert packing.op6_packing(spark, d).count() == bpe.op7_bpe(spark, d).count() == token_counts.op5_token_counts(spark, d).count() == 0
+
+
+#: Two words that polynomial hashes modulo 2**64 give one value, whatever the base.
+PARITY = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+COLLIDING = (PARITY, PARITY.translate(str.maketrans("ab", "ba")))
+
+
+def test_packing_tells_colliding_words_apart():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    for order in (COLLIDING, COLLIDING[::-1]):
+        own = packing.ChunkEncoder(path)
+        texts = [*order, " ".join(order), f"{order[1]} x {order[0]}"]
+        for text, ids in zip(texts, [*own.encode(texts[:1]), *own.encode(texts[1:])]):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids

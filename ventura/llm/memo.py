@@ -1,4 +1,4 @@
-"""A memo of id sequences by string, for tokenisation inside tasks."""
+"""A memo of id sequences by string or bytes, for tokenisation inside tasks."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ import numpy as np
 
 
 class Memo:
-    """Id sequences by string, in one flat pool."""
+    """Id sequences by string or bytes, in one flat pool that doubles."""
 
     def __init__(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str | bytes, int] = {}
         self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
 
-    def add(self, keys: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+    def add(self, keys: list, size: np.ndarray, flat: np.ndarray) -> None:
         n, end = len(self.at), self.used + len(flat)
         if end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(end, np.uint32)])
@@ -27,7 +27,7 @@ class Memo:
         self.at.update(zip(keys, range(n, n + len(keys))))
         self.used = end
 
-    def gather(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of known strings, end to end, and where each row ends."""
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
@@ -35,36 +35,3 @@ class Memo:
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
-
-
-class HashMemo:
-    """Id sequences by 64-bit hash: sorted keys found by binary search, and one flat pool."""
-
-    def __init__(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def __len__(self) -> int:
-        return len(self.keys)
-
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the keys aren't known."""
-        if not len(self.keys):
-            return np.ones(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
-
-    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        """New keys, sorted, and their ids end to end."""
-        at = np.searchsorted(self.keys, keys)
-        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(keys)))
-        self.keys = np.insert(self.keys, at, keys)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, flat])
-
-    def gather(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the known keys[at], end to end, and the number of ids up to each."""
-        slot = self.slot[np.searchsorted(self.keys, keys)][at]
-        size = self.size[slot]
-        ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends
