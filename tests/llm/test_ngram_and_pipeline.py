@@ -107,10 +107,53 @@ def test_pipeline_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "line_dedup", "near_duplicates", "packing"]
 
 
-def test_sets_of_one_row_of_few_words():
-    import pyarrow as pa
-
-    from ventura.llm.ngram_jaccard import text_sets
-
-    for words in range(1, 6):
-        assert [len(x) for x in text_sets(pa.array(["a b c d e"[: 2 * words - 1]]), 5)] == [1]
+def test_sets_of_few_words():
+    from ventura.llm.hashing import ShingleHasher
+
+    for k in range(7):
+        made = [len(x) for x in ShingleHasher(5).sets([" ".join("abcdefg"[:k]), None, "x y"])]
+        assert made == [max(k - 4, 1) if k else 0, 0, 1]
+
+
+#: Two words that polynomial hashes modulo 2**64 give one value, whatever the base.
+PARITY = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+COLLIDING = (PARITY, PARITY.translate(str.maketrans("ab", "ba")))
+
+
+def test_colliding_words(spark):
+    texts = [(1, f"p q {COLLIDING[0]}"), (2, f"p q {COLLIDING[1]}"), (3, COLLIDING[0]), (4, COLLIDING[1]), (5, COLLIDING[1])]
+    assert found(J.link_components(frame(spark, texts), 3, Fraction(9, 10))) == brute(texts, 3, Fraction(9, 10))
+
+
+def test_a_family_of_copies_between_close_and_linked(spark):
+    """Near copies with so many edits that many pairs just don't link, chains of small steps, and one id with two texts."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for k in rng.sample(range(200), rng.randint(1, 9)):
+            own[k] = f"e{rng.randrange(10**7)}"
+        texts.append((i, " ".join(own)))
+    step = [f"c{k}" for k in range(200)]
+    for i in range(40):
+        step = step[3:] + [f"c{200 + 3 * i + k}" for k in range(3)]
+        texts.append((1000 + i, " ".join(step)))
+    texts += [(1020, "another text of the same id with words of its own"), (2000, "another text of the same id with words of its own"), (2000, " ".join(step))]
+    for n, t in ((3, Fraction(9, 10)), (5, Fraction(4, 5))):
+        assert found(J.link_components(frame(spark, texts), n, t)) == brute(texts, n, t)
+
+
+def test_long_texts_of_different_bitmaps(spark):
+    """Sets around a size where the bitmap doubles, linked and not."""
+    words = [f"w{k}" for k in range(4300)]
+    texts = [(1, " ".join(words[:4000])), (2, " ".join(words[:4200])), (3, " ".join(words[50:4300])), (4, " ".join(words[2000:])), (5, " ".join(reversed(words)))]
+    assert found(J.link_components(frame(spark, texts), 3, Fraction(9, 10))) == brute(texts, 3, Fraction(9, 10))
+
+
+def test_components_of_stars_and_loose_ends(spark):
+    """Hubs with many leaves, some smaller than the hub, a ring between hubs, pairs."""
+    links = [(500, k) for k in range(1, 90)] + [(600, 700 + k) for k in range(50)] + [(600, 900), (900, 950), (950, 600), (2000, 2001), (3000, 3001), (3001, 3002), (3002, 3003)]
+    got = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {500: 1} | {k: 1 for k in range(2, 90)} | {700 + k: 600 for k in range(50)} | {900: 600, 950: 600, 2001: 2000, 3001: 3000, 3002: 3000, 3003: 3000}
+    assert got == want

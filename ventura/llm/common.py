@@ -1,8 +1,7 @@
-"""Helpers shared by the operators: table reads, lineage cuts, salting."""
+"""Helpers shared by the operators: table reads, lineage cuts, hot keys."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,8 @@ from ventura.session import ship
 
 #: Deleted by the normalisation of exact matching, and the separators of words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Slices that a key's rows are dealt to in ``lookup``.
+SLICES = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ventura-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share; ventura.session.build does for a local session")
     return folder
 
 
@@ -37,10 +37,27 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ventura-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    # Spark deletes shuffle files once the driver's collector finds their plans unreachable, by default every half hour;
-    # a job of many cuts would hold those of all its steps.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def free(*spent: DataFrame) -> None:
+    """Empty the files behind results of ``cut`` that nothing reads any more."""
+    for df in spent:
+        spark = df.sparkSession
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.cut_path)
+
+
+def lookup(rows: DataFrame, key: str, found: DataFrame, by: Column) -> DataFrame:
+    """``rows`` left joined with ``found`` (one row per key), however many rows one key has.
+
+    Rows are dealt by the key and one of SLICES slices of the hash ``by``; distinct (key, slice) pairs, at most SLICES a key, meet
+    ``found`` and carry its columns to the slices.
+    """
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(SLICES)).cast("int"))
+    pairs = sliced.select(key, "_slice").distinct().join(found.hint("merge"), key)
+    return sliced.join(pairs.hint("merge"), [key, "_slice"], "left").drop("_slice")
 
 
 def lower_ascii(col: Column) -> Column:

@@ -1,14 +1,16 @@
-"""Vectorised hashes of the words of many texts that lie end to end as UTF-8."""
+"""Keyed hashes of words and of runs of words, for code inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-BASE, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The key of all hashes, and words a memo holds before it is emptied.
+SEED, CACHED = 0x9E3779B97F4A7C15, 1_000_000
+STEP, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+BATCH_WORDS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,26 +20,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between the blanks [\\x20\\x09-\\x0D]: hash of the word with A-Z lower-cased, first byte, number of bytes.
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return value
+
+
+class ShingleHasher:
+    """Sorted distinct hashes of the runs of n words of texts.
 
-    A word ends with its text, so texts without blanks at their ends don't grow together.
+    Words stand between the blanks [\\x20\\x09-\\x0D], A-Z lower-cased, and are hashed by their bytes with xxh3, which is
+    not linear in them. A text of fewer than n words is one run.
     """
-    inside = ~BLANK[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    begins = offsets[:-1][offsets[:-1] < len(data)]
-    first[begins] = inside[begins]
-    start = np.flatnonzero(first)
-    if not len(start):
-        return np.zeros(0, np.uint64), start, start
-    at = np.flatnonzero(inside)
-    head = first[at]
-    word = np.cumsum(head) - 1
-    place = at - start[word]
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(place.max()) + 1, BASE))
-        value = (LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * power[place]
-        size = np.bincount(word, minlength=len(start))
-        sums = np.add.reduceat(value, np.flatnonzero(head))
-        return mix(sums + size.astype(np.uint64) * M2), start, size
+
+    def __init__(self, n: int):
+        self.n, self.words = n, _Words()
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        lo = 0
+        rows = [t.encode().lower().split() if t else [] for t in texts] if sum(len(t) for t in texts if t) < 1 << 24 else None
+        while lo < len(texts):
+            part, size = [], 0
+            while lo < len(texts) and (not part or size < BATCH_WORDS):
+                part.append(rows[lo] if rows else (texts[lo] or "").encode().lower().split())
+                size += len(part[-1])
+                lo += 1
+            yield from self._batch(part)
+
+    def _batch(self, rows: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if len(self.words) > CACHED:
+            self.words = _Words()
+        n, ends = self.n, np.cumsum([len(r) for r in rows]).tolist()
+        known = self.words.__getitem__
+        flat = np.fromiter((h for r in rows for h in map(known, r)), np.uint64, ends[-1])
+        count = max(0, len(flat) - n + 1)
+        grams = np.zeros(count, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                grams = mix(grams * STEP + flat[k : k + count])
+            begin = 0
+            for end in ends:
+                if end - begin >= n:
+                    yield np.unique(grams[begin : end - n + 1])
+                elif end > begin:
+                    whole = np.array([end - begin], np.uint64)
+                    for h in flat[begin:end]:
+                        whole = mix(whole * STEP + h)
+                    yield whole
+                else:
+                    yield grams[:0]
+                begin = end

@@ -5,70 +5,66 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
 1. Equal sets are one node, named by the smallest id, so a group of copies never meets itself.
 2. Shingles have one global order, rare before frequent: classes of document frequency, from a sketch of 2**SKETCH_BITS
    counters over all documents (a fixed size), then the hash. Whatever the sketch says it is one order for all, so the
-   prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one.
-3. Prefixes make inverted lists, cut into blocks by size class (ratio 1/t) and by position (POSITION_BLOCK). A block
-   meets blocks of its own and the next size class alone, and skips those at positions where too few shingles are left.
-4. Set relations: a list has a leader per size class. Nodes are compared with the leaders of their lists first, a linear
-   number of pairs; the links join components and the distances are kept. Later pairs inside a component are skipped,
-   and so are two nodes whose Jaccard distances to a common leader differ by more than 1 - t: they cannot link by the
-   triangle inequality, so their answer follows from the leader's. ROUNDS rounds have different leaders.
-   Before an exact comparison parity bitmaps bound how much two sets can share, which rules most pairs out.
-5. What is left, nodes of different components that share a list, is compared exactly, block by block. Nothing is capped.
+   prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one. Prefixes make
+   inverted lists; those of one entry go.
+3. Leader rounds, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles
+   leads. Each node is compared with one leader, the one it shares most lists with; the second round has other leaders
+   and takes the nodes without a link. A comparison also gives the node's difference from its leader, the shingles that
+   only one of them has.
+4. What is left are lists with more than one component. They are cut into blocks by size class (ratio 1/t) and position
+   (POSITION_BLOCK); a block meets blocks of its own and the next size class alone, skips those at positions where too
+   few shingles are left, and blocks of one component skip each other. Inside, whole blocks are screened at once: sizes,
+   positions, parity bitmaps (they bound how many shingles two sets differ in) and the triangle inequality: two nodes
+   whose distances to a common leader differ by more than 1 - t cannot link. Of the pairs between two components only the
+   most promising goes on at first; when these have joined components, the screen is run again and all that pass go on.
+5. Nodes that were compared with the same leader get their answers from the leader's: the sets differ in
+   |dx| + |dy| - 2|dx & dy| shingles, dx and dy being their differences from the leader, so no set is fetched. Other
+   pairs are compared by their whole sets. Nothing is capped.
 
 Components by these links equal components by all links, as only pairs that are already connected or cannot link are
-left out. Null or empty text has an empty set and no links (its component is its own id); a text of fewer words than n
-is one shingle; rows without an id link with nothing; rows that repeat an id are joined; an empty table gives an empty
-result; further columns are ignored. Documents are named by whole numbers.
+left out. Two different words are taken as equal if their 64-bit keyed xxh3 hashes are, and so are shingles; for any two
+of m different ones anywhere that has a chance of m^2 / 2^65. Null or empty text has an empty set and no links (its
+component is its own id); a text of fewer words than n is one shingle; rows without an id link with nothing; rows that
+repeat an id are joined; an empty table gives an empty result; further columns are ignored. Documents are named by whole
+numbers.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ventura.llm.common import cut, table
-from ventura.llm.hashing import BASE, M1, mix, word_hashes
+from ventura.llm.common import cut, free, lookup, table
+from ventura.llm.hashing import M1, ShingleHasher, mix
 
-SKETCH_BITS, POSITION_BLOCK, ROUNDS, BLOCK_ROWS = 18, 8, 2, 64
-#: Bits of a set's bitmap; a shingle flips one, so two bitmaps differ in at most as many bits as the sets in shingles.
+SKETCH_BITS, POSITION_BLOCK, BLOCK_ROWS = 18, 8, 64
+#: A list or group of more than 1 in HOT_SHARE of all rows (and HOT_ROWS) is dealt out over several tasks; there are fewer than
+#: HOT_SHARE of these at every size, so they are broadcast.
+HOT_SHARE, HOT_ROWS = 4096, 2048
+#: Fewest bits of a set's bitmap. A shingle flips one, so two bitmaps differ in at most as many bits as the sets in shingles.
 BITMAP = 1024
-BATCH_BYTES = 4 << 20
-
-
-def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
-    texts = texts.fill_null("").cast(pa.large_string()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BATCH_BYTES, side="right")) - 1)
-        own = offsets[lo : hi + 1] - offsets[lo]
-        with np.errstate(over="ignore"):
-            words, start, _ = word_hashes(data[offsets[lo] : offsets[hi]], own)
-            text = np.searchsorted(own, start, side="right") - 1
-            bounds = np.searchsorted(text, np.arange(hi - lo + 1))
-            count = max(0, len(words) - n + 1)
-            grams = np.zeros(count, np.uint64)
-            for k in range(n):
-                grams = mix(grams + words[k : k + count] * (BASE + np.uint64(2 * k)))
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if b - a >= n:
-                    yield np.unique(grams[a : b - n + 1])
-                elif b > a:
-                    whole = np.uint64(b - a)
-                    for h in words[a:b]:
-                        whole = mix(np.array([whole + h * BASE], np.uint64))[0]
-                    yield np.array([whole], np.uint64)
-                else:
-                    yield grams[:0]
-        lo = hi
+#: Blocks of one list that meet in one task.
+STRIPE = 64
+#: Most ids that are broadcast to filter a scan.
+SEMI_ROWS = 2_000_000
+
+
+def size_classes(t: Fraction) -> np.ndarray:
+    """Least size of each class; linked sets are in one class or in neighbouring ones."""
+    least = [1]
+    while least[-1] < 1 << 40 and t < 1:
+        least.append(least[-1] * t.denominator // t.numerator + 1)
+    return np.array(least, np.int64)
+
+
+def bitmap_bits(least: int) -> int:
+    """Bits for the sets of a size class of at least ``least`` shingles."""
+    return max(BITMAP, 1 << (4 * least - 1).bit_length())
 
 
 def _list_column(arrays: list[np.ndarray]) -> pa.Array:
@@ -81,9 +77,9 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     """Class of document frequency of each of the sketch's counters, counted over all documents (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        own, total = ShingleHasher(n), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for s in text_sets(batch.column("text"), n):
+            for s in own.sets(batch.column("text").to_pylist()):
                 np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
@@ -95,166 +91,270 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """id, size of the set, its 128-bit key, its prefix in the global order and its parity bitmap."""
+    """id, size and size class of the set, its 128-bit key, its prefix in the global order and its parity bitmap."""
+    least = size_classes(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ShingleHasher(n)
         for batch in batches:
             sizes, k1, k2, heads, bits = [], [], [], [], []
-            for s in text_sets(batch.column("text"), n):
+            for s in own.sets(batch.column("text").to_pylist()):
                 with np.errstate(over="ignore"):
                     k1.append(s.sum(dtype=np.uint64))
                     k2.append(np.bitwise_xor.reduce(mix(s + M1)))
                 sizes.append(len(s))
-                odd = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1
+                width = bitmap_bits(int(least[np.searchsorted(least, max(1, len(s)), side="right") - 1]))
+                odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.uint64))
                 order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 heads.append(s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s)
-            made = [batch.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(bits)]
-            yield pa.RecordBatch.from_arrays(made, ["id", "size", "k1", "k2", "prefix", "bits"])
+            size = np.array(sizes, np.int64)
+            sc = np.searchsorted(least, size, side="right") - 1 if t < 1 else size
+            made = [batch.column("id"), pa.array(size), pa.array(sc.astype(np.int32)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(bits)]
+            yield pa.RecordBatch.from_arrays(made, ["id", "size", "sc", "k1", "k2", "prefix", "bits"])
+
+    return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, bits array<long>")
 
-    return docs.mapInArrow(run, "id long, size long, k1 long, k2 long, prefix array<long>, bits array<long>")
 
+def differences(docs: DataFrame, pairs: DataFrame, n: int, most: Fraction) -> DataFrame:
+    """Exact comparison of pairs (a, b) of ids: a, b, size_a, size_b, common and, up to ``most`` of the sizes' sum, delta.
+
+    The followers a of one b are dealt to tasks with a copy of b's text for each task and stream past its set. Every b also meets
+    itself once.
+    """
+    total = pairs.count()
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("b", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
+    salted = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    want = salted.select(F.col("a").alias("id"), "b", "salt", F.lit(0).alias("leads")).unionByName(salted.select(F.col("b").alias("id"), "b", "salt", F.lit(1).alias("leads")).distinct())
+    # The wanted ids are few beside all documents. Up to SEMI_ROWS of them are broadcast to filter the scan; beyond that the texts are dealt by id.
+    ids = cut(want.select("id").distinct(), "wanted")
+    ids_side = F.broadcast(ids) if ids.count() <= SEMI_ROWS else ids.hint("shuffle_hash")
+    rows = docs.join(ids_side, "id", "left_semi").join(want.hint("merge"), "id").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("leads"))
 
-def full_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, lead = ShingleHasher(n), None, []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _list_column(list(text_sets(batch.column("text"), n)))], ["id", "set"])
-
-    return docs.mapInArrow(run, "id long, set array<long>")
+            out: list[tuple] = []
+            deltas: list[np.ndarray | None] = []
+            columns = (batch.column(c).to_pylist() for c in ("id", "b", "salt", "leads"))
+            for i, b, salt, leads, s in zip(*columns, own.sets(batch.column("text").to_pylist())):
+                if (b, salt) != at:
+                    at, lead = (b, salt), []
+                if leads:
+                    lead.append(s)
+                for y in lead:
+                    if leads and (salt or len(lead) > 1):
+                        continue
+                    common = len(s) + len(y) - len(np.union1d(s, y)) if s is not y else len(s)
+                    out.append((i, b, len(s), len(y), common))
+                    far = len(s) + len(y) - 2 * common
+                    deltas.append(np.setxor1d(s, y, assume_unique=True) if far * most.denominator <= (len(s) + len(y)) * most.numerator else None)
+            columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if d is None else d.view(np.int64) for d in deltas], pa.list_(pa.int64()))], ["a", "b", "size_a", "size_b", "common", "delta"])
+
+    made = cut(rows.select("id", "b", "salt", "leads", "text").mapInArrow(run, "a long, b long, size_a long, size_b long, common long, delta array<long>"), "compared")
+    free(ids)
+    return made
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for edges (a, b): alternating large-star and small-star steps until nothing changes."""
+    """(node, root) of every node but the roots, the smallest of their components, for edges (a, b).
+
+    Nodes of one edge follow their neighbour; between the others, large-star and small-star steps alternate until nothing
+    changes. Lookups deal the edges of one node over several tasks.
+    """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
+    ends = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node")))
+    lone = ends.groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node", F.lit(True).alias("lone"))
+    marked = lookup(e, "a", lone.select(F.col("node").alias("a"), F.col("lone").alias("lone_a")), F.col("b"))
+    marked = cut(lookup(marked, "b", lone.select(F.col("node").alias("b"), F.col("lone").alias("lone_b")), F.col("a")), "edges")
+    leaf = marked.filter("lone_a OR lone_b").select(F.when(F.col("lone_a"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("lone_a"), F.col("b")).otherwise(F.col("a")).alias("to"))
+    core, before = cut(marked.filter("lone_a IS NULL AND lone_b IS NULL").select("a", "b"), "edges"), None
+    free(e)
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = tuple(core.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == before or not now[0]:
+            break
+        before = now
+        both = core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = lookup(both, "a", least, F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        e = cut(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        old, core = core, cut(small, "edges")
+        free(old)
+    # a leaf can be smaller than the root of its neighbour: the smallest node names the component
+    hung = lookup(leaf, "to", core.select(F.col("a").alias("to"), F.col("b").alias("top")), F.col("node")).select("node", F.coalesce("top", "to").alias("top"))
+    every = hung.unionByName(core.select(F.col("a").alias("node"), F.col("b").alias("top")))
+    named = every.groupBy("top").agg(F.min("node").alias("root")).select("top", F.least("root", "top").alias("root"))
+    every = every.unionByName(named.select(F.col("top").alias("node"), "top"))
+    made = cut(lookup(every, "top", named, F.col("node")).filter("node <> root").select("node", "root"), "roots")
+    free(marked, core)
+    return made
 
 
 class _Join:
-    """State of one join: the nodes' lists, the components so far and the distances to leaders."""
+    """State of one join: the nodes, their lists, the links and components so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, n: int, t: Fraction):
-        self.docs, self.nodes, self.postings, self.n, self.t = docs, nodes, postings, n, t
-        spark = docs.sparkSession
-        self.roots, self.linked = spark.createDataFrame([], "node long, root long"), False
-        self.compared = spark.createDataFrame([], "a long, b long, size_a long, size_b long, common long")
+    def __init__(self, docs: DataFrame, nodes: DataFrame, lists: DataFrame, n: int, t: Fraction):
+        self.docs, self.nodes, self.lists, self.n, self.t = docs, nodes, lists, n, t
+        self.compared: list[DataFrame] = []
+        self.derived: list[DataFrame] = []
+        self.roots: DataFrame | None = None
 
-    def may_link(self, a: str, b: str) -> Column:
-        """Size and positional filters of a posting pair."""
-        num, den = self.t.numerator, self.t.denominator
-        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        rest = F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos"))
-        return (small * den >= large * num) & (rest * (num + den) >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * num)
-
-    def rooted(self) -> DataFrame:
-        """Postings with the component of their node."""
-        if not self.linked:
-            return self.postings.withColumn("root", F.col("id"))
-        return self.postings.join(self.roots, F.col("id") == F.col("node"), "left").select("token", "id", "size", "pos", "sc", F.coalesce("root", "id").alias("root"))
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Compare the pairs (a, b) exactly and join the components of those that link."""
-        a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        # neither side is broadcast: both grow with the input
-        met = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        met = met.select("a", "b", F.size("set_a").cast("long").alias("size_a"), F.size("set_b").cast("long").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
-        met = cut(met, "compared")
+    def linked(self, differ: str, sizes: str) -> str:
+        """Condition that sets that differ in ``differ`` shingles link, or could if that is a bound."""
         num, den = self.t.numerator, self.t.denominator
-        links = met.filter(F.col("common") * (num + den) >= (F.col("size_a") + F.col("size_b")) * num)
-        self.compared = self.compared.unionByName(met)
-        own = self.roots
-        edges = links.join(own.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        new = components(edges)
-        moved = own.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        self.roots, self.linked = cut(moved.unionByName(new.join(own, "node", "left_anti")), "roots"), True
-
-    def leader_pairs(self, number: int) -> DataFrame:
-        """Each node with the leaders of its lists, in its own and the next size class, that are in other components."""
-        p = cut(self.rooted(), "lists")
-        lead = p.groupBy("token", "sc").agg(F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "size", "pos", "root")).alias("l")).select("token", "sc", "l.*").drop("h")
-        down = lead.unionByName(lead.withColumn("sc", F.col("sc") - 1)).alias("y")
-        pairs = p.alias("x").join(down, (F.col("x.token") == F.col("y.token")) & (F.col("x.sc") == F.col("y.sc")) & (F.col("x.root") != F.col("y.root")) & self.may_link("x", "y"))
-        return self.fresh(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-
-    def fresh(self, pairs: DataFrame) -> DataFrame:
-        """Pairs not compared yet whose bitmaps allow a link: the bits they differ in bound the shingles they differ in."""
-        pairs = pairs.join(self.compared.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            pairs = pairs.join(self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+        return f"({differ}) * {num + den} <= ({sizes}) * {den - num}"
+
+    def may_link(self, a: str, b: str) -> str:
+        """Size and positional filters of two entries of a list."""
         num, den = self.t.numerator, self.t.denominator
-        return pairs.filter(differ * (num + den) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b").distinct()
+        return (
+            f"least({a}.size, {b}.size) * {den} >= greatest({a}.size, {b}.size) * {num}"
+            f" AND least({a}.size - {a}.pos, {b}.size - {b}.pos) * {num + den} >= ({a}.size + {b}.size) * {num}"
+        )
 
-    def block_pairs(self) -> DataFrame:
-        """The pairs that remain: blocks of lists with more than one component meet where size and position allow."""
+    def leader_pairs(self) -> DataFrame:
+        """Each node with two leaders: of the central and of the random leaders of its lists, the one it shares most lists with."""
+        entry = F.struct(F.xxhash64("id").alias("h"), "id", "size", "pos")
+        lead = self.lists.groupBy("token", "salt", "sc").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
+        kinds = F.array(F.struct(F.lit(0).alias("kind"), "c.id", "c.size", "c.pos"), F.struct(F.lit(1).alias("kind"), "r.id", "r.size", "r.pos"))
+        lead = lead.select("token", "salt", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), kinds.alias("kinds")).select("token", "salt", "sc", F.inline("kinds"))
+        met = self.lists.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
+        shared = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.kind").groupBy("a", "b", "kind").agg(F.count("*").alias("lists"))
+        best = shared.groupBy("a", "kind").agg(F.max(F.struct("lists", F.xxhash64("b").alias("h"), "b")).alias("best"))
+        return self.screened(best.select("a", F.col("best.b").alias("b")).distinct())
+
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps allow a link."""
+        for side in ("a", "b"):
+            own = self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+            pairs = lookup(pairs, side, own, F.col("b" if side == "a" else "a"))
+        return pairs.filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select("a", "b").distinct()
+
+    def reference(self) -> DataFrame:
+        """Per node the leader that its difference is known from: itself if it has followers, else the first it was compared with."""
+        c = self.compared[0].filter("delta IS NOT NULL")
+        one = c.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct((F.col("a") != F.col("b")).alias("other"), "b")).alias("first")).select("a", F.col("first.b").alias("b"))
+        return c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.count("*").alias("n")).filter("n = 1").select(F.col("a").alias("id"), "ref", "delta")
+
+    def open_pairs(self, refs: DataFrame, every: bool) -> DataFrame:
+        """Pairs of different components that share a list and pass all filters, or the most promising one of two components."""
         num, den = self.t.numerator, self.t.denominator
-        p = self.rooted()
-        open_lists = p.groupBy("token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("token", "n")
-        p = p.join(open_lists, "token")
-        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
-        blocks = p.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), salt.alias("salt")).agg(
-            F.collect_list(F.struct("id", "size", "pos", "root")).alias("rows"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
+        roots = self.roots.select(F.col("node").alias("id"), "root")
+        p = self.lists.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        salts = p.groupBy("token", "salt").agg(F.min("root").alias("main"), F.max("root").alias("last"))
+        tokens = salts.groupBy("token").agg(F.min("main").alias("main"), F.max("last").alias("last"), F.count("*").alias("salts")).filter("main <> last").select("token", "main", "salts")
+        open_salts = tokens.join(salts.select("token", "salt").hint("merge"), "token")
+        p = p.join(open_salts.hint("merge"), ["token", "salt"])
+        p = p.join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left").join(self.nodes.select("id", "bits").hint("merge"), "id")
+        deal = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))).cast("int")
+        rows = F.struct("id", "size", "pos", "root", "ref", "far", "bits")
+        blocks = p.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
+            F.collect_list(rows).alias("rows"), F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
+        )
+        stripes = F.ceil(F.col("n") / (BLOCK_ROWS * STRIPE)).cast("int")
+        x = blocks.withColumn("stripe", F.pmod(F.xxhash64("deal"), stripes).cast("int")).alias("x")
+        y = blocks.select("*", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe")).select("*", F.explode(F.array("sc", F.col("sc") - 1)).alias("meets")).alias("y")
+        meet = (
+            "x.token = y.token AND x.sc = y.meets AND x.stripe = y.stripe AND NOT (x.main AND y.main)"
+            " AND (x.sc <> y.sc OR struct(x.pb, x.deal, x.main) <= struct(y.pb, y.deal, y.main))"
+            f" AND least(x.rest, y.rest) * {num + den} >= (x.least + y.least) * {num}"
+            f" AND x.least * {num} <= y.most * {den} AND y.least * {num} <= x.most * {den}"
         )
-        blocks = cut(blocks, "blocks")
-        ahead = blocks.select(F.col("*"), F.explode(F.array("sc", F.col("sc") - 1)).alias("meets"))
-        x, y = blocks.alias("x"), ahead.alias("y")
-        far = F.struct("x.pb", "x.salt") <= F.struct("y.pb", "y.salt")
-        meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.sc") == F.col("y.meets")) & ((F.col("x.sc") != F.col("y.sc")) | far)
-        meet &= F.least("x.rest", "y.rest") * (num + den) >= (F.col("x.least") + F.col("y.least")) * num
-        meet &= (F.col("x.least") * num <= F.col("y.most") * den) & (F.col("y.least") * num <= F.col("x.most") * den)
-        pairs = x.join(y, meet).select(F.col("x.rows").alias("xs"), F.explode("y.rows").alias("y")).select(F.explode("xs").alias("x"), "y")
-        pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & self.may_link("x", "y"))
-        return self.not_apart(self.fresh(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()))
-
-    def not_apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the distances to a common leader don't keep from linking."""
-        c = self.compared.withColumn("d", 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
-        both = c.select(F.col("a").alias("node"), F.col("b").alias("to"), "d").unionByName(c.select(F.col("b").alias("node"), F.col("a").alias("to"), "d"))
-        led = both.groupBy("to").agg(F.count("*").alias("n")).filter("n > 1").select("to")  # leaders alone, few for any node
-        known = both.join(led, "to").groupBy("node").agg(F.collect_list(F.struct("to", "d")).alias("known"))
+        pairs = x.join(y.hint("merge"), F.expr(meet)).select(F.col("x.rows").alias("xs"), F.explode("y.rows").alias("y")).select(F.explode("xs").alias("x"), "y")
+        apart = "coalesce(x.ref = y.ref AND NOT " + self.linked("abs(x.far - y.far)", "x.size + y.size") + ", false)"
+        differ = _differ("x.bits", "y.bits")
+        pairs = pairs.filter(F.expr(f"x.root <> y.root AND x.id <> y.id AND {self.may_link('x', 'y')} AND NOT {apart}")).filter(F.expr(self.linked(differ, "x.size + y.size")))
+        pairs = pairs.select(
+            F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.root, y.root)").alias("ra"), F.expr("greatest(x.root, y.root)").alias("rb"),
+            F.expr("CASE WHEN x.ref = y.ref THEN x.ref END").alias("ref"), F.expr(f"({differ}) / (x.size + y.size)").alias("slack"),
+        )
+        if every:
+            return pairs.select("a", "b", "ref").distinct().join(self.seen().hint("merge"), ["a", "b"], "left_anti")
+        return pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref")
+
+    def seen(self) -> DataFrame:
+        """Pairs that have been compared."""
+        out = None
+        for c in self.compared + self.derived:
+            own = c.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            out = own if out is None else out.unionByName(own)
+        return out.distinct()
+
+    def derive(self, pairs: DataFrame, refs: DataFrame) -> DataFrame:
+        """Answers of pairs with a common leader from their differences to it: a, b and how many shingles they differ in."""
         for side in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("node").alias(side), F.col("known").alias(f"known_{side}")), side, "left")
-        far = 1 - self.t.numerator / self.t.denominator + 1e-9
-        apart = F.exists("known_a", lambda k: F.exists("known_b", lambda m: (k["to"] == m["to"]) & (F.abs(k["d"] - m["d"]) > far)))
-        return pairs.filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
-
-    def run(self) -> DataFrame:
-        for step in range(ROUNDS + 1):
-            pairs = cut(self.leader_pairs(step) if step < ROUNDS else self.block_pairs(), "pairs")
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            if pairs.isEmpty():
-                continue
-            wanted = self.docs.join(ids.hint("shuffle_hash"), "id", "left_semi")
-            self.verify(pairs, cut(full_sets(wanted, self.n), "sets"))
+            pairs = lookup(pairs, side, refs.select(F.col("id").alias(side), F.col("delta").alias(f"delta_{side}")), F.col("b" if side == "a" else "a"))
+            pairs = lookup(pairs, side, self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}")), F.col("b" if side == "a" else "a"))
+        return pairs.select("a", "b", "size_a", "size_b", (F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))).cast("long").alias("differ"))
+
+    def join_links(self, extra: DataFrame | None = None) -> None:
+        """Components by all links found so far and the edges ``extra``."""
+        found = [c.filter(self.linked("size_a + size_b - 2 * common", "size_a + size_b")).select("a", "b") for c in self.compared]
+        found += [d.filter(self.linked("differ", "size_a + size_b")).select("a", "b") for d in self.derived] + ([extra] if extra is not None else [])
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        if self.roots is not None:
+            free(self.roots)
+        self.roots = components(every.filter("a <> b"))
+
+    def run(self, extra: DataFrame) -> DataFrame:
+        """Roots of the components: (node, root) of all nodes but the roots. ``extra`` are edges known beforehand."""
+        keep = Fraction(min(1, 2 * (1 - self.t))) / (1 + self.t)  # differences twice as far as a link's are kept
+        pairs = cut(self.leader_pairs(), "pairs")
+        self.compared.append(differences(self.docs, pairs, self.n, keep))
+        free(pairs)
+        self.join_links(extra)
+        refs = cut(self.reference(), "references")
+        for every in (False, True):
+            pairs = cut(self.open_pairs(refs, every), "pairs")
+            if not pairs.isEmpty():
+                self.derived.append(cut(self.derive(pairs.filter("ref IS NOT NULL").select("a", "b"), refs), "derived"))
+                rest = pairs.filter("ref IS NULL").select("a", "b")
+                if not rest.isEmpty():
+                    self.compared.append(differences(self.docs, rest, self.n, Fraction(0)))
+                self.join_links(extra)
+            free(pairs)
+        free(refs, *self.compared, *self.derived)
         return self.roots
 
 
+def _differ(a: str, b: str) -> str:
+    """Bits that two bitmaps differ in; one of twice the width is folded first."""
+    same = f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    folded = lambda x, m: f"CASE WHEN size({x}) > {m} THEN zip_with(slice({x}, 1, {m}), slice({x}, {m} + 1, {m}), (p, q) -> p ^ q) ELSE {x} END"
+    m = f"least(size({a}), size({b}))"
+    apart = f"aggregate(zip_with({folded(a, m)}, {folded(b, m)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    return f"CASE WHEN size({a}) = size({b}) THEN {same} ELSE {apart} END"
+
+
 def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id IS NOT NULL")
     found = cut(prefixes(rows, n, threshold, frequency_classes(named, n)), "prefixes")
-    keys = ["k1", "k2", "size"]
-    nodes = found.filter("size > 0 AND id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("node"))
-    members = cut(found.select("id", *keys).join(nodes, keys, "left"), "members")
-    own = found.join(nodes.hint("merge"), keys).filter("id = node").dropDuplicates(["id", *keys])
-    size_class = F.floor(F.log(F.col("size").cast("double")) / math.log(threshold.denominator / threshold.numerator)).cast("int") if threshold < 1 else F.col("size").cast("int")
-    own = cut(own, "nodes")
-    postings = own.select("id", "size", size_class.alias("sc"), F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    postings = cut(postings.join(shared.hint("merge"), "token", "left_semi"), "postings")
-    roots = _Join(named, own.select("id", "size", "bits"), postings, n, threshold).run()
-    out = members.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    found = found.withColumn("key", F.struct("k1", "k2", "size"))
+    filled = found.filter("size > 0 AND id IS NOT NULL")
+    sets = filled.groupBy("key").agg(F.min("id").alias("node"))
+    own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "bits"), "nodes")
+    members = cut(lookup(found.select("id", "size", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")), "key", sets, F.col("id")).select("id", "size", "node"), "members")
+    postings = own.select("id", "size", "sc", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
+    total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    salts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    hot = shared.filter(F.col("n") > most).select("token", salts.alias("salts"))
+    lists = postings.join(F.broadcast(hot), "token", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    lists = cut(lists.join(shared.select("token", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).hint("merge"), ["token", "salt"]), "lists")
+    # ids that several texts bear
+    several = members.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
+    twins = members.join(several.hint("merge"), "id").select("a", F.col("node").alias("b")).distinct()
+    roots = _Join(named, own.select("id", "size", "bits"), lists, n, threshold).run(twins)
+    free(own, shared, lists)
+    out = lookup(members, "node", roots, F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("root", "node", "id").alias("component_id"))
 
 
