@@ -5,66 +5,84 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 
-#: The key of all hashes, and words a memo holds before it is emptied.
-SEED, CACHED = 0x9E3779B97F4A7C15, 1_000_000
-STEP, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BATCH_WORDS = 1 << 18
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: The key of all hashes, an odd step, and the multipliers of ``mix``.
+SEED, STEP, M1, M2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes that are hashed at once.
+BATCH_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
+    """A bijection of 64-bit words that spreads every bit and is not linear."""
     x = (x ^ (x >> np.uint64(30))) * M1
     x = (x ^ (x >> np.uint64(27))) * M2
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
-        return value
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between the blanks [\\x20\\x09-\\x0D], and the number of words up to the end of each text.
 
+    A word is read in steps of eight bytes, each mixed into its hash, which begins with its length: words of one length up
+    to eight bytes never collide, longer ones as any 64-bit hash does.
+    """
+    data = b"\n".join([b"", *texts, b"        "])
+    flat = np.frombuffer(data, np.uint8)
+    inside = ~BLANK[flat]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    hashes = SEED ^ size.astype(np.uint64)
+    left = np.arange(len(start))
+    with np.errstate(over="ignore"):
+        done = 0
+        while len(left):
+            rest = size[left] - done
+            chunk = eight[start[left] + done]
+            cut = rest < 8
+            chunk[cut] &= (np.uint64(1) << (rest[cut] * 8).astype(np.uint64)) - np.uint64(1)
+            hashes[left] = mix(hashes[left] * STEP + chunk)
+            left = left[rest > 8]
+            done += 8
+    ends = np.cumsum([1] + [len(t) + 1 for t in texts])[1:]
+    return hashes, np.searchsorted(start, ends)
 
-class ShingleHasher:
-    """Sorted distinct hashes of the runs of n words of texts.
 
-    Words stand between the blanks [\\x20\\x09-\\x0D], A-Z lower-cased, and are hashed by their bytes with xxh3, which is
-    not linear in them. A text of fewer than n words is one run.
-    """
+class ShingleHasher:
+    """Sorted distinct hashes of the runs of n words of texts, A-Z lower-cased. A text of fewer than n words is one run."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, _Words()
+        self.n = n
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        lo = 0
-        rows = [t.encode().lower().split() if t else [] for t in texts] if sum(len(t) for t in texts if t) < 1 << 24 else None
-        while lo < len(texts):
-            part, size = [], 0
-            while lo < len(texts) and (not part or size < BATCH_WORDS):
-                part.append(rows[lo] if rows else (texts[lo] or "").encode().lower().split())
-                size += len(part[-1])
-                lo += 1
-            yield from self._batch(part)
+        part: list[bytes] = []
+        size = 0
+        for t in texts:
+            part.append(t.encode().lower() if t else b"")
+            size += len(part[-1])
+            if size > BATCH_BYTES:
+                yield from self._batch(part)
+                part, size = [], 0
+        yield from self._batch(part)
 
-    def _batch(self, rows: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if len(self.words) > CACHED:
-            self.words = _Words()
-        n, ends = self.n, np.cumsum([len(r) for r in rows]).tolist()
-        known = self.words.__getitem__
-        flat = np.fromiter((h for r in rows for h in map(known, r)), np.uint64, ends[-1])
-        count = max(0, len(flat) - n + 1)
-        grams = np.zeros(count, np.uint64)
+    def _batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        n = self.n
+        words, upto = word_hashes(texts)
+        count = max(0, len(words) - n + 1)
+        grams = words[:count]
         with np.errstate(over="ignore"):
-            for k in range(n):
-                grams = mix(grams * STEP + flat[k : k + count])
+            for k in range(1, n):
+                grams = mix(grams * STEP + words[k : k + count])
             begin = 0
-            for end in ends:
+            for end in upto.tolist():
                 if end - begin >= n:
                     yield np.unique(grams[begin : end - n + 1])
                 elif end > begin:
                     whole = np.array([end - begin], np.uint64)
-                    for h in flat[begin:end]:
+                    for h in words[begin:end]:
                         whole = mix(whole * STEP + h)
                     yield whole
                 else:

@@ -22,8 +22,8 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
    pairs are compared by their whole sets. Nothing is capped.
 
 Components by these links equal components by all links, as only pairs that are already connected or cannot link are
-left out. Two different words are taken as equal if their 64-bit keyed xxh3 hashes are, and so are shingles; for any two
-of m different ones anywhere that has a chance of m^2 / 2^65. Null or empty text has an empty set and no links (its
+left out. Two different words of over eight bytes are taken as equal if their 64-bit keyed hashes are, and so are shingles; for any
+two of m different ones anywhere that has a chance of m^2 / 2^65. Null or empty text has an empty set and no links (its
 component is its own id); a text of fewer words than n is one shingle; rows without an id link with nothing; rows that
 repeat an id are joined; an empty table gives an empty result; further columns are ignored. Documents are named by whole
 numbers.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventura.llm.common import cut, free, lookup, table
-from ventura.llm.hashing import M1, ShingleHasher, mix
+from ventura.llm.hashing import ShingleHasher
 
 SKETCH_BITS, POSITION_BLOCK, BLOCK_ROWS = 18, 8, 64
 #: A list or group of more than 1 in HOT_SHARE of all rows (and HOT_ROWS) is dealt out over several tasks; there are fewer than
@@ -48,6 +48,9 @@ SKETCH_BITS, POSITION_BLOCK, BLOCK_ROWS = 18, 8, 64
 HOT_SHARE, HOT_ROWS = 4096, 2048
 #: Fewest bits of a set's bitmap. A shingle flips one, so two bitmaps differ in at most as many bits as the sets in shingles.
 BITMAP = 1024
+#: Words of the short bitmap that entries of lists carry, folded from the whole one.
+SHORT = 4
+SHORT_BITS = tuple(f"s{k}" for k in range(SHORT))
 #: Blocks of one list that meet in one task.
 STRIPE = 64
 #: Most ids that are broadcast to filter a scan.
@@ -77,10 +80,19 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     """Class of document frequency of each of the sketch's counters, counted over all documents (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = ShingleHasher(n), np.zeros(1 << SKETCH_BITS, np.int64)
+        own, total, held, size = ShingleHasher(n), np.zeros(1 << SKETCH_BITS, np.int64), [np.zeros(0, np.uint64)], 0
+
+        def count() -> np.ndarray:
+            return np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+
         for batch in batches:
             for s in own.sets(batch.column("text").to_pylist()):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                held.append(s)
+                size += len(s)
+                if size > 1 << 20:
+                    total += count()
+                    held, size = held[:1], 0
+        total += count()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
 
@@ -97,23 +109,25 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ShingleHasher(n)
         for batch in batches:
-            sizes, k1, k2, heads, bits = [], [], [], [], []
+            sizes, k1, k2, heads, bits, short = [], [], [], [], [], []
             for s in own.sets(batch.column("text").to_pylist()):
                 with np.errstate(over="ignore"):
                     k1.append(s.sum(dtype=np.uint64))
-                    k2.append(np.bitwise_xor.reduce(mix(s + M1)))
+                k2.append(np.bitwise_xor.reduce(s))
                 sizes.append(len(s))
                 width = bitmap_bits(int(least[np.searchsorted(least, max(1, len(s)), side="right") - 1]))
                 odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.uint64))
+                short.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, SHORT), axis=0))
                 order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 heads.append(s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s)
             size = np.array(sizes, np.int64)
             sc = np.searchsorted(least, size, side="right") - 1 if t < 1 else size
             made = [batch.column("id"), pa.array(size), pa.array(sc.astype(np.int32)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(bits)]
-            yield pa.RecordBatch.from_arrays(made, ["id", "size", "sc", "k1", "k2", "prefix", "bits"])
+            made += [pa.array(c) for c in np.array(short, np.uint64).view(np.int64).reshape(-1, SHORT).T.copy()]
+            yield pa.RecordBatch.from_arrays(made, ["id", "size", "sc", "k1", "k2", "prefix", "bits", *SHORT_BITS])
 
-    return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, bits array<long>")
+    return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, bits array<long>, " + ", ".join(f"{c} long" for c in SHORT_BITS))
 
 
 def differences(docs: DataFrame, pairs: DataFrame, n: int, most: Fraction) -> DataFrame:
@@ -227,11 +241,12 @@ class _Join:
         return self.screened(best.select("a", F.col("best.b").alias("b")).distinct())
 
     def screened(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose bitmaps allow a link."""
+        """Pairs (a, b and further columns) whose whole bitmaps allow a link."""
+        names = pairs.columns
         for side in ("a", "b"):
             own = self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
             pairs = lookup(pairs, side, own, F.col("b" if side == "a" else "a"))
-        return pairs.filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select("a", "b").distinct()
+        return pairs.filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select(*names)
 
     def reference(self) -> DataFrame:
         """Per node the leader that its difference is known from: itself if it has followers, else the first it was compared with."""
@@ -242,17 +257,18 @@ class _Join:
     def open_pairs(self, refs: DataFrame, every: bool) -> DataFrame:
         """Pairs of different components that share a list and pass all filters, or the most promising one of two components."""
         num, den = self.t.numerator, self.t.denominator
-        roots = self.roots.select(F.col("node").alias("id"), "root")
-        p = self.lists.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        state = self.nodes.select("id", *SHORT_BITS).join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left")
+        p = self.lists.join(state.withColumn("root", F.coalesce("root", "id")).hint("merge"), "id")
         salts = p.groupBy("token", "salt").agg(F.min("root").alias("main"), F.max("root").alias("last"))
         tokens = salts.groupBy("token").agg(F.min("main").alias("main"), F.max("last").alias("last"), F.count("*").alias("salts")).filter("main <> last").select("token", "main", "salts")
         open_salts = tokens.join(salts.select("token", "salt").hint("merge"), "token")
         p = p.join(open_salts.hint("merge"), ["token", "salt"])
-        p = p.join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left").join(self.nodes.select("id", "bits").hint("merge"), "id")
-        deal = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1))).cast("int")
-        rows = F.struct("id", "size", "pos", "root", "ref", "far", "bits")
-        blocks = p.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
-            F.collect_list(rows).alias("rows"), F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
+        rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "far", *SHORT_BITS)).alias("rows")
+        whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows).select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
+        large = p.filter(F.col("n") > BLOCK_ROWS)
+        deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
+        blocks = large.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
+            rows, F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
         )
         stripes = F.ceil(F.col("n") / (BLOCK_ROWS * STRIPE)).cast("int")
         x = blocks.withColumn("stripe", F.pmod(F.xxhash64("deal"), stripes).cast("int")).alias("x")
@@ -263,17 +279,19 @@ class _Join:
             f" AND least(x.rest, y.rest) * {num + den} >= (x.least + y.least) * {num}"
             f" AND x.least * {num} <= y.most * {den} AND y.least * {num} <= x.most * {den}"
         )
-        pairs = x.join(y.hint("merge"), F.expr(meet)).select(F.col("x.rows").alias("xs"), F.explode("y.rows").alias("y")).select(F.explode("xs").alias("x"), "y")
+        same = F.expr("x.sc = y.sc AND x.pb = y.pb AND x.deal = y.deal AND x.main = y.main")
+        met = whole.unionByName(x.join(y.hint("merge"), F.expr(meet)).select(F.col("x.rows").alias("xs"), F.col("y.rows").alias("ys"), same.alias("own")))
+        pairs = met.select("xs", "own", F.explode("ys").alias("y")).select(F.explode("xs").alias("x"), "y", "own").filter("NOT own OR x.id < y.id")
         apart = "coalesce(x.ref = y.ref AND NOT " + self.linked("abs(x.far - y.far)", "x.size + y.size") + ", false)"
-        differ = _differ("x.bits", "y.bits")
-        pairs = pairs.filter(F.expr(f"x.root <> y.root AND x.id <> y.id AND {self.may_link('x', 'y')} AND NOT {apart}")).filter(F.expr(self.linked(differ, "x.size + y.size")))
+        differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SHORT_BITS)
+        pairs = pairs.filter(F.expr(f"x.root <> y.root AND {self.may_link('x', 'y')} AND NOT {apart}")).filter(F.expr(self.linked(differ, "x.size + y.size")))
         pairs = pairs.select(
             F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.root, y.root)").alias("ra"), F.expr("greatest(x.root, y.root)").alias("rb"),
             F.expr("CASE WHEN x.ref = y.ref THEN x.ref END").alias("ref"), F.expr(f"({differ}) / (x.size + y.size)").alias("slack"),
         )
-        if every:
-            return pairs.select("a", "b", "ref").distinct().join(self.seen().hint("merge"), ["a", "b"], "left_anti")
-        return pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref")
+        if not every:
+            pairs = pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref")
+        return self.screened(pairs.select("a", "b", "ref").distinct()).join(self.seen().hint("merge"), ["a", "b"], "left_anti")
 
     def seen(self) -> DataFrame:
         """Pairs that have been compared."""
@@ -339,7 +357,7 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     found = found.withColumn("key", F.struct("k1", "k2", "size"))
     filled = found.filter("size > 0 AND id IS NOT NULL")
     sets = filled.groupBy("key").agg(F.min("id").alias("node"))
-    own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "bits"), "nodes")
+    own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "bits", *SHORT_BITS), "nodes")
     members = cut(lookup(found.select("id", "size", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")), "key", sets, F.col("id")).select("id", "size", "node"), "members")
     postings = own.select("id", "size", "sc", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
@@ -352,7 +370,7 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     # ids that several texts bear
     several = members.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
     twins = members.join(several.hint("merge"), "id").select("a", F.col("node").alias("b")).distinct()
-    roots = _Join(named, own.select("id", "size", "bits"), lists, n, threshold).run(twins)
+    roots = _Join(named, own.select("id", "size", "bits", *SHORT_BITS), lists, n, threshold).run(twins)
     free(own, shared, lists)
     out = lookup(members, "node", roots, F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("root", "node", "id").alias("component_id"))
