@@ -29,14 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", over: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back.
 
-    The file is compressed and columnar, so it is smaller than an RDD checkpoint, and it survives lost executors.
+    The file is compressed and columnar, so it is smaller than an RDD checkpoint, and it survives lost executors. It takes
+    the place of the file behind ``over``, an earlier result that nothing reads any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/ventura-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    path = over.cut_path if over is not None else f"{shared_dir(spark).rstrip('/')}/ventura-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path, compression="zstd")
     made = spark.read.schema(df.schema).parquet(path)
     made.cut_path = path
     return made
@@ -45,8 +46,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 def free(*spent: DataFrame) -> None:
     """Empty the files behind results of ``cut`` that nothing reads any more."""
     for df in spent:
-        spark = df.sparkSession
-        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df.cut_path)
+        df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(df.cut_path)
 
 
 def lookup(rows: DataFrame, key: str, found: DataFrame, by: Column) -> DataFrame:

@@ -174,17 +174,16 @@ def differences(docs: DataFrame, pairs: DataFrame, n: int, most: Fraction) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node but the roots, the smallest of their components, for edges (a, b).
 
-    Nodes of one edge follow their neighbour; between the others, large-star and small-star steps alternate until nothing
-    changes. Lookups deal the edges of one node over several tasks.
+    A node of one edge hangs on its neighbour and takes no part in the rest, so a hub of many such nodes is no hot key. Between
+    the others, large-star and small-star steps alternate until nothing changes.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    ends = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node")))
-    lone = ends.groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node", F.lit(True).alias("lone"))
-    marked = lookup(e, "a", lone.select(F.col("node").alias("a"), F.col("lone").alias("lone_a")), F.col("b"))
-    marked = cut(lookup(marked, "b", lone.select(F.col("node").alias("b"), F.col("lone").alias("lone_b")), F.col("a")), "edges")
-    leaf = marked.filter("lone_a OR lone_b").select(F.when(F.col("lone_a"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("lone_a"), F.col("b")).otherwise(F.col("a")).alias("to"))
-    core, before = cut(marked.filter("lone_a IS NULL AND lone_b IS NULL").select("a", "b"), "edges"), None
-    free(e)
+    ends = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    leaf = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("to").alias("to")).filter("n = 1")
+    # an edge of two such nodes is a component; else one of its ends hangs on the other
+    leaf = leaf.groupBy(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("to").alias("to"))
+    leaf = cut(leaf.select("a", "b", F.when(F.col("n") == 2, F.col("a")).otherwise(F.col("node")).alias("node"), F.when(F.col("n") == 2, F.col("b")).otherwise(F.col("to")).alias("to")), "leaves")
+    core, spare, before = cut(e.join(leaf.hint("merge"), ["a", "b"], "left_anti"), "core"), e, None
     while True:
         now = tuple(core.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before or not now[0]:
@@ -192,18 +191,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = core.unionByName(core.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = lookup(both, "a", least, F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        old, core = core, cut(small, "edges")
-        free(old)
+        core, spare = cut(small, over=spare), core
     # a leaf can be smaller than the root of its neighbour: the smallest node names the component
-    hung = lookup(leaf, "to", core.select(F.col("a").alias("to"), F.col("b").alias("top")), F.col("node")).select("node", F.coalesce("top", "to").alias("top"))
-    every = hung.unionByName(core.select(F.col("a").alias("node"), F.col("b").alias("top")))
-    named = every.groupBy("top").agg(F.min("node").alias("root")).select("top", F.least("root", "top").alias("root"))
-    every = every.unionByName(named.select(F.col("top").alias("node"), "top"))
-    made = cut(lookup(every, "top", named, F.col("node")).filter("node <> root").select("node", "root"), "roots")
-    free(marked, core)
+    hung = lookup(leaf.select("node", "to"), "to", core.select(F.col("a").alias("to"), F.col("b").alias("top")), F.col("node")).select("node", F.coalesce("top", "to").alias("top"))
+    every = cut(hung.unionByName(core.select(F.col("a").alias("node"), F.col("b").alias("top"))), over=spare)
+    named = every.groupBy("top").agg(F.min("node").alias("least")).select("top", F.least("least", "top").alias("root"))
+    made = lookup(every, "top", named, F.col("node")).select("node", "root").unionByName(named.select(F.col("top").alias("node"), "root"))
+    made = cut(made.filter("node <> root"), "roots")
+    free(every, leaf, core)
     return made
 
 
@@ -215,6 +213,7 @@ class _Join:
         self.compared: list[DataFrame] = []
         self.derived: list[DataFrame] = []
         self.roots: DataFrame | None = None
+        self.spare: DataFrame | None = None
 
     def linked(self, differ: str, sizes: str) -> str:
         """Condition that sets that differ in ``differ`` shingles link, or could if that is a bound."""
@@ -241,28 +240,27 @@ class _Join:
         return self.screened(best.select("a", F.col("best.b").alias("b")).distinct())
 
     def screened(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b and further columns) whose whole bitmaps allow a link."""
+        """Pairs (a, b and further columns) whose whole bitmaps allow a link. Of the leaders b, some have very many pairs."""
         names = pairs.columns
-        for side in ("a", "b"):
-            own = self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
-            pairs = lookup(pairs, side, own, F.col("b" if side == "a" else "a"))
-        return pairs.filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select(*names)
+        own = self.nodes.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
+        pairs = pairs.join(own.hint("merge"), "a")
+        own = self.nodes.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+        return lookup(pairs, "b", own, F.col("a")).filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select(*names)
 
     def reference(self) -> DataFrame:
         """Per node the leader that its difference is known from: itself if it has followers, else the first it was compared with."""
         c = self.compared[0].filter("delta IS NOT NULL")
         one = c.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct((F.col("a") != F.col("b")).alias("other"), "b")).alias("first")).select("a", F.col("first.b").alias("b"))
-        return c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.count("*").alias("n")).filter("n = 1").select(F.col("a").alias("id"), "ref", "delta")
+        return c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.first("size_a").alias("size"), F.count("*").alias("n")).filter("n = 1").select(F.col("a").alias("id"), "ref", "delta", "size")
 
     def open_pairs(self, refs: DataFrame, every: bool) -> DataFrame:
         """Pairs of different components that share a list and pass all filters, or the most promising one of two components."""
         num, den = self.t.numerator, self.t.denominator
         state = self.nodes.select("id", *SHORT_BITS).join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left")
         p = self.lists.join(state.withColumn("root", F.coalesce("root", "id")).hint("merge"), "id")
-        salts = p.groupBy("token", "salt").agg(F.min("root").alias("main"), F.max("root").alias("last"))
-        tokens = salts.groupBy("token").agg(F.min("main").alias("main"), F.max("last").alias("last"), F.count("*").alias("salts")).filter("main <> last").select("token", "main", "salts")
-        open_salts = tokens.join(salts.select("token", "salt").hint("merge"), "token")
-        p = p.join(open_salts.hint("merge"), ["token", "salt"])
+        tokens = p.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.max("salts").alias("salts")).filter("main <> last")
+        p = p.drop("salts").join(tokens.select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).hint("merge"), ["token", "salt"])
+        p = self.spare = cut(p, "open", over=self.spare)
         rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "far", *SHORT_BITS)).alias("rows")
         whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows).select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
         large = p.filter(F.col("n") > BLOCK_ROWS)
@@ -304,20 +302,23 @@ class _Join:
     def derive(self, pairs: DataFrame, refs: DataFrame) -> DataFrame:
         """Answers of pairs with a common leader from their differences to it: a, b and how many shingles they differ in."""
         for side in ("a", "b"):
-            pairs = lookup(pairs, side, refs.select(F.col("id").alias(side), F.col("delta").alias(f"delta_{side}")), F.col("b" if side == "a" else "a"))
-            pairs = lookup(pairs, side, self.nodes.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}")), F.col("b" if side == "a" else "a"))
+            pairs = pairs.join(refs.select(F.col("id").alias(side), F.col("delta").alias(f"delta_{side}"), F.col("size").alias(f"size_{side}")).hint("merge"), side)
         return pairs.select("a", "b", "size_a", "size_b", (F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))).cast("long").alias("differ"))
 
     def join_links(self, extra: DataFrame | None = None) -> None:
         """Components by all links found so far and the edges ``extra``."""
-        found = [c.filter(self.linked("size_a + size_b - 2 * common", "size_a + size_b")).select("a", "b") for c in self.compared]
+        linked = [c.filter(self.linked("size_a + size_b - 2 * common", "size_a + size_b")).filter("a <> b") for c in self.compared]
+        # of a node linked with both its leaders one link is kept, and the leaders are joined: few nodes have two links then
+        first = linked[0].groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("z"))
+        found = [first.select("a", "b"), first.filter("b <> z").select(F.col("b").alias("a"), F.col("z").alias("b")).distinct()]
+        found += [c.select("a", "b") for c in linked[1:]]
         found += [d.filter(self.linked("differ", "size_a + size_b")).select("a", "b") for d in self.derived] + ([extra] if extra is not None else [])
         every = found[0]
         for more in found[1:]:
             every = every.unionByName(more)
         if self.roots is not None:
             free(self.roots)
-        self.roots = components(every.filter("a <> b"))
+        self.roots = components(every)
 
     def run(self, extra: DataFrame) -> DataFrame:
         """Roots of the components: (node, root) of all nodes but the roots. ``extra`` are edges known beforehand."""
@@ -336,7 +337,7 @@ class _Join:
                     self.compared.append(differences(self.docs, rest, self.n, Fraction(0)))
                 self.join_links(extra)
             free(pairs)
-        free(refs, *self.compared, *self.derived)
+        free(refs, self.spare, *self.compared, *self.derived)
         return self.roots
 
 
@@ -366,7 +367,7 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     salts = F.ceil(F.col("n") / F.lit(most)).cast("int")
     hot = shared.filter(F.col("n") > most).select("token", salts.alias("salts"))
     lists = postings.join(F.broadcast(hot), "token", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    lists = cut(lists.join(shared.select("token", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).hint("merge"), ["token", "salt"]), "lists")
+    lists = cut(lists.join(shared.select("token", "n", salts.alias("salts"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).hint("merge"), ["token", "salt"]), "lists")
     # ids that several texts bear
     several = members.filter("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
     twins = members.join(several.hint("merge"), "id").select("a", F.col("node").alias("b")).distinct()
