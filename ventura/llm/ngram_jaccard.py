@@ -7,16 +7,15 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
    counters over all documents (a fixed size), then the hash. Whatever the sketch says it is one order for all, so the
    prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one. Prefixes make
    inverted lists; those of one entry go.
-3. Leader rounds, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles
-   leads. Each node is compared with one leader, the one it shares most lists with; the second round has other leaders
-   and takes the nodes without a link. A comparison also gives the node's difference from its leader, the shingles that
-   only one of them has.
-4. What is left are lists with more than one component. They are cut into blocks by size class (ratio 1/t) and position
-   (POSITION_BLOCK); a block meets blocks of its own and the next size class alone, skips those at positions where too
-   few shingles are left, and blocks of one component skip each other. Inside, whole blocks are screened at once: sizes,
-   positions, parity bitmaps (they bound how many shingles two sets differ in) and the triangle inequality: two nodes
-   whose distances to a common leader differ by more than 1 - t cannot link. Of the pairs between two components only the
-   most promising goes on at first; when these have joined components, the screen is run again and all that pass go on.
+3. Leaders, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles leads, and
+   an entry of the smallest hash does. Each node is compared with one leader of either kind, the one it shares most lists
+   with. A comparison also gives the node's difference from its leader, the shingles that only one of them has.
+4. What is left are lists with more than one component. Lists of more than BLOCK_ROWS are cut into blocks by size class
+   (ratio 1/t) and position (POSITION_BLOCK); a block meets blocks of its own and the next size class alone, skips those at
+   positions where too few shingles are left, and blocks of one component skip each other. Pairs must pass sizes, positions,
+   parity bitmaps (they bound how many shingles two sets differ in) and the triangle inequality: two nodes whose differences
+   from a common leader are too far apart in number cannot link. If more pairs than nodes are left, the most promising pair
+   of every two components is compared first, and then those whose components that has not joined.
 5. Nodes that were compared with the same leader get their answers from the leader's: the sets differ in
    |dx| + |dy| - 2|dx & dy| shingles, dx and dy being their differences from the leader, so no set is fetched. Other
    pairs are compared by their whole sets. Nothing is capped.
@@ -45,7 +44,7 @@ from ventura.llm.hashing import ShingleHasher
 SKETCH_BITS, POSITION_BLOCK, BLOCK_ROWS = 18, 8, 64
 #: A list or group of more than 1 in HOT_SHARE of all rows (and HOT_ROWS) is dealt out over several tasks; there are fewer than
 #: HOT_SHARE of these at every size, so they are broadcast.
-HOT_SHARE, HOT_ROWS = 4096, 2048
+HOT_SHARE, HOT_ROWS = 4096, 256
 #: Fewest bits of a set's bitmap. A shingle flips one, so two bitmaps differ in at most as many bits as the sets in shingles.
 BITMAP = 1024
 #: Words of the short bitmap that entries of lists carry, folded from the whole one.
@@ -213,7 +212,6 @@ class _Join:
         self.compared: list[DataFrame] = []
         self.derived: list[DataFrame] = []
         self.roots: DataFrame | None = None
-        self.spare: DataFrame | None = None
 
     def linked(self, differ: str, sizes: str) -> str:
         """Condition that sets that differ in ``differ`` shingles link, or could if that is a bound."""
@@ -232,12 +230,14 @@ class _Join:
         """Each node with two leaders: of the central and of the random leaders of its lists, the one it shares most lists with."""
         entry = F.struct(F.xxhash64("id").alias("h"), "id", "size", "pos")
         lead = self.lists.groupBy("token", "salt", "sc").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
-        kinds = F.array(F.struct(F.lit(0).alias("kind"), "c.id", "c.size", "c.pos"), F.struct(F.lit(1).alias("kind"), "r.id", "r.size", "r.pos"))
+        one = lambda c, central, random: F.struct(f"{c}.id", f"{c}.size", f"{c}.pos", F.lit(central).alias("central"), F.lit(random).alias("random"))
+        kinds = F.when(F.col("c.id") == F.col("r.id"), F.array(one("c", 1, 1))).otherwise(F.array(one("c", 1, 0), one("r", 0, 1)))
         lead = lead.select("token", "salt", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), kinds.alias("kinds")).select("token", "salt", "sc", F.inline("kinds"))
         met = self.lists.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
-        shared = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.kind").groupBy("a", "b", "kind").agg(F.count("*").alias("lists"))
-        best = shared.groupBy("a", "kind").agg(F.max(F.struct("lists", F.xxhash64("b").alias("h"), "b")).alias("best"))
-        return self.screened(best.select("a", F.col("best.b").alias("b")).distinct())
+        shared = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.central", "y.random").groupBy("a", "b").agg(F.sum("central").alias("central"), F.sum("random").alias("random"))
+        most = lambda c: F.max(F.when(F.col(c) > 0, F.struct(c, F.xxhash64("b").alias("h"), "b"))).alias(c)
+        best = shared.groupBy("a").agg(most("central"), most("random"))
+        return self.screened(best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("central.b", "random.b")))).alias("b")))
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b and further columns) whose whole bitmaps allow a link. Of the leaders b, some have very many pairs."""
@@ -253,17 +253,17 @@ class _Join:
         one = c.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct((F.col("a") != F.col("b")).alias("other"), "b")).alias("first")).select("a", F.col("first.b").alias("b"))
         return c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.first("size_a").alias("size"), F.count("*").alias("n")).filter("n = 1").select(F.col("a").alias("id"), "ref", "delta", "size")
 
-    def open_pairs(self, refs: DataFrame, every: bool) -> DataFrame:
-        """Pairs of different components that share a list and pass all filters, or the most promising one of two components."""
+    def plausible(self, refs: DataFrame) -> DataFrame:
+        """Pairs of different components that share a list and pass all filters: a, b, their roots, their common leader and how much they seem to differ."""
         num, den = self.t.numerator, self.t.denominator
         state = self.nodes.select("id", *SHORT_BITS).join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left")
         p = self.lists.join(state.withColumn("root", F.coalesce("root", "id")).hint("merge"), "id")
-        tokens = p.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.max("salts").alias("salts")).filter("main <> last")
-        p = p.drop("salts").join(tokens.select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).hint("merge"), ["token", "salt"])
-        p = self.spare = cut(p, "open", over=self.spare)
         rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "far", *SHORT_BITS)).alias("rows")
-        whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows).select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
+        whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows, F.min("root").alias("main"), F.max("root").alias("last")).filter("main <> last")
+        whole = whole.select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
         large = p.filter(F.col("n") > BLOCK_ROWS)
+        tokens = large.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.max("salts").alias("salts")).filter("main <> last")
+        large = large.drop("salts").join(tokens.select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).hint("merge"), ["token", "salt"])
         deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
         blocks = large.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
             rows, F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
@@ -287,9 +287,7 @@ class _Join:
             F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.root, y.root)").alias("ra"), F.expr("greatest(x.root, y.root)").alias("rb"),
             F.expr("CASE WHEN x.ref = y.ref THEN x.ref END").alias("ref"), F.expr(f"({differ}) / (x.size + y.size)").alias("slack"),
         )
-        if not every:
-            pairs = pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref")
-        return self.screened(pairs.select("a", "b", "ref").distinct()).join(self.seen().hint("merge"), ["a", "b"], "left_anti")
+        return self.screened(pairs.distinct()).join(self.seen().hint("merge"), ["a", "b"], "left_anti")
 
     def seen(self) -> DataFrame:
         """Pairs that have been compared."""
@@ -328,18 +326,29 @@ class _Join:
         free(pairs)
         self.join_links(extra)
         refs = cut(self.reference(), "references")
-        for every in (False, True):
-            pairs = cut(self.open_pairs(refs, every), "pairs")
-            if not pairs.isEmpty():
-                self.derived.append(cut(self.derive(pairs.filter("ref IS NOT NULL").select("a", "b"), refs), "derived"))
-                rest = pairs.filter("ref IS NULL").select("a", "b")
-                if not rest.isEmpty():
-                    self.compared.append(differences(self.docs, rest, self.n, Fraction(0)))
-                self.join_links(extra)
-            free(pairs)
-        free(refs, self.spare, *self.compared, *self.derived)
+        pairs = cut(self.plausible(refs), "pairs")
+        if pairs.count() > self.nodes.count():
+            self.compare(pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref"), refs)
+            self.join_links(extra)
+            for side in ("a", "b"):
+                roots = self.roots.select(F.col("node").alias(side), F.col("root").alias(f"top_{side}"))
+                pairs = pairs.join(roots.hint("merge"), side, "left").withColumn(f"top_{side}", F.coalesce(f"top_{side}", side))
+            pairs = pairs.filter("top_a <> top_b").join(self.seen().hint("merge"), ["a", "b"], "left_anti")
+        if not pairs.isEmpty():
+            self.compare(pairs.select("a", "b", "ref"), refs)
+            self.join_links(extra)
+        free(refs, *self.compared, *self.derived)
         return self.roots
 
+    def compare(self, pairs: DataFrame, refs: DataFrame) -> None:
+        """Answers of the pairs (a, b, ref): from the common leader where there is one, else from the sets."""
+        pairs = cut(pairs, "next")
+        self.derived.append(cut(self.derive(pairs.filter("ref IS NOT NULL").select("a", "b"), refs), "derived"))
+        rest = pairs.filter("ref IS NULL").select("a", "b")
+        if not rest.isEmpty():
+            self.compared.append(differences(self.docs, rest, self.n, Fraction(0)))
+        free(pairs)
+
 
 def _differ(a: str, b: str) -> str:
     """Bits that two bitmaps differ in; one of twice the width is folded first."""
