@@ -7,7 +7,7 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
    counters over all documents (a fixed size), then the hash. Whatever the sketch says it is one order for all, so the
    prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one. Prefixes make
    inverted lists; those of one entry go.
-3. Leaders, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles leads, and
+3. Leaders, a linear number of comparisons. In each list of LED_ROWS and more and size class the entry with the fewest rarer shingles leads, and
    an entry of the smallest hash does. Each node is compared with one leader of either kind, the one it shares most lists
    with. A comparison also gives the node's difference from its leader, the shingles that only one of them has.
 4. What is left are lists with more than one component. Lists of more than BLOCK_ROWS are cut into blocks by size class
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from ventura.llm.common import cut, free, lookup, table
 from ventura.llm.hashing import ShingleHasher
 
-SKETCH_BITS, POSITION_BLOCK, BLOCK_ROWS = 18, 8, 64
+SKETCH_BITS, CHUNK, POSITION_BLOCK, BLOCK_ROWS = 20, 1024, 8, 64
 #: A list or group of more than 1 in HOT_SHARE of all rows (and HOT_ROWS) is dealt out over several tasks; there are fewer than
 #: HOT_SHARE of these at every size, so they are broadcast.
 HOT_SHARE, HOT_ROWS = 4096, 256
@@ -50,6 +51,9 @@ BITMAP = 1024
 #: Words of the short bitmap that entries of lists carry, folded from the whole one.
 SHORT = 4
 SHORT_BITS = tuple(f"s{k}" for k in range(SHORT))
+SHORT_DIFFER = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SHORT_BITS)
+#: Fewest entries of a list with leaders; the pairs of shorter lists are fewer than their rows times this.
+LED_ROWS = 8
 #: Blocks of one list that meet in one task.
 STRIPE = 64
 #: Most ids that are broadcast to filter a scan.
@@ -92,12 +96,20 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
                     total += count()
                     held, size = held[:1], 0
         total += count()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
-
-    rows = docs.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << SKETCH_BITS)
-    total[rows["counter"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+        # a row per CHUNK counters: small numbers, which shrink well
+        flat = pa.array(total.astype(np.int64))
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(total) + 1, CHUNK, dtype=np.int32)), flat)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) // CHUNK, dtype=np.int32)), counts], ["chunk", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [np.sum(np.stack(group["counts"].to_list()), axis=0)]})
+
+    kind = "chunk int, counts array<long>"
+    made = docs.mapInArrow(run, kind).groupBy("chunk").applyInPandas(add, kind).toArrow()
+    total = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK).reshape(-1, CHUNK)
+    for k, counts in zip(made["chunk"].to_pylist(), made["counts"].combine_chunks()):
+        total[k] = counts.values.to_numpy()
+    total = total.ravel()
     return np.clip(np.floor(np.log2((total + 1) / (total.mean() + 1)) * 2), 0, 60).astype(np.uint8)
 
 
@@ -129,6 +141,11 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataF
     return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, bits array<long>, " + ", ".join(f"{c} long" for c in SHORT_BITS))
 
 
+def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id is in ``ids``. Up to SEMI_ROWS ids are broadcast to filter the scan; beyond that both are dealt by id."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SEMI_ROWS else ids.hint("shuffle_hash"), "id", "left_semi")
+
+
 def differences(docs: DataFrame, pairs: DataFrame, n: int, most: Fraction) -> DataFrame:
     """Exact comparison of pairs (a, b) of ids: a, b, size_a, size_b, common and, up to ``most`` of the sizes' sum, delta.
 
@@ -139,10 +156,8 @@ def differences(docs: DataFrame, pairs: DataFrame, n: int, most: Fraction) -> Da
     hot = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("b", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     want = salted.select(F.col("a").alias("id"), "b", "salt", F.lit(0).alias("leads")).unionByName(salted.select(F.col("b").alias("id"), "b", "salt", F.lit(1).alias("leads")).distinct())
-    # The wanted ids are few beside all documents. Up to SEMI_ROWS of them are broadcast to filter the scan; beyond that the texts are dealt by id.
     ids = cut(want.select("id").distinct(), "wanted")
-    ids_side = F.broadcast(ids) if ids.count() <= SEMI_ROWS else ids.hint("shuffle_hash")
-    rows = docs.join(ids_side, "id", "left_semi").join(want.hint("merge"), "id").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("leads"))
+    rows = picked(docs, ids).join(want.hint("merge"), "id").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("leads"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, lead = ShingleHasher(n), None, []
@@ -229,23 +244,31 @@ class _Join:
     def leader_pairs(self) -> DataFrame:
         """Each node with two leaders: of the central and of the random leaders of its lists, the one it shares most lists with."""
         entry = F.struct(F.xxhash64("id").alias("h"), "id", "size", "pos")
-        lead = self.lists.groupBy("token", "salt", "sc").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
+        led = self.lists.filter(F.col("n") >= LED_ROWS)
+        lead = led.groupBy("token", "salt", "sc").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
         one = lambda c, central, random: F.struct(f"{c}.id", f"{c}.size", f"{c}.pos", F.lit(central).alias("central"), F.lit(random).alias("random"))
         kinds = F.when(F.col("c.id") == F.col("r.id"), F.array(one("c", 1, 1))).otherwise(F.array(one("c", 1, 0), one("r", 0, 1)))
         lead = lead.select("token", "salt", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), kinds.alias("kinds")).select("token", "salt", "sc", F.inline("kinds"))
-        met = self.lists.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
+        met = led.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
         shared = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.central", "y.random").groupBy("a", "b").agg(F.sum("central").alias("central"), F.sum("random").alias("random"))
         most = lambda c: F.max(F.when(F.col(c) > 0, F.struct(c, F.xxhash64("b").alias("h"), "b"))).alias(c)
         best = shared.groupBy("a").agg(most("central"), most("random"))
-        return self.screened(best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("central.b", "random.b")))).alias("b")))
+        pairs = best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("central.b", "random.b")))).alias("b"))
+        # the short bitmaps first: few pairs are left for the whole ones. Some leaders have very many pairs.
+        own = self.nodes.select("id", "size", *SHORT_BITS)
+        pairs = pairs.join(own.select(F.col("id").alias("a"), F.struct("size", *SHORT_BITS).alias("x")).hint("merge"), "a")
+        pairs = lookup(pairs, "b", own.select(F.col("id").alias("b"), F.struct("size", *SHORT_BITS).alias("y")), F.col("a"))
+        return self.screened(cut(pairs.filter(self.linked(SHORT_DIFFER, "x.size + y.size")).select("a", "b"), "met"))
 
     def screened(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b and further columns) whose whole bitmaps allow a link. Of the leaders b, some have very many pairs."""
-        names = pairs.columns
-        own = self.nodes.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-        pairs = pairs.join(own.hint("merge"), "a")
-        own = self.nodes.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-        return lookup(pairs, "b", own, F.col("a")).filter(self.linked(_differ("bits_a", "bits_b"), "size_a + size_b")).select(*names)
+        """Pairs (a, b and further columns; a result of ``cut``) whose whole bitmaps allow a link."""
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        own = cut(picked(self.nodes.select("id", "size", "bits"), ids), "bits")
+        rows = pairs.join(own.select(F.col("id").alias("a"), F.struct("size", "bits").alias("x")).hint("merge"), "a")
+        rows = rows.join(own.select(F.col("id").alias("b"), F.struct("size", "bits").alias("y")).hint("merge"), "b")
+        made = cut(rows.filter(self.linked(_differ("x.bits", "y.bits"), "x.size + y.size")).select(*pairs.columns), "pairs")
+        free(pairs, ids, own)
+        return made
 
     def reference(self) -> DataFrame:
         """Per node the leader that its difference is known from: itself if it has followers, else the first it was compared with."""
@@ -257,7 +280,8 @@ class _Join:
         """Pairs of different components that share a list and pass all filters: a, b, their roots, their common leader and how much they seem to differ."""
         num, den = self.t.numerator, self.t.denominator
         state = self.nodes.select("id", *SHORT_BITS).join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left")
-        p = self.lists.join(state.withColumn("root", F.coalesce("root", "id")).hint("merge"), "id")
+        state = cut(state.withColumn("root", F.coalesce("root", "id")), "state")
+        p = self.lists.join(state.hint("merge"), "id")
         rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "far", *SHORT_BITS)).alias("rows")
         whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows, F.min("root").alias("main"), F.max("root").alias("last")).filter("main <> last")
         whole = whole.select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
@@ -268,6 +292,7 @@ class _Join:
         blocks = large.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
             rows, F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
         )
+        blocks = cut(blocks, "blocks")
         stripes = F.ceil(F.col("n") / (BLOCK_ROWS * STRIPE)).cast("int")
         x = blocks.withColumn("stripe", F.pmod(F.xxhash64("deal"), stripes).cast("int")).alias("x")
         y = blocks.select("*", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe")).select("*", F.explode(F.array("sc", F.col("sc") - 1)).alias("meets")).alias("y")
@@ -281,13 +306,15 @@ class _Join:
         met = whole.unionByName(x.join(y.hint("merge"), F.expr(meet)).select(F.col("x.rows").alias("xs"), F.col("y.rows").alias("ys"), same.alias("own")))
         pairs = met.select("xs", "own", F.explode("ys").alias("y")).select(F.explode("xs").alias("x"), "y", "own").filter("NOT own OR x.id < y.id")
         apart = "coalesce(x.ref = y.ref AND NOT " + self.linked("abs(x.far - y.far)", "x.size + y.size") + ", false)"
-        differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SHORT_BITS)
+        differ = SHORT_DIFFER
         pairs = pairs.filter(F.expr(f"x.root <> y.root AND {self.may_link('x', 'y')} AND NOT {apart}")).filter(F.expr(self.linked(differ, "x.size + y.size")))
         pairs = pairs.select(
             F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.root, y.root)").alias("ra"), F.expr("greatest(x.root, y.root)").alias("rb"),
             F.expr("CASE WHEN x.ref = y.ref THEN x.ref END").alias("ref"), F.expr(f"({differ}) / (x.size + y.size)").alias("slack"),
         )
-        return self.screened(pairs.distinct()).join(self.seen().hint("merge"), ["a", "b"], "left_anti")
+        drawn = cut(pairs.distinct().join(self.seen().hint("merge"), ["a", "b"], "left_anti"), "drawn")
+        free(state, blocks)
+        return self.screened(drawn)
 
     def seen(self) -> DataFrame:
         """Pairs that have been compared."""
@@ -321,12 +348,12 @@ class _Join:
     def run(self, extra: DataFrame) -> DataFrame:
         """Roots of the components: (node, root) of all nodes but the roots. ``extra`` are edges known beforehand."""
         keep = Fraction(min(1, 2 * (1 - self.t))) / (1 + self.t)  # differences twice as far as a link's are kept
-        pairs = cut(self.leader_pairs(), "pairs")
+        pairs = self.leader_pairs()
         self.compared.append(differences(self.docs, pairs, self.n, keep))
         free(pairs)
         self.join_links(extra)
         refs = cut(self.reference(), "references")
-        pairs = cut(self.plausible(refs), "pairs")
+        pairs = self.plausible(refs)
         if pairs.count() > self.nodes.count():
             self.compare(pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref"), refs)
             self.join_links(extra)
@@ -363,12 +390,13 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id IS NOT NULL")
-    found = cut(prefixes(rows, n, threshold, frequency_classes(named, n)), "prefixes")
-    found = found.withColumn("key", F.struct("k1", "k2", "size"))
+    heads = cut(prefixes(rows, n, threshold, frequency_classes(named, n)), "prefixes")
+    found = heads.withColumn("key", F.struct("k1", "k2", "size"))
     filled = found.filter("size > 0 AND id IS NOT NULL")
     sets = filled.groupBy("key").agg(F.min("id").alias("node"))
     own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "bits", *SHORT_BITS), "nodes")
     members = cut(lookup(found.select("id", "size", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")), "key", sets, F.col("id")).select("id", "size", "node"), "members")
+    free(heads)
     postings = own.select("id", "size", "sc", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
     total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
