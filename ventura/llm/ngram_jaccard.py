@@ -7,8 +7,8 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Ja
    counters over all documents (a fixed size), then the hash. Whatever the sketch says it is one order for all, so the
    prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one. Prefixes make
    inverted lists; those of one entry go.
-3. Leaders, a linear number of comparisons. In each list of LED_ROWS and more and size class the entry with the fewest rarer shingles leads, and
-   an entry of the smallest hash does. Each node is compared with one leader of either kind, the one it shares most lists
+3. Leaders, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles leads, and
+   in lists of LED_ROWS and more the entry of the smallest hash does too. Each node is compared with one leader of either kind, the one it shares most lists
    with. A comparison also gives the node's difference from its leader, the shingles that only one of them has.
 4. What is left are lists with more than one component. Lists of more than BLOCK_ROWS are cut into blocks by size class
    (ratio 1/t) and position (POSITION_BLOCK); a block meets blocks of its own and the next size class alone, skips those at
@@ -52,7 +52,7 @@ BITMAP = 1024
 SHORT = 4
 SHORT_BITS = tuple(f"s{k}" for k in range(SHORT))
 SHORT_DIFFER = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SHORT_BITS)
-#: Fewest entries of a list with leaders; the pairs of shorter lists are fewer than their rows times this.
+#: Fewest entries of a list that has a leader of each kind; the one of a shorter list counts as both.
 LED_ROWS = 8
 #: Blocks of one list that meet in one task.
 STRIPE = 64
@@ -244,12 +244,11 @@ class _Join:
     def leader_pairs(self) -> DataFrame:
         """Each node with two leaders: of the central and of the random leaders of its lists, the one it shares most lists with."""
         entry = F.struct(F.xxhash64("id").alias("h"), "id", "size", "pos")
-        led = self.lists.filter(F.col("n") >= LED_ROWS)
-        lead = led.groupBy("token", "salt", "sc").agg(F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
+        lead = self.lists.groupBy("token", "salt", "sc").agg(F.max("n").alias("n"), F.min(F.struct("pos", F.xxhash64("id").alias("h"), "id", "size")).alias("c"), F.min(entry).alias("r"))
         one = lambda c, central, random: F.struct(f"{c}.id", f"{c}.size", f"{c}.pos", F.lit(central).alias("central"), F.lit(random).alias("random"))
-        kinds = F.when(F.col("c.id") == F.col("r.id"), F.array(one("c", 1, 1))).otherwise(F.array(one("c", 1, 0), one("r", 0, 1)))
+        kinds = F.when((F.col("n") < LED_ROWS) | (F.col("c.id") == F.col("r.id")), F.array(one("c", 1, 1))).otherwise(F.array(one("c", 1, 0), one("r", 0, 1)))
         lead = lead.select("token", "salt", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), kinds.alias("kinds")).select("token", "salt", "sc", F.inline("kinds"))
-        met = led.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
+        met = self.lists.alias("x").join(lead.alias("y").hint("merge"), F.expr(f"x.token = y.token AND x.salt = y.salt AND x.sc = y.sc AND x.id <> y.id AND {self.may_link('x', 'y')}"))
         shared = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "y.central", "y.random").groupBy("a", "b").agg(F.sum("central").alias("central"), F.sum("random").alias("random"))
         most = lambda c: F.max(F.when(F.col(c) > 0, F.struct(c, F.xxhash64("b").alias("h"), "b"))).alias(c)
         best = shared.groupBy("a").agg(most("central"), most("random"))
