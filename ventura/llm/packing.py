@@ -36,7 +36,7 @@ SENTENCE_CUT, HARD_CUT, HARD_STEP, SEQUENCE_COST = 8.0, 96.0, 256, 1.0
 #: Windows of a power of two below this are left to the end of a partition.
 LEAST_POWER = 256
 BLOCK = 1 << 20
-CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 500_000
+CACHED_CHUNKS, CACHED_PIECES = 200_000, 200_000
 
 _encoders: dict[str, ChunkEncoder] = {}
 
