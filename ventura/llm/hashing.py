@@ -8,8 +8,8 @@ import numpy as np
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: The key of all hashes, an odd step, and the multipliers of ``mix``.
-SEED, STEP, M1, M2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The keys of all hashes, an odd step, and the multipliers of ``mix``.
+SEED, SEED2, STEP, M1, M2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes that are hashed at once.
 BATCH_BYTES = 4 << 20
 
@@ -21,19 +21,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words between the blanks [\\x20\\x09-\\x0D], and the number of words up to the end of each text.
+def find_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end, and of the words between the blanks [\\x20\\x09-\\x0D] the first byte, the number of bytes and the number of words up to the end of each text."""
+    data = b"\n".join([b"", *texts, b"        "])
+    inside = ~BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    ends = np.cumsum([1] + [len(t) + 1 for t in texts])[1:]
+    return data, edges[::2], edges[1::2] - edges[::2], np.searchsorted(edges[::2], ends)
+
+
+def word_hashes(data: bytes, start: np.ndarray, size: np.ndarray, seed: np.uint64 = SEED) -> np.ndarray:
+    """Hashes of the words that ``find_words`` found.
 
     A word is read in steps of eight bytes, each mixed into its hash, which begins with its length: words of one length up
     to eight bytes never collide, longer ones as any 64-bit hash does.
     """
-    data = b"\n".join([b"", *texts, b"        "])
-    flat = np.frombuffer(data, np.uint8)
-    inside = ~BLANK[flat]
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    start, size = edges[::2], edges[1::2] - edges[::2]
     eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    hashes = SEED ^ size.astype(np.uint64)
+    hashes = seed ^ size.astype(np.uint64)
     left = np.arange(len(start))
     with np.errstate(over="ignore"):
         done = 0
@@ -45,8 +49,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             hashes[left] = mix(hashes[left] * STEP + chunk)
             left = left[rest > 8]
             done += 8
-    ends = np.cumsum([1] + [len(t) + 1 for t in texts])[1:]
-    return hashes, np.searchsorted(start, ends)
+    return hashes
 
 
 class ShingleHasher:
@@ -70,7 +73,8 @@ class ShingleHasher:
         if not texts:
             return
         n = self.n
-        words, upto = word_hashes(texts)
+        *found, upto = find_words(texts)
+        words = word_hashes(*found)
         count = max(0, len(words) - n + 1)
         grams = words[:count]
         with np.errstate(over="ignore"):

@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ventura.llm.common import table
-from ventura.llm.memo import Memo
+from ventura.llm.hashing import SEED, SEED2, find_words, word_hashes
+from ventura.llm.memo import HashMemo, Memo
 
 CAPACITY, END_ID = 4096, 2
 SENTENCE_CUT, HARD_CUT, HARD_STEP, SEQUENCE_COST = 8.0, 96.0, 256, 1.0
 #: Windows of a power of two below this are left to the end of a partition.
 LEAST_POWER = 256
 BLOCK = 1 << 20
-CACHED_CHUNKS, CACHED_PIECES = 200_000, 200_000
+CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 300_000
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -44,8 +45,8 @@ _encoders: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Ids of texts by a lower-casing tokenizer that drops white space, such as word_bpe_49k.
 
-    Two memos keep the tokenizer's work to distinct strings: chunks between blanks, known by their bytes with A-Z
-    lower-cased, and below them the pieces its pre-tokenizer makes of a chunk. Chunks with characters from U+0250
+    Two memos keep the tokenizer's work to distinct strings: chunks between blanks, known by two
+    keyed 64-bit hashes of their bytes with A-Z lower-cased, and below them the pieces its pre-tokenizer makes of a chunk. Chunks with characters from U+0250
     on go to the tokenizer whole, and so do texts with ``<|``, where special tokens begin. A memo is emptied when it has
     grown beyond CACHED_CHUNKS or CACHED_PIECES entries.
     """
@@ -62,7 +63,7 @@ class ChunkEncoder:
         self.mark, self.mark_id = min((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.odd = re.compile("[^\x00-\u024f]")
         self.sentence_ids = np.array(sorted(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and re.fullmatch(r"[.!?\"')]*[.!?][.!?\"')]*", t.removesuffix("</w>"))), dtype=np.int64)
-        self.chunks, self.pieces = Memo(), Memo()
+        self.chunks, self.pieces = HashMemo(), Memo()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -75,8 +76,8 @@ class ChunkEncoder:
             at = np.flatnonzero(ids == self.mark_id)
             self.pieces.add(part, np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1, np.delete(ids, at))
 
-    def _learn(self, new: list[bytes]) -> None:
-        text = [c.decode() for c in new]
+    def _learn(self, keys: np.ndarray, check: np.ndarray, text: list[str]) -> None:
+        """Chunks by their keys, which are sorted."""
         joined = " ".join(text)
         rows = [self.PIECE.findall(c) for c in joined.lower().split(" ")]
         odd = [i for i, c in enumerate(text) if self.odd.search(c)] if self.odd.search(joined) else []
@@ -92,19 +93,23 @@ class ChunkEncoder:
             whole = [self._ids(text[i]) for i in odd]
             flat = np.insert(flat, np.repeat(ends[odd], [len(x) for x in whole]), np.concatenate(whole))
             size[odd] = [len(x) for x in whole]
-        self.chunks.add(new, size, flat)
+        self.chunks.add(keys, check, size, flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks.at) > CACHED_CHUNKS:
-            self.chunks = Memo()
-        special = [i for i, t in enumerate(texts) if "<|" in t]
-        rows = [t.encode().lower().split() for t in texts]
-        for i in special:
-            rows[i] = []
-        if new := set(chain.from_iterable(rows)).difference(self.chunks.at):
-            self._learn(list(new))
-        ids, ends = self.chunks.gather(rows)
-        out = np.split(ids, ends[:-1]) if len(ends) else []
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks = HashMemo()
+        special = {i for i, t in enumerate(texts) if "<|" in t}
+        data, start, size, upto = find_words([b"" if i in special else t.encode().lower() for i, t in enumerate(texts)])
+        hashes, check = (word_hashes(data, start, size, seed) for seed in (SEED, SEED2))
+        keys, where, at = np.unique(hashes, return_index=True, return_inverse=True)
+        new = self.chunks.missing(keys)
+        if new.any():
+            a, n = start[where[new]], size[where[new]]
+            self._learn(keys[new], check[where[new]], [data[i:j].decode() for i, j in zip(a.tolist(), (a + n).tolist())])
+        ids, ends, known = self.chunks.gather(keys, at)
+        out = np.split(ids, np.concatenate([[0], ends])[upto][:-1]) if len(upto) else []
+        # a text with two chunks of one key but different checks is left to the tokenizer
+        special |= set(np.searchsorted(upto, np.flatnonzero(known != check), side="right").tolist())
         for i in special:
             out[i] = self._ids(texts[i])
         return out
