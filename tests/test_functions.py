@@ -53,7 +53,37 @@ def test_scores_keep_literal_stems(spark):
         return one(spark, X.ai_score(F.array(F.lit("web")), F.col("t"), F.lit(False)), t=text)
 
     assert score("fine-tuning transformers") == 0
-    assert score("transformer-based inference") == pytest.approx(0.3)
+    # both words are of the strong list, which counts once; "machine learning" is of the moderate one
+    assert score("transformer-based inference") == pytest.approx(0.2)
+    assert score("transformer-based machine learning") == pytest.approx(0.3)
+
+
+@pytest.mark.parametrize("domain", ["arxiv.org", "reddit.com", "discord.com", "stackoverflow.com", "dev.to", "a.kaggle.com", "en.wikipedia.org", "localhost:80", "127.1"])
+def test_hosts_that_are_no_firms(spark, domain):
+    assert one(spark, X.is_product_domain(F.col("d")), d=domain) is False
+
+
+@pytest.mark.parametrize(("name", "want"), [("Acme Incorporated", "acme"), ("Acme Platform Sarl Pte", "acme"), ("Acme Company AG", "acme company ag"), ("a b-c Acme", "- acme")])
+def test_normalise_name_by_word_edges(spark, name, want):
+    assert one(spark, X.normalize_company_name(F.col("n")), n=name) == want.strip("- ")
+
+
+def test_startup_rules(spark):
+    null = F.lit(None).cast("string")
+    assert one(spark, X.startup_score(F.lit("myai.com"), F.lit("Organization"), F.lit("Pricing and enterprise plans."), F.lit(True))) == pytest.approx(1.0)
+    assert one(spark, X.startup_score(F.lit("github.com"), null, F.lit("founded by a startup"), F.lit(False))) == 0
+    assert one(spark, X.startup_likelihood(F.lit("a.co"), F.lit("organization"), F.lit(True), F.lit("A tool"), F.lit("pricing, api and cloud"), F.lit(True))) == pytest.approx(1.0)
+    assert one(spark, X.ai_mentioned(F.lit("Acme AI"), null)) and not one(spark, X.ai_mentioned(F.lit("Aim"), F.lit("a bakery")))
+    assert one(spark, X.ai_tags(F.array(F.lit("LLM "), F.lit("python"), F.lit("ai")), F.lit("Vector  Database and transformer"))) == ["ai", "llm", "transformer"]
+
+
+def test_homepage_order(spark):
+    null = F.lit(None).cast("string")
+    found = lambda a, b, c: one(spark, X.homepage_domain(a, b, c))
+    assert found(F.lit("https://my-startup.com"), F.lit("https://blog.example.com"), F.lit("Check https://other.com")) == "my-startup.com"
+    assert found(F.lit("https://github.com/a/b"), F.lit("https://mycompany.io"), null) == "mycompany.io"
+    assert found(null, null, F.lit("see https://first.com\nOur website https://cool.com")) == "cool.com"
+    assert found(null, null, F.lit("see https://first.com")) == "first.com" and found(null, null, null) is None
 
 
 def test_wilson_and_odds(spark):

@@ -13,7 +13,7 @@ from ventura.plans.aggregates import AI, YEAR
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
 from ventura.plans.reports import _CHANNEL, _FUNDED, _funded, shares, shares_sql
-from ventura.plans.scalars import _SAMPLES, _samples
+from ventura.plans.scalars import _SAMPLES, FULL_SQL, LEGAL_SQL, _samples, name_sql
 
 
 @plan("P17_looks_ai", f"SELECT id, regexp_matches(lower(body), 'deep learning|\\bllm\\b|transformer|machine learning') AS looks_ai FROM {_SAMPLES}", "companies")
@@ -96,7 +96,10 @@ def k43(t: Tables) -> DataFrame:
     return rows.select(F.col("founded_year").alias("y"), "before", (F.col("before") + F.when(F.col("k") == 1, F.col("missing")).otherwise(0)).alias("after"))
 
 
-@plan("K51_normaliser_comparison")
+@plan("K51_normaliser_comparison", f"""
+SELECT normaliser, count(*) AS keys, CAST(sum(n) AS BIGINT) AS firms FROM (SELECT normaliser, key, count(*) AS n FROM (
+  SELECT 'full' AS normaliser, {name_sql("p_name || ' ' || lower(p_type) || ' labs'", FULL_SQL)} AS key FROM part UNION ALL
+  SELECT 'conservative', {name_sql("p_name || ' ' || lower(p_type) || ' labs'", LEGAL_SQL)} FROM part) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1""")
 def k51(t: Tables) -> DataFrame:
     """Names that collide under each of the two normalisers."""
     names = t.part.select(F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" labs")).alias("name"), "p_partkey")

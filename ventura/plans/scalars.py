@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventura.functions import text as X
@@ -10,32 +10,52 @@ from ventura.operators.joins import token_sort_ratio
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
 
-_HOST = r"regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://', ''), '^([^/?#:]*)', 1), '^www\.', '')"
+_HOST = r"regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^https?://', ''), '^([^/?#:]*)', 1), '^www\.', '')"
+_REGISTRABLE = "CASE WHEN len({p}) <= 2 THEN {h} WHEN array_to_string({p}[-2:], '.') IN ('co.uk', 'com.au', 'co.kr', 'co.il', 'co.in', 'com.br', 'co.jp', 'com.mx', 'co.nz', 'co.za') THEN array_to_string({p}[-3:], '.') ELSE array_to_string({p}[-2:], '.') END"
+_NOT_OWN = "^(.*\\.)?(github\\.com|github\\.io|gitlab\\.com|bitbucket\\.org|readthedocs\\.io|readthedocs\\.org|rtfd\\.io|docs\\.rs|pkg\\.go\\.dev|pypi\\.org|npmjs\\.com|medium\\.com|dev\\.to|substack\\.com|hashnode\\.dev|twitter\\.com|x\\.com|linkedin\\.com|facebook\\.com|youtube\\.com|reddit\\.com|discord\\.gg|discord\\.com|t\\.me|telegram\\.org|slack\\.com|arxiv\\.org|papers\\.ssrn\\.com|scholar\\.google\\.com|huggingface\\.co|kaggle\\.com|producthunt\\.com|theresanaiforthat\\.com|notion\\.so|notion\\.site|google\\.com|amazonaws\\.com|azure\\.com|wikipedia\\.org|stackoverflow\\.com)$"
 
 
-@plan("P01_canonicalize_domain", f"""
-SELECT page_id, CASE WHEN len(p) <= 2 THEN h WHEN array_to_string(p[-2:], '.') IN ('co.uk', 'com.au', 'co.kr', 'co.il', 'co.in', 'com.br', 'co.jp', 'com.mx', 'co.nz', 'co.za') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain
-FROM (SELECT page_id, {_HOST} AS h, string_split({_HOST}, '.') AS p FROM pages)""")
+def _own_sql(d: str) -> str:
+    """Whether a domain is a firm's own."""
+    return f"({d} <> '' AND NOT regexp_matches(lower({d}), '{_NOT_OWN}') AND NOT regexp_matches({d}, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') AND NOT starts_with(lower({d}), 'localhost') AND NOT starts_with({d}, '127.'))"
+
+
+def _domains_sql(text: str) -> str:
+    """Distinct registrable domains of a text's URLs, in order."""
+    urls = f"regexp_extract_all({text}, 'https?://[^\\s\\)\\]\\}}>\"''`,;]+', 0, 'i')"
+    hosts = f"list_transform({urls}, lambda u: regexp_replace(regexp_extract(regexp_replace(lower(rtrim(u, '.)],;:!?''\"')), '^https?://', ''), '^([^/?#:]*)', 1), '^www\\.', ''))"
+    made = f"list_transform(list_filter({hosts}, lambda h: h <> ''), lambda h: {_REGISTRABLE.format(p=chr(39).join(['string_split(h, ', '.', ')']), h='h')})"
+    return f"list_filter({made}, lambda d, i: list_position({made}, d) = i)"
+
+
+@plan("P01_canonicalize_domain", f"SELECT page_id, {_REGISTRABLE.format(p='p', h='h')} AS domain FROM (SELECT page_id, {_HOST} AS h, string_split({_HOST}, '.') AS p FROM pages)")
 def p01(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.canonicalize_domain(F.col("url")).alias("domain"))
 
 
-@plan("P02_is_product_domain", f"SELECT page_id, NOT (regexp_matches({_HOST}, '^(.*\\.)?(medium\\.com|github\\.io|localhost)$') OR regexp_matches({_HOST}, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$')) AS ok FROM pages")
+#: Hosts that pages stand for in the plans of this rule, so that every branch is met.
+_ODD_HOSTS = ("arxiv.org", "a.kaggle.com", "localhost:8080", "10.1.2.3", "127.0.0.1", "firm.dev", "dev.to", "notdev.to", "myfirm.co.uk")
+
+
+@plan("P02_is_product_domain", f"SELECT page_id, d, {_own_sql('d')} AS ok FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {_HOST} ELSE [{', '.join(repr(h) for h in _ODD_HOSTS)}][CAST(page_id % {len(_ODD_HOSTS)} AS INT) + 1] END AS d FROM pages)")
 def p02(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.is_product_domain(X.host(F.col("url"))).alias("ok"))
+    d = F.when(F.col("page_id") % 3 == 0, X.host(F.col("url"))).otherwise(F.get(F.array(*map(F.lit, _ODD_HOSTS)), (F.col("page_id") % len(_ODD_HOSTS)).cast("int")))
+    return t.pages.select("page_id", d.alias("d")).withColumn("ok", X.is_product_domain(F.col("d")))
 
 
-@plan("P03_domains_in_text")
+@plan("P03_domains_in_text", f"SELECT page_id, {_domains_sql('html')} AS domains FROM pages")
 def p03(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.extract_domains(F.col("html")).alias("domains"))
 
 
-@plan("P04_homepage_domain")
+@plan("P04_homepage_domain", f"""
+SELECT page_id, coalesce(CASE WHEN {_own_sql('home')} THEN home END, list_filter(near, lambda d: {_own_sql('d')})[1], list_filter(listed, lambda d: {_own_sql('d')})[1]) AS domain
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_REGISTRABLE.format(p=f"string_split({_HOST}, '.')", h=_HOST)} END AS home, {_domains_sql('html')} AS listed,
+  {_domains_sql("array_to_string(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, 'website|homepage|app|demo|waitlist|pricing|product|try it|get started|sign up|launch', 'i')), chr(10))")} AS near FROM pages)""")
 def p04(t: Tables) -> DataFrame:
-    """Homepage, else blog, else the first own domain in the text."""
-    own = lambda c: F.when(X.is_product_domain(c), c)
-    listed = F.get(F.filter(X.extract_domains(F.col("html")), lambda d: X.is_product_domain(d)), 0)
-    return t.pages.select("page_id", F.coalesce(own(X.canonicalize_domain(F.col("url"))), listed).alias("domain"))
+    """Every second page has a homepage; the others show what their text names."""
+    home = F.when(F.col("page_id") % 2 == 0, F.col("url"))
+    return t.pages.select("page_id", X.homepage_domain(home, F.lit(None).cast("string"), F.col("html")).alias("domain"))
 
 
 @plan("P05_simple_domain", r"SELECT page_id, lower(split_part(regexp_replace(url, '^(https?://)?(www\.)?', ''), '/', 1)) AS d FROM pages")
@@ -43,22 +63,36 @@ def p05(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.simple_domain(F.col("url")).alias("d"))
 
 
-_SUFFIX = ", ".join(f"'{s}'" for s in X.NAME_SUFFIXES)
+#: Names with suffixes, single characters and punctuation around each part's name.
+_NAMES = ("Labs, Inc.", "Pte. Ltd", "a b-c d", "Company AG", "Incorporated / SARL", "Platform-Technologies 7")
+_NAMED = "(SELECT p_partkey, p_name || ' ' || [" + ", ".join(f"'{n}'" for n in _NAMES) + f"][CAST(p_partkey % {len(_NAMES)} AS INT) + 1] AS n FROM part)"
 
 
-@plan("P06_normalize_name", f"""
-SELECT p_partkey, nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' Labs, Inc.'), '[^\\w\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_SUFFIX})), ' '), '- '), '') AS name FROM part""")
-def p06(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.normalize_company_name(F.concat("p_name", F.lit(" Labs, Inc."))).alias("name"))
+def _named(t: Tables) -> DataFrame:
+    tail = F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))
+    return t.part.select("p_partkey", F.concat("p_name", F.lit(" "), tail).alias("n"))
 
 
-_LEGAL = ", ".join(f"'{s}'" for s in X.LEGAL_SUFFIXES)
+def name_sql(name: str, suffixes: str) -> str:
+    """A firm's name for matching: punctuation, suffix words and single characters cut out."""
+    out = f"regexp_replace(lower(trim({name})), '[^\\w\\s-]', ' ', 'g')"
+    out = f"regexp_replace({out}, '\\b({suffixes})\\b\\.?', ' ', 'g')"
+    out = f"trim(regexp_replace(regexp_replace({out}, '\\b\\w\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"nullif(trim(trim({out}, '-')), '')"
 
 
-@plan("P07_normalize_conservative", f"""
-SELECT p_partkey, nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' Labs, Inc.'), '[^\\w\\s\\-]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_LEGAL})), ' '), '- '), '') AS name FROM part""")
+FULL_SQL = "inc|incorporated|llc|ltd|limited|co|corp|corporation|labs|lab|ai|io|tech|technologies|technology|software|solutions|systems|platform|group|holding|holdings|gmbh|sa|sas|sarl|bv|pty|pte"
+LEGAL_SQL = "|".join(X.LEGAL_SUFFIXES)
+
+
+@plan("P06_normalize_name", f"SELECT p_partkey, {name_sql('n', FULL_SQL)} AS name FROM {_NAMED}")
+def p06(t: Tables) -> DataFrame:
+    return _named(t).select("p_partkey", X.normalize_company_name(F.col("n")).alias("name"))
+
+
+@plan("P07_normalize_conservative", f"SELECT p_partkey, {name_sql('n', LEGAL_SQL)} AS name FROM {_NAMED}")
 def p07(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.normalize_company_name(F.concat("p_name", F.lit(" Labs, Inc.")), X.LEGAL_SUFFIXES).alias("name"))
+    return _named(t).select("p_partkey", X.normalize_company_name(F.col("n"), X.LEGAL_SUFFIXES).alias("name"))
 
 
 @plan("P08_fuzzy_similarity")
@@ -74,48 +108,80 @@ def p09(t: Tables) -> DataFrame:
     return t.companies.select("id", X.entity_key(F.col("domain"), F.col("name")).alias("key"))
 
 
-_STRONG = r"\b(large language model|llm|generative ai|machine learning|deep learning|artificial intelligence|neural net|transformer|fine[- ]?tun)\b"
-_MODERATE = r"\b(inference|embedding|vector database|retriev|orchestrat|chatbot|computer vision|nlp)\b"
-_SAMPLES = "(SELECT id, CASE id % 5 WHEN 0 THEN 'transformer-based inference' WHEN 1 THEN 'fine-tuning transformers' WHEN 2 THEN 'An LLM chatbot' WHEN 3 THEN 'bakery' ELSE 'deep learning for vision, founded 2020' END AS body, CASE id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'ai' ELSE 'web' END AS topic, cb_ai_tagged, domain FROM companies)"
+_STRONG = r"\b(fine[- ]?tun|inference|transformer|diffusion|multimodal|large language model|retrieval.augmented|rag pipeline|vector.?database|embedding.?model|llm.?agent|text.?to.?image|speech.?to.?text|foundation model)\b"
+_MODERATE = r"\b(artificial intelligence|machine learning|deep learning|neural net|computer vision|natural language|object detection|image classification|sentiment analysis|recommendation engine|model training|model serving|mlops|pytorch|tensorflow|jax|hugging\s?face|generative ai|gen ai|ai.powered|ai-driven|ai-enabled|predictive analytics|data science)\b"
+_NAME_WORDS = r"\b(ai|ml|llm|gpt|nlp|agi|artificial intelligence|machine learning|deep learning|neural|generative)\b"
+_STARTUP = r"\b(waitlist|pricing|book a demo|request demo|customers|enterprise|saas|api key|free trial|sign up|get started|early access|beta access|backed by|funded by|raised|series [a-d]|seed round|our platform|our product|we help|we build)\b"
+_COMMERCIAL = r"\b(pricing|contact us|enterprise|cloud|api|signup|sign up|waitlist|book a demo|request demo|free trial|get started|early access|beta access|our platform|our product|we help|we build|backed by|funded by|raised|series [a-d]|seed round|customers|saas|managed service|hosted|on-prem)\b"
+_STRONG_SQL = "['llm', 'rag', 'agents', 'generative-ai', 'generative_ai', 'large-language-model', 'large-language-models', 'langchain', 'llamaindex', 'autogen']"
+_MODERATE_SQL = "['ai', 'machine-learning', 'deep-learning', 'computer-vision', 'nlp', 'natural-language-processing', 'neural-network', 'reinforcement-learning', 'speech-recognition', 'transformer', 'diffusion', 'multimodal']"
+#: Texts, topics and domains that stand for a firm's own, so that every branch of the rules is met.
+_BODIES = (
+    "transformer-based Inference for fine-tuning LLMs", "A vector  database and a Vector-Database, with text to image diffusion", "An LLM chatbot; book a demo, pricing, free trial",
+    "Bakery", "Deep learning for computer vision. Our platform helps customers", "Generative AI, series B, backed by many; api and cloud", "A web framework for building apps", "We build a tool",
+)
+_TOPICS = ("LLM ", "ai", "web", "rag", "computer-vision", "langchain", "Transformer")
+_DOMAINS = ("github.com", "firm.dev", "docs.readthedocs.io", "arxiv.org", "a.co")
+_OWNERS = ("Organization", "User", "organization")
+
+
+def _pick_sql(values: tuple[str, ...], step: str = "id") -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST({step} % {len(values)} AS INT) + 1]"
+
+
+def _pick(values: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (F.col("id") % len(values)).cast("int"))
+
+
+_SAMPLES = f"(SELECT id, name || CASE WHEN id % 4 = 0 THEN ' AI' WHEN id % 4 = 1 THEN ' Aim' ELSE '' END AS name, {_pick_sql(_BODIES)} AS body, {_pick_sql(_TOPICS)} AS topic, {_pick_sql(_DOMAINS)} AS site, {_pick_sql(_OWNERS)} AS owner, cb_ai_tagged, domain FROM companies)"
 
 
 def _samples(t: Tables) -> DataFrame:
-    i = F.col("id") % 5
-    body = F.when(i == 0, "transformer-based inference").when(i == 1, "fine-tuning transformers").when(i == 2, "An LLM chatbot").when(i == 3, "bakery").otherwise("deep learning for vision, founded 2020")
-    k = F.col("id") % 3
-    topic = F.when(k == 0, "llm").when(k == 1, "ai").otherwise("web")
-    return t.companies.select("id", body.alias("body"), topic.alias("topic"), "cb_ai_tagged", "domain")
+    tail = F.when(F.col("id") % 4 == 0, " AI").when(F.col("id") % 4 == 1, " Aim").otherwise("")
+    return t.companies.select("id", F.concat("name", tail).alias("name"), _pick(_BODIES).alias("body"), _pick(_TOPICS).alias("topic"), _pick(_DOMAINS).alias("site"), _pick(_OWNERS).alias("owner"), "cb_ai_tagged", "domain")
+
+
+def _case(*tests: tuple[str, float]) -> str:
+    return " + ".join(f"CASE WHEN {t} THEN {p} ELSE 0 END" for t, p in tests)
+
 
+def _words_sql(text: str, words: str) -> str:
+    return f"regexp_matches(lower({text}), '{words}')"
 
-@plan("P10_ai_score", f"""
-SELECT id, round(least(1.0, CASE WHEN topic = 'llm' THEN 0.3 ELSE 0 END + CASE WHEN topic = 'ai' THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '{_STRONG}') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '{_MODERATE}') THEN 0.1 ELSE 0 END + CASE WHEN cb_ai_tagged THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {_SAMPLES}""", "companies")
+
+_SCORE_SQL = _case((f"list_contains({_STRONG_SQL}, lower(trim(topic)))", 0.3), (f"list_contains({_MODERATE_SQL}, lower(trim(topic)))", 0.2), (_words_sql("body", _STRONG), 0.2), (_words_sql("body", _MODERATE), 0.1), ("cb_ai_tagged", 0.2))
+
+
+@plan("P10_ai_score", f"SELECT id, round(least(1.0, {_SCORE_SQL})::DOUBLE, 6) AS score FROM {_SAMPLES}", "companies")
 def p10(t: Tables) -> DataFrame:
     return _samples(t).select("id", F.round(X.ai_score(F.array("topic"), F.col("body"), F.col("cb_ai_tagged")), 6).alias("score"))
 
 
-@plan("P11_ai_mentioned", f"SELECT id, regexp_matches(lower(body), '{_STRONG}') OR regexp_matches(lower(body), '{_MODERATE}') AS mentioned FROM {_SAMPLES}", "companies")
+@plan("P11_ai_mentioned", f"SELECT id, {_words_sql('name', _NAME_WORDS)} OR {_words_sql('body', _STRONG)} OR {_words_sql('body', _MODERATE)} AS mentioned FROM {_SAMPLES}", "companies")
 def p11(t: Tables) -> DataFrame:
-    return _samples(t).select("id", (F.col("body").rlike(X.STRONG_TEXT) | F.col("body").rlike(X.MODERATE_TEXT)).alias("mentioned"))
+    return _samples(t).select("id", X.ai_mentioned(F.col("name"), F.col("body")).alias("mentioned"))
+
 
+_STARTUP_SQL = _case((_own_sql("site"), 0.4), ("lower(owner) = 'organization'", 0.2), (_words_sql("body", _STARTUP), 0.2), ("cb_ai_tagged", 0.2))
 
-@plan("P12_startup_score", f"SELECT id, round((CASE WHEN domain IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN topic = 'llm' THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(body), '\\b(startup|founded|pricing|customers|enterprise)\\b') THEN 0.2 ELSE 0 END + CASE WHEN cb_ai_tagged THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM {_SAMPLES}", "companies")
+
+@plan("P12_startup_score", f"SELECT id, round(least(1.0, {_STARTUP_SQL})::DOUBLE, 6) AS score FROM {_SAMPLES}", "companies")
 def p12(t: Tables) -> DataFrame:
-    kind = F.when(F.col("topic") == "llm", "Organization").otherwise("User")
-    return _samples(t).select("id", F.round(X.startup_score(F.col("domain"), kind, F.col("body"), F.col("cb_ai_tagged")), 6).alias("score"))
+    return _samples(t).select("id", F.round(X.startup_score(F.col("site"), F.col("owner"), F.col("body"), F.col("cb_ai_tagged")), 6).alias("score"))
+
+
+_LIKELY_SQL = _case((_own_sql("site"), 0.3), ("lower(owner) = 'organization'", 0.15), ("domain IS NOT NULL", 0.1), ("n >= 3", 0.25), ("n BETWEEN 1 AND 2", 0.15), ("id % 5 = 0", 0.1), (_words_sql("body", r"\b(platform|product|api|service|tool|solution)\b"), 0.1))
 
 
-@plan("P13_likelihood", "SELECT doc_id, CASE WHEN n >= 3 THEN 0.25 WHEN n >= 1 THEN 0.15 ELSE 0 END::DOUBLE AS likelihood FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS n FROM documents)")
+@plan("P13_likelihood", f"SELECT id, round(least(1.0, {_LIKELY_SQL})::DOUBLE, 4) AS likelihood FROM (SELECT *, len(regexp_extract_all(lower(body), '{_COMMERCIAL}')) AS n FROM {_SAMPLES})", "companies")
 def p13(t: Tables) -> DataFrame:
-    n = F.regexp_count(F.lower("text"), F.lit("tion"))
-    return t.documents.select("doc_id", F.when(n >= 3, 0.25).when(n >= 1, 0.15).otherwise(0.0).alias("likelihood"))
+    score = X.startup_likelihood(F.col("site"), F.col("owner"), F.col("domain").isNotNull(), F.col("body"), F.col("body"), F.col("id") % 5 == 0)
+    return _samples(t).select("id", score.alias("likelihood"))
 
 
-@plan("P14_extract_tags", f"""
-SELECT id, list_sort(list_distinct(list_filter([CASE WHEN topic IN ('llm', 'ai') THEN topic END, CASE WHEN regexp_matches(lower(body), '\\btransformer\\b') THEN 'transformer' END, CASE WHEN regexp_matches(lower(body), '\\bdeep learning\\b') THEN 'deep-learning' END], lambda x: x IS NOT NULL))) AS tags FROM {_SAMPLES}""", "companies")
+@plan("P14_extract_tags", f"SELECT id, list_sort(list_distinct(list_concat(list_filter([lower(trim(topic))], lambda x: list_contains(list_concat({_STRONG_SQL}, {_MODERATE_SQL}), x)), list_transform(regexp_extract_all(lower(body), '{_STRONG}'), lambda w: regexp_replace(w, '\\s+', '-', 'g'))))) AS tags FROM {_SAMPLES}", "companies")
 def p14(t: Tables) -> DataFrame:
-    body = F.lower("body")
-    made = F.array(F.when(F.col("topic").isin("llm", "ai"), F.col("topic")), F.when(body.rlike(r"\btransformer\b"), F.lit("transformer")), F.when(body.rlike(r"\bdeep learning\b"), F.lit("deep-learning")))
-    return _samples(t).select("id", F.array_sort(F.array_distinct(F.array_compact(made))).alias("tags"))
+    return _samples(t).select("id", X.ai_tags(F.array("topic"), F.col("body")).alias("tags"))
 
 
 _RULES = (("chat", r"\b(llm|chatbot)\b"), ("training", r"fine[- ]?tun"), ("serving", r"\binference\b"), ("vision", r"\bvision\b"))
