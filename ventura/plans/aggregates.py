@@ -178,9 +178,9 @@ def a07(t: Tables) -> DataFrame:
     return t.deals.groupBy("company_id").agg(F.bool_or(F.col("deal_size") > 400000).alias("any_large"))
 
 
-@plan("A08_ordered_list", "SELECT company_id, list(deal_id ORDER BY deal_date, deal_id) AS deal_ids FROM deals WHERE company_id < 200 GROUP BY 1", "deals")
+@plan("A08_ordered_list", "SELECT company_id, list(deal_id ORDER BY deal_date, deal_id) AS deal_ids FROM deals GROUP BY 1", "deals")
 def a08(t: Tables) -> DataFrame:
-    rows = t.deals.filter("company_id < 200").groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("deal_date", "deal_id"))).alias("d"))
+    rows = t.deals.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("deal_date", "deal_id"))).alias("d"))
     return rows.select("company_id", F.col("d.deal_id").alias("deal_ids"))
 
 

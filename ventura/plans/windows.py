@@ -120,8 +120,10 @@ def w14(t: Tables) -> DataFrame:
 
 @plan("W15_ranking_functions", "SELECT s_suppkey, dense_rank() OVER (ORDER BY s_nationkey) AS d, percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS p, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS q, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt FROM supplier")
 def w15(t: Tables) -> DataFrame:
+    """The rank over all rows is made of the distinct keys, one row a nation, and joined back."""
     own = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    return t.supplier.select("s_suppkey", F.dense_rank().over(Window.orderBy("s_nationkey")).alias("d"), F.percent_rank().over(own).alias("p"), F.ntile(4).over(own).alias("q"), F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("nxt"))
+    keys = t.supplier.select("s_nationkey").distinct().withColumn("d", F.row_number().over(Window.orderBy("s_nationkey")))
+    return t.supplier.join(keys, "s_nationkey").select("s_suppkey", "d", F.percent_rank().over(own).alias("p"), F.ntile(4).over(own).alias("q"), F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("nxt"))
 
 
 @plan("T01_nulls_last", "SELECT id, ai_score FROM companies ORDER BY ai_score DESC NULLS LAST, id LIMIT 40", "companies")
