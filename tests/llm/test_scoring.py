@@ -145,3 +145,13 @@ def test_license_scan_on_the_table(spark):
 
 def test_license_empty(spark, tmp_path):
     assert license_scan.op9_license_scan(spark, input_dir(spark, tmp_path, frame(spark, []))).count() == 0
+
+
+def test_long_unbroken_tokens_are_scanned_once():
+    import time
+
+    from ventura.llm import toxicity
+
+    began = time.time()
+    assert not toxicity.odd("1" * 1_000_000) and not toxicity.odd("日" * 1_000_000) and toxicity.odd("a" + "1" * 1_000_000)
+    assert time.time() - began < 5

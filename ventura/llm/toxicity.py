@@ -39,7 +39,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SUBSTITUTE, RUN, PAIR, DROP, SEPARATOR = 0.5, 0.3, 6.0, 9.0, 0.3
 CACHED = 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_ODD = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!+|(€])|([a-z])\1\1|[a-z][.\-_*~'][a-z][.\-_*~']", re.S)
+_LETTER, _SIGN = re.compile("[a-z]"), re.compile("[0-9@$!+|(€]")
+_RUN = re.compile(r"([a-z])\1\1|[a-z][.\-_*~'][a-z][.\-_*~']")
 _SPACED = re.compile(r"(?<![^\W_])(?<![@$])(?:[^\W_]|[@$])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$])(?![^\W_]|[@$])){2,}")
 _GAP = re.compile(r"[ .\-_*~]+")
 _LEADING = re.compile(r"[@$!][a-z]{2}")
@@ -49,6 +50,11 @@ _LETTERLESS = re.compile(r"[0-9@$!+|(€]{3,}")
 JOINED, FRAGMENTS = 4, 4
 
 
+def odd(token: str) -> bool:
+    """Whether a token (lower case) looks obfuscated: letters with signs, runs, or letters with separators between them. Single scans."""
+    return bool(_LETTER.search(token) and _SIGN.search(token) or _RUN.search(token))
+
+
 class CharModel:
     """Trigram costs (negative log probabilities) over a-z and the word edge, with additive smoothing."""
 
@@ -128,13 +134,13 @@ class Restorer:
     def word(self, token: str) -> str:
         t = token.lower()
         core = t.strip(_EDGES)
-        if core.isalpha() and not _ODD.search(core) and not _LEADING.match(t):
+        if core.isalpha() and not odd(core) and not _LEADING.match(t):
             return core
         # symbols at the edges can be letters of the word ($tupid), so they stay for decoding if they are in LEET
         own = t.strip("".join(c for c in _EDGES if c not in "@$!+|("))
         if re.fullmatch(r"[a-z]+[^a-z0-9]+", own):
             own = core
-        return self.model.decode(own) if _ODD.search(own) else core
+        return self.model.decode(own) if odd(own) else core
 
     def words(self, text: str) -> set[str]:
         if len(self.memo) > CACHED:
