@@ -1,7 +1,9 @@
 import datetime
+import zipfile
 
 from pyspark.sql import functions as F
 
+from ventura.operators import learning
 from ventura.operators import merge as M
 from ventura.operators.joins import as_of_backward, match_entities
 from ventura.sources import files
@@ -91,3 +93,34 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     files.write_csv(rows, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_bulk_sources(spark, tmp_path):
+    (tmp_path / "auto.csv").write_text("id,score,name\n1,0.5,a\n2,1.5,b\n")
+    assert files.read_inferred(spark, str(tmp_path / "auto.csv")).dtypes == [("id", "int"), ("score", "double"), ("name", "string")]
+    (tmp_path / "awards.csv").write_text('company,award_year,company_website,state\nAcme Inc.,2004,,MA\n"ACME, Inc",2001,acme.com,NY\nAcme,x,late.com,MA\n,2000,,\nBolt LLC,2010,,\n')
+    got = {r["key"]: r for r in files.fold_awards(spark, str(tmp_path / "awards.csv")).collect()}
+    assert sorted(got) == ["acme", "bolt"]
+    acme = got["acme"]
+    assert (acme["awards"], acme["first_year"], acme["last_year"], acme["website"], acme["states"]) == (3, 2001, 2004, "acme.com", ["MA", "NY"])
+    assert (got["bolt"]["website"], got["bolt"]["states"]) == (None, [])
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "grants.zip", "w") as z:
+        z.writestr("project.csv", 'id;title\n1;"Deep; learning"\n2;Bridges\n3;\n')
+        z.writestr("organization.csv", "projectID;name;country\n1;A;DE\n1;B;FR\n2;C;IT\n;D;ES\n")
+    with zipfile.ZipFile(tmp_path / "other.zip", "w") as z:
+        z.writestr("readme.txt", "nothing")
+    got = files.grant_firms(spark, str(tmp_path), "deep|machine")
+    assert sorted((r["name"], r["country"], r["organizationURL"]) for r in got.collect()) == [("A", "DE", None), ("B", "FR", None)]
+
+
+def test_corrected_draws(spark):
+    """With a near-perfect test the corrected share is the observed one; a test worse than chance gives no share."""
+    counts = spark.createDataFrame([("good", 3000, 10000, 5000, 0, 0, 5000), ("bad", 3000, 10000, 0, 500, 500, 0)], "bucket string, ai long, n long, tp long, fp long, fn long, tn long")
+    rows = learning.corrected_draws(counts, "bucket", 200, 1)
+    got = {r["bucket"]: r for r in rows.groupBy("bucket").agg(F.avg("share").alias("mean"), F.count("share").alias("known"), F.count("*").alias("n")).collect()}
+    assert abs(got["good"]["mean"] - 0.3) < 0.005 and got["good"]["known"] == 200
+    assert (got["bad"]["known"], got["bad"]["n"]) == (0, 200)
+    assert rows.exceptAll(learning.corrected_draws(counts.repartition(3), "bucket", 200, 1)).count() == 0

@@ -31,6 +31,27 @@ def beta_bootstrap(counts: DataFrame, key: str, hits: str, n: str, draws: int, s
     return made.select(F.col("key").alias(key), F.col("p")[0].alias("lo"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("hi"))
 
 
+def corrected_draws(counts: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Draws of each row's prevalence corrected for its own test error: (key, draw, share).
+
+    ``counts`` has ai and n of the population and tp, fp, fn, tn of the validated part. Observed share, sensitivity and
+    specificity are drawn from Jeffreys posteriors; a draw whose test is no better than chance has no share.
+    """
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            shares = []
+            for h, d, k, m, tp, fp, fn, tn in zip(b["h"], b["draw"], b["ai"], b["n"], b["tp"], b["fp"], b["fn"], b["tn"]):
+                rng = np.random.default_rng([seed, h & 0x7FFFFFFF, d])
+                observed, sensitivity, specificity = rng.beta([k + 0.5, tp + 0.5, tn + 0.5], [m - k + 0.5, fn + 0.5, fp + 0.5])
+                gain = sensitivity + specificity - 1
+                shares.append(min(1.0, max(0.0, (observed + specificity - 1) / gain)) if gain > 0 else None)
+            yield pd.DataFrame({"key": b["key"], "draw": b["draw"], "share": pd.Series(shares, dtype="float64")})
+
+    rows = counts.select(F.col(key).alias("key"), F.crc32(F.col(key).cast("binary")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "ai", "n", "tp", "fp", "fn", "tn")
+    return rows.mapInPandas(sample, "key string, draw int, share double").withColumnRenamed("key", key)
+
+
 def poisson_bootstrap_f1(rows: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """Interval of precision, recall and F1 by Poisson resampling of (p, y) rows.
 

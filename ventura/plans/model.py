@@ -34,6 +34,13 @@ SELECT o_orderkey AS deal_id, o_custkey AS company_id, o_orderdate AS deal_date,
 SELECT DISTINCT o.o_custkey AS company_id, p.p_type AS tag FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey""",
     "edges": """
 SELECT DISTINCT l.l_suppkey AS investor_id, l.l_orderkey AS round_id FROM lineitem l""",
+    "founders": """
+SELECT o_orderkey - o_orderkey % 3 AS person_id, o_custkey AS company_id FROM orders""",
+    "people": """
+SELECT o_orderkey AS person_id, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'M' END AS sex, o_totalprice / 500000 AS prestige FROM orders WHERE o_orderkey % 3 = 0""",
+    "degrees": """
+SELECT l.l_orderkey - l.l_orderkey % 3 AS person_id, p.p_brand AS institution, p.p_type AS subject,
+  CASE l.l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE l.l_linenumber % 2 END AS level FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
     "snapshots": """
 SELECT user_id AS repo, event_id, ts AS collected_at, value AS stars FROM events WHERE event_type IN ('view', 'click')""",
     "runs": """
@@ -46,6 +53,9 @@ _NEEDS = {
     "deals": ("orders",),
     "firm_tags": ("orders", "lineitem", "part"),
     "edges": ("lineitem",),
+    "founders": ("orders",),
+    "people": ("orders",),
+    "degrees": ("lineitem", "part"),
     "snapshots": ("events",),
     "runs": ("events",),
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ventura.functions.text import canonicalize_domain
+from ventura.functions.text import canonicalize_domain, normalize_company_name
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], columns: list[str], sep: str = "|") -> DataFrame:
@@ -41,6 +45,59 @@ def read_site_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", one("domain").alias("domain"), one("preferred_strategy").alias("strategy"), one("record_count", r"[ \t]+").try_cast("int").alias("record_count"))
 
 
+def read_inferred(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A headered CSV with inferred types. Inference is one more pass over the files; give a schema where they are large."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(paths)
+
+
+def fold_awards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A bulk CSV of awards (company, award_year, company_website, state) folded into one record per firm.
+
+    Firms are told apart by their normalised name, rows without one are dropped. The record has the count of awards, the
+    first and last year, the distinct states in order, and the longest spelling and website of the earliest award that has
+    any. Partial aggregation folds most rows before the shuffle, so no firm's awards are ever held together.
+    """
+    schema = "company string, award_year string, company_website string, state string"
+    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
+    rows = rows.withColumn("key", normalize_company_name(F.col("company"))).filter("key <> ''").withColumn("year", F.expr("try_cast(award_year AS INT)"))
+    site = F.nullif(F.trim("company_website"), F.lit(""))
+    return rows.groupBy("key").agg(
+        F.max_by("company", F.struct(F.length("company"), "company")).alias("name"),
+        F.count("*").alias("awards"),
+        F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"),
+        F.min(F.when(site.isNotNull(), F.struct(F.coalesce("year", F.lit(9999)), site.alias("site"))))["site"].alias("website"),
+        F.array_sort(F.collect_set("state")).alias("states"),
+    )
+
+
+def read_zip_member(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = ";") -> DataFrame:
+    """Rows of one headered CSV inside each zip file of ``path``, the named columns as text (null where the header lacks one).
+
+    A zip can't be split, so a file is one task, of at most 2 GB packed; the member is unpacked as a stream.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for content in (c for b in batches for c in b["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                if member not in archive.namelist():
+                    continue
+                with archive.open(member) as raw:
+                    for part in pd.read_csv(raw, sep=sep, dtype=str, keep_default_na=False, na_values=[""], chunksize=20_000, encoding="utf-8-sig"):
+                        part = part.reindex(columns=columns)
+                        yield part.astype(object).where(part.notna(), None)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+
+
+def grant_firms(spark: SparkSession, path: str, title: str) -> DataFrame:
+    """Organisations of a grants archive that take part in a project whose title matches the pattern ``title``."""
+    projects = read_zip_member(spark, path, "project.csv", ["id", "title"]).filter(F.lower("title").rlike(title))
+    firms = read_zip_member(spark, path, "organization.csv", ["projectID", "name", "country", "organizationURL"])
+    return firms.join(projects.select(F.col("id").alias("projectID")).hint("shuffle_hash"), "projectID", "left_semi")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one headered file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
