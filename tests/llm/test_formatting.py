@@ -75,3 +75,25 @@ def test_layouts(spark):
 def test_typed_table_of_messages(spark):
     df = spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert [(r["role"], r["text"]) for r in C.table_turns(df).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+
+
+def test_fingerprints_see_whole_records(spark):
+    """Paths come from all elements of a list; empty lists keep their layout and give no turns; other shapes have none."""
+    records = [
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]},
+        {"messages": []},
+        {"conversations": [], "id": 7},
+        {"messages": ["a", "b"]},
+        {"messages": "text"},
+        {"messages": [{"role": "user"}]},
+        {"prompt": {"text": "p"}, "response": "r"},
+        {"instruction": "do", "output": {}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, "[]"), (91, "{}"), (92, "3")], "conv_id long, body string")
+    kinds = {r["conv_id"]: r["layout"] for r in C.layouts(df, "conv_id", "body").collect()}
+    assert [kinds[i] for i in range(6)] == ["messages", "messages", "from_value", "messages", None, None]
+    assert kinds[6] is None and kinds[7] == "instruction" and [kinds[i] for i in (90, 91, 92)] == [None] * 3
+    turns = [(r["conv_id"], r["role"], r["text"]) for r in C.record_turns(df, "conv_id", "body").orderBy("conv_id", "turn").collect()]
+    assert turns[:2] == [(0, "user", None), (0, "assistant", "a")] and not [t for t in turns if t[0] in (1, 2)]
+    paths = df.select("conv_id", C.record_paths(F.try_parse_json("body")).alias("p")).filter("conv_id = 6").first()["p"]
+    assert sorted(paths) == ["prompt.text", "response"]

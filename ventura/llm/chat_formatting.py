@@ -3,7 +3,8 @@
 A record's nested field paths, restricted to those a layout knows, are sorted and hashed (SHA-256). A layout lists the
 path sets it accepts; the first layout, in the order of LAYOUTS, that accepts the record's hash gives the mapping. For a
 typed table the paths come from the DataFrame's schema when the plan is built; for records in a JSON column they are
-found for each row by Spark's variant functions. Everything is DataFrame functions.
+read from each record itself by Spark's variant functions, over all elements of its lists. An empty list has the path
+``a[]``; a layout whose list is empty is accepted and gives no turns. Everything is DataFrame functions.
 
 Rendered form of a turn: ``<|start|>role<|text|>text<|end|>``. Inside role and text a backslash is doubled and each
 control string of LITERALS gets a backslash after its first character, so no text can end or open a turn, and
@@ -51,7 +52,13 @@ class Layout:
     def accepted(self) -> list[str]:
         """Fingerprints of all path sets the mapping can read."""
         more = sorted(self.optional)
-        return [fingerprint({*self.required, *c}) for k in range(len(more) + 1) for c in combinations(more, k)]
+        whole = [{*self.required, *c} for k in range(len(more) + 1) for c in combinations(more, k)]
+        return [fingerprint(p) for p in (*whole, self.lists) if p]
+
+    @property
+    def lists(self) -> set[str]:
+        """What the paths are if the lists that the layout reads are empty; nothing for a layout without lists."""
+        return {p.split("[]")[0] + "[]" for p in self.required if "[]" in p}
 
 
 def fingerprint(paths) -> str:
@@ -104,23 +111,34 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
     return found
 
 
-def _json_path(path: str) -> str:
-    return "$." + path.replace("[]", "[0]")
+def record_paths(record: Column) -> Column:
+    """Distinct field paths of a variant record: ``a``, ``a.b``, ``a[].b`` and ``a[]`` for a list without objects; null if it is no object."""
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+
+    def below(entry: Column) -> Column:
+        key, items, inner = entry["key"], F.try_variant_get(entry["value"], "$", "array<variant>"), fields(entry["value"])
+        of_items = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(fields(x)), F.array().cast("array<string>")))))
+        listed = F.when(F.size(of_items) > 0, F.transform(of_items, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(F.concat(key, F.lit("[]"))))
+        nested = F.when(F.size(F.map_keys(inner)) > 0, F.transform(F.map_keys(inner), lambda k: F.concat(key, F.lit("."), k))).otherwise(F.array(key))
+        return F.when(items.isNotNull(), listed).when(inner.isNotNull(), nested).otherwise(F.array(key))
+
+    return F.flatten(F.transform(F.map_entries(fields(record)), below))
 
 
-def layout_of(record: Column) -> Column:
-    """Name of the first layout that accepts the fingerprint of a variant record, else null."""
+def layout_of(paths: Column) -> Column:
+    """Name of the first layout that accepts the fingerprint of a record's paths, else null."""
     out = F.lit(None).cast("string")
     for layout in reversed([x for x in LAYOUTS if x.turns is not None]):
-        there = F.concat_ws("\n", *(F.when(F.try_variant_get(record, _json_path(p), "variant").isNotNull(), F.lit(p)) for p in layout.paths))
-        out = F.when(F.sha2(there, 256).isin(layout.accepted()), F.lit(layout.name)).otherwise(out)
+        known = F.array(*map(F.lit, sorted({*layout.paths, *layout.lists})))
+        own = F.array_sort(F.array_intersect(paths, known))
+        out = F.when(F.sha2(F.array_join(own, "\n"), 256).isin(layout.accepted()), F.lit(layout.name)).otherwise(out)
     return out
 
 
 def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """Turn rows (conv_id, turn, role, text, layout) of JSON records in any layout of LAYOUTS."""
     rows = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(json_col)).alias("record"))
-    rows = rows.withColumn("layout", layout_of(F.col("record")))
+    rows = rows.withColumn("paths", record_paths(F.col("record"))).withColumn("layout", layout_of(F.col("paths")))
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get(F.col("record"), f"$.{path}", kind)
@@ -136,7 +154,8 @@ def record_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def layouts(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv_id and the chosen layout of each record, null where no mapping fits."""
-    return df.select(F.col(id_col).alias("conv_id"), layout_of(F.try_parse_json(F.col(json_col))).alias("layout"))
+    rows = df.select(F.col(id_col).alias("conv_id"), record_paths(F.try_parse_json(F.col(json_col))).alias("paths"))
+    return rows.select("conv_id", layout_of(F.col("paths")).alias("layout"))
 
 
 def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
