@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -155,3 +156,27 @@ def test_long_unbroken_tokens_are_scanned_once():
     began = time.time()
     assert not toxicity.odd("1" * 1_000_000) and not toxicity.odd("日" * 1_000_000) and toxicity.odd("a" + "1" * 1_000_000)
     assert time.time() - began < 5
+
+
+def test_license_filters_lose_nothing_and_rule_out():
+    """Length, prefix and positional filters against plain counts on random blocks: no miss, and each rules some out."""
+    rng = random.Random(5)
+    t = license_scan.Template("x", tuple(sorted(rng.sample(range(60), 20))), 16, 20)
+    kept, ruled_out, by_place = 0, 0, 0
+    for _ in range(4000):
+        block = sorted(set(rng.sample(t.ranks, rng.randint(8, 20))) | set(rng.sample(range(60), rng.randint(0, 10))))
+        share = len(set(t.ranks) & set(block))
+        assert t.overlap(block) == (share if share >= t.need else 0)
+        assert share < t.need or t.may_meet(block)
+        kept += share >= t.need
+        ruled_out += not t.may_meet(block)
+        by_place += t.may_meet(block) and not t.overlap(block)
+    assert kept > 100 and ruled_out > 100 and by_place > 100
+
+
+def test_whole_notices_and_their_parts(spark, tmp_path):
+    """A whole notice is found with some words lost or replaced, and not where under four fifths are left."""
+    words = license_scan.TEMPLATES["isc"].split()
+    texts = [(0, "lead in " + " ".join(words) + " and more"), (1, " ".join(words[::2])), (2, "x " * 40 + " ".join(w for k, w in enumerate(words) if k % 12) + " y" * 40)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.op9_license_scan(spark, input_dir(spark, tmp_path, frame(spark, texts))).collect()}
+    assert "isc" in got[0] and "isc" not in got[1] and "isc" in got[2]
