@@ -16,10 +16,21 @@ def test_as_of_edges(spark):
     t0 = datetime.datetime(2024, 1, 1)
     at = [t0, t0 + datetime.timedelta(days=7), t0 + datetime.timedelta(days=13, hours=23)]
     rows = spark.createDataFrame([(1, i, t, float(i)) for i, t in enumerate(at)], "repo int, i int, ts timestamp, stars double")
-    got = {r["i"]: r["prior"] for r in as_of_backward(rows, "repo", "ts", "stars", "7 days").collect()}
+    got = {r["i"]: r["prior"] for r in as_of_backward(rows, "repo", "ts", "stars", datetime.timedelta(days=7)).collect()}
     assert got == {0: None, 1: 0.0, 2: 0.0}  # exactly seven days counts, six days and 23 hours doesn't
 
 
+def test_as_of_tolerance(spark):
+    """A value is taken from lag to lag + tolerance back, both ends included."""
+    hour = datetime.timedelta(hours=1)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, h, t0 + h * hour, float(h)) for h in (0, 1, 3, 6, 13)], "repo int, i int, ts timestamp, stars double")
+    got = {r["i"]: r["prior"] for r in as_of_backward(rows, "repo", "ts", "stars", 2 * hour, 3 * hour).collect()}
+    assert got == {0: None, 1: None, 3: 1.0, 6: 3.0, 13: None}
+    got = {r["i"]: r["prior"] for r in as_of_backward(rows, "repo", "ts", "stars", 2 * hour, 5 * hour).collect()}
+    assert got[13] == 6.0
+
+
 def test_match_never_multiplies(spark):
     firms = spark.createDataFrame([(1, "a.com", "alpha"), (2, "a.com", "alpha"), (3, None, "beta")], "id long, domain string, normalized_name string")
     records = spark.createDataFrame([("A.com", "x"), (None, "beta"), (None, None)], "domain string, normalized_name string")

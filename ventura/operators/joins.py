@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,17 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1)
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= k).drop("_k")
 
 
-def as_of_backward(df: DataFrame, key: str, ts: str, value: str, lag: str) -> DataFrame:
-    """For each row the key's last ``value`` at or before ``ts - lag``, by one range window and no self-join."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    micros = {"7 days": 7 * 86_400_000_000, "1 day": 86_400_000_000}[lag]
-    w = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, -micros)
+def as_of_backward(df: DataFrame, key: str, ts: str, value: str, lag: timedelta, tolerance: timedelta | None = None) -> DataFrame:
+    """For each row the key's last ``value`` at or before ``ts - lag``, by one range window and no self-join.
+
+    With ``tolerance`` a value older than ``ts - lag - tolerance`` doesn't count; ``prior`` is null where none does.
+    """
+    micros = lambda d: d // timedelta(microseconds=1)
+    oldest = Window.unboundedPreceding if tolerance is None else -micros(lag + tolerance)
+    w = Window.partitionBy(key).orderBy("_at").rangeBetween(oldest, -micros(lag))
     # of rows with equal times the largest value counts, so that ties have one answer
     last = F.max(F.struct("_at", value)).over(w)
-    return df.withColumn("_at", seconds).withColumn("prior", last[value]).drop("_at")
+    return df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("prior", last[value]).drop("_at")
 
 
 def match_entities(records: DataFrame, firms: DataFrame) -> DataFrame:

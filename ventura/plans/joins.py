@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def j10(t: Tables) -> DataFrame:
 @plan("J11_as_of_velocity", """
 SELECT s.event_id, s.stars - p.stars AS delta FROM snapshots s LEFT JOIN LATERAL (SELECT stars FROM snapshots b WHERE b.repo = s.repo AND b.collected_at <= s.collected_at - INTERVAL 7 DAY ORDER BY b.collected_at DESC, b.stars DESC LIMIT 1) p ON true""", "snapshots")
 def j11(t: Tables) -> DataFrame:
-    return J.as_of_backward(t.snapshots, "repo", "collected_at", "stars", "7 days").select("event_id", (F.col("stars") - F.col("prior")).alias("delta"))
+    return J.as_of_backward(t.snapshots, "repo", "collected_at", "stars", timedelta(days=7)).select("event_id", (F.col("stars") - F.col("prior")).alias("delta"))
 
 
 _NORM = "nullif(trim(regexp_replace(lower(name), '[^\\w\\s\\-]', ' ', 'g')), '')"

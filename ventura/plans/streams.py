@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def r06(t: Tables) -> DataFrame:
 SELECT event_id, round(0.45 * CASE WHEN hi = lo THEN CASE WHEN d > 0 THEN 0.5 ELSE 0 END ELSE (d - lo) / (hi - lo) END + 0.55 * stars / top, 6) AS trend FROM (SELECT *, max(d) OVER () AS hi, min(d) OVER () AS lo, max(stars) OVER () AS top FROM (
   SELECT s.event_id, s.stars, coalesce(s.stars - p.stars, 0) AS d FROM snapshots s LEFT JOIN LATERAL (SELECT stars FROM snapshots b WHERE b.repo = s.repo AND b.collected_at <= s.collected_at - INTERVAL 7 DAY ORDER BY b.collected_at DESC, b.stars DESC LIMIT 1) p ON true))""", "snapshots")
 def r07(t: Tables) -> DataFrame:
-    rows = as_of_backward(t.snapshots, "repo", "collected_at", "stars", "7 days").select("event_id", "stars", F.coalesce(F.col("stars") - F.col("prior"), F.lit(0.0)).alias("d"))
+    rows = as_of_backward(t.snapshots, "repo", "collected_at", "stars", timedelta(days=7)).select("event_id", "stars", F.coalesce(F.col("stars") - F.col("prior"), F.lit(0.0)).alias("d"))
     # the extremes are one row, so they join every snapshot instead of a window over all of them
     ends = rows.agg(F.max("d").alias("hi"), F.min("d").alias("lo"), F.max("stars").alias("top")).withColumn("one", F.lit(1))
     rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(ends), "one")
