@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ventura.llm import bpe, chat_formatting, exact_dedup, license_scan, line_dedup, ngram_jaccard, packing, quality_rules, token_counts, toxicity
+from ventura.llm import bpe, chat_formatting, exact_dedup, license_scan, line_dedup, ngram_jaccard, packing, period_runs, quality_rules, source_divergence, token_counts, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_period_runs": period_runs.op11_period_runs,
+        "op12_source_divergence": source_divergence.op12_source_divergence,
+        "op13_url_filters": url_filters.op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_formatting.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_chat_formatting": chat_formatting.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op12_source_divergence": source_divergence.ORACLE, "op13_url_filters": url_filters.ORACLE}
