@@ -80,32 +80,46 @@ def _f(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def _tally(block: int, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Joint cells of the pairs of each row's entries, added up per task in tables of about ``most`` rows."""
-    names = ["lang", "g", "h", "c", "d", "p", "q", "p0", "q0"]
+def _cells(batch: pa.RecordBatch, block: int) -> pd.DataFrame:
+    """A row for each pair of entries of one term, by lists of equal length at once."""
+    entries = batch.column("entries")
+    flat = entries.flatten()
+    g, n, p, p0 = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("g", "n", "p", "p0"))
+    starts = np.asarray(entries.offsets)[:-1] - entries.offsets[0].as_py()
+    sizes, apart = np.asarray(entries.value_lengths()), np.asarray(batch.column("a")) != np.asarray(batch.column("b"))
+    lang, left, right, row = batch.column("lang").to_pandas(), [], [], []
+    for k in np.unique(sizes):
+        rows = np.flatnonzero(sizes == k)
+        at = starts[rows][:, None] + np.arange(k)
+        at = np.take_along_axis(at, np.argsort(g[at], axis=1), axis=1)
+        i, j = np.triu_indices(k, 1)
+        left.append(at[:, i].ravel())
+        right.append(at[:, j].ravel())
+        row.append(np.repeat(rows, len(i)))
+    left, right, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, row))
+    wanted = ~apart[row] | (g[left] // block != g[right] // block)  # pairs within a block are met where the block meets itself
+    left, right, row = left[wanted], right[wanted], row[wanted]
+    return pd.DataFrame({"lang": lang.to_numpy()[row], "g": g[left], "h": g[right], "c": n[left], "d": n[right], "p": p[left], "q": p[right], "p0": p0[left], "q0": p0[right], "m": 1})
+
+
+def _tally(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joint cells, added up per task in tables of about ``most`` rows."""
+    keys, shares = ["lang", "g", "h", "c", "d"], ["p", "q", "p0", "q0"]  # a count's share follows from its group
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        added_up = lambda: pd.concat(parts, ignore_index=True).groupby(names, sort=False, as_index=False).agg(m=("m", "sum"))
+        added_up = lambda: pd.concat(parts, ignore_index=True).groupby(keys, sort=False, as_index=False).agg({k: "first" for k in shares} | {"m": "sum"})
         for batch in batches:
-            for lang, a, b, entries in zip(*(batch[c] for c in ("lang", "a", "b", "entries"))):
-                e = np.array([(x["g"], x["n"], x["p"], x["p0"]) for x in entries], np.int64)
-                e = e[np.argsort(e[:, 0])]
-                i, j = np.triu_indices(len(e), 1)
-                if a != b:  # pairs within a block are met where the block meets itself
-                    across = e[i, 0] // block != e[j, 0] // block
-                    i, j = i[across], j[across]
-                if len(i):
-                    g, h = e[i], e[j]
-                    parts.append(pd.DataFrame({"lang": lang, "g": g[:, 0], "h": h[:, 0], "c": g[:, 1], "d": h[:, 1], "p": g[:, 2], "q": h[:, 2], "p0": g[:, 3], "q0": h[:, 3], "m": 1}))
-                    size += len(i)
+            for k in range(0, batch.num_rows, 500):
+                parts.append(_cells(batch.slice(k, 500), block))
+                size += len(parts[-1])
                 if size > most:
                     parts = [added_up()]
                     if len(parts[0]) * 2 > most:
-                        yield parts.pop()
+                        yield pa.RecordBatch.from_pandas(parts.pop(), preserve_index=False)
                     size = sum(map(len, parts))
         if parts:
-            yield added_up()
+            yield pa.RecordBatch.from_pandas(added_up(), preserve_index=False)
 
     return run
 
@@ -132,7 +146,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     blocks = F.expr(f"sequence(0L, (n_sources - 1) div {BLOCK})")
     dealt = rows.withColumn("block", F.expr(f"g div {BLOCK}")).withColumn("other", F.explode(blocks))
     grouped = dealt.groupBy("lang", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "term").agg(F.collect_list(F.struct("g", "n", "p", "p0")).alias("entries"))
-    cells = grouped.select("lang", "a", "b", "entries").mapInPandas(_tally(BLOCK, TALLY_ROWS), "lang string, g long, h long, c long, d long, p long, q long, p0 long, q0 long, m long")
+    cells = grouped.select("lang", "a", "b", "entries").mapInArrow(_tally(BLOCK, TALLY_ROWS), "lang string, g long, h long, c long, d long, p long, q long, p0 long, q0 long, m long")
 
     half = sizes.select("lang", F.col("g"), F.col("p0"), F.col("own"), "v")
     pairs = half.join(half.select("lang", F.col("g").alias("h"), F.col("p0").alias("q0"), F.col("own").alias("other_own")), "lang").filter("g < h")
