@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ventura.functions import stats as S
 from ventura.functions import text as X
-from ventura.operators.joins import token_sort_ratio
+from ventura.operators.similarity import token_sort_ratio
 
 
 def one(spark, column, **values):

@@ -48,45 +48,6 @@ def missing_rows(source: DataFrame, target: DataFrame) -> DataFrame:
     return top_per_key(keyed.join(there, "_key", "left_anti"), ["_key"], [F.col("id")]).drop("_key")
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two names whose tokens are sorted: 2 * LCS / (len a + len b), by dynamic programming over arrays.
-
-    The longest common subsequence is one fold over the characters of ``a`` with a row of ``b``'s lengths as state.
-    """
-
-    def ordered(c: Column) -> Column:
-        return F.array_join(F.array_sort(F.split(F.trim(F.lower(c)), r"\s+")), " ")
-
-    x, y = ordered(a), ordered(b)
-    xs, ys = F.split(x, ""), F.split(y, "")
-
-    def step(row: Column, ch: Column) -> Column:
-        # row[j] is the LCS of what was read of x with the first j+1 characters of y
-        pairs = F.transform(ys, lambda c, j: F.struct((c == ch).alias("same"), F.coalesce(F.get(row, j - 1), F.lit(0)).alias("diag"), F.get(row, j).alias("up")))
-        start = F.array(F.lit(0))
-        grown = F.aggregate(pairs, start, lambda acc, p: F.concat(acc, F.array(F.when(p["same"], p["diag"] + 1).otherwise(F.greatest(p["up"], F.element_at(acc, -1))))))
-        return F.slice(grown, 2, F.size(ys))
-
-    lcs = F.element_at(F.aggregate(xs, F.transform(ys, lambda c: F.lit(0)), step), -1)
-    return F.when(x == y, F.lit(1.0)).otherwise(F.try_divide(2.0 * lcs, (F.length(x) + F.length(y)).cast("double")))
-
-
-def blocked_similar_pairs(df: DataFrame, id_col: str, name_col: str, block: Column, threshold: float) -> DataFrame:
-    """Pairs of names in one block at least ``threshold`` similar. Lengths that rule the threshold out never meet.
-
-    Within a block, names are dealt by length class, and a name meets its own and the next class alone: similarity of
-    ``threshold`` bounds the ratio of the lengths.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), block.alias("block")).filter("name IS NOT NULL AND name <> ''")
-    ratio = (2 - threshold) / threshold  # longest over shortest
-    rows = rows.withColumn("n", F.length("name")).withColumn("k", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio + 1e-9))))
-    a, b = rows.alias("a"), rows.select("*", F.explode(F.array(F.col("k"), F.col("k") - 1)).alias("meets")).alias("b")
-    near = (F.col("a.block") == F.col("b.block")) & (F.col("a.k") == F.col("b.meets")) & ((F.col("a.k") != F.col("b.k")) | (F.col("a.id") < F.col("b.id")))
-    fits = (F.greatest("a.n", "b.n") <= F.least("a.n", "b.n") * ratio)
-    pairs = a.join(b, near & fits).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.when(F.col("a.id") < F.col("b.id"), F.col("a.name")).otherwise(F.col("b.name")).alias("name_a"), F.when(F.col("a.id") < F.col("b.id"), F.col("b.name")).otherwise(F.col("a.name")).alias("name_b"))
-    return pairs.withColumn("similarity", token_sort_ratio(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= threshold)
-
-
 def cosine_to(vector: Column, other: Column) -> Column:
     """Cosine of two arrays of numbers."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ventura.functions import predicates as P
 from ventura.functions.text import normalize_company_name, simple_domain
 from ventura.operators import joins as J
+from ventura.operators import similarity as S
 from ventura.plans.aggregates import AI, BUCKET, YEAR
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
+from ventura.plans.scalars import FULL_SQL, alike_sql, name_sql, sorted_sql
 
 
 @plan("J01_fact_to_dimension", f"SELECT round_type, count(*) AS n, count(*) FILTER (WHERE {AI}) AS ai FROM deals JOIN companies ON company_id = id GROUP BY 1", "companies", "deals")
@@ -119,20 +121,35 @@ def j12_all(t: Tables) -> DataFrame:
     return J.match_entities(records, firms).select("s_suppkey", "match_id")
 
 
-@plan("J13_fuzzy_match")
+_ASKED = "SELECT s_suppkey AS id, concat('Custommer#', substr(s_name, 10), CASE WHEN s_suppkey % 2 = 0 THEN ' Inc.' ELSE '' END) AS name, CASE WHEN s_suppkey % 3 > 0 THEN upper(n_name) END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+_PREPARED = "SELECT id, left(norm, 1) AS block, " + sorted_sql("norm") + " AS x, lower(country) AS country FROM (SELECT id, " + name_sql("name", FULL_SQL) + " AS norm, country FROM {})"
+
+
+@plan("J13_fuzzy_match", f"""
+SELECT s_suppkey, match_id, round(similarity, 6) AS similarity FROM (
+  SELECT a.id AS s_suppkey, b.id AS match_id, {alike_sql('a.x', 'b.x')} AS similarity
+  FROM ({_PREPARED.format(f"({_ASKED})")}) a JOIN ({_PREPARED.format("companies")}) b
+    ON a.block = b.block AND levenshtein(a.x, b.x) <= 0.05 * (length(a.x) + length(b.x)) + 1e-9 AND (a.country IS NULL OR b.country IS NULL OR a.country = b.country))
+WHERE similarity >= 0.95 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY similarity DESC, match_id) = 1""", "companies")
 def j13(t: Tables) -> DataFrame:
-    """Best firm per supplier name within its block (last two digits) at 0.95."""
-    firms = t.companies.select(F.col("id"), F.col("name"), F.lit(0).alias("kind"))
-    records = t.supplier.select((-1 - F.col("s_suppkey")).alias("id"), F.replace("s_name", F.lit("Supplier"), F.lit("Custommer")).alias("name"), F.lit(1).alias("kind"))
-    both = firms.unionByName(records)
-    pairs = J.blocked_similar_pairs(both, "id", "name", F.right("name", F.lit(3)), 0.95).filter("a < 0 AND b >= 0")
-    return pairs.groupBy((-1 - F.col("a")).alias("s_suppkey")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("match_id"), F.max("similarity").alias("similarity"))
+    """Best firm for each supplier's name, misspelt, within first characters at 0.95; no match across known countries."""
+    asked = t.spark.sql(_ASKED.replace("FROM supplier JOIN nation", "FROM {supplier} JOIN {nation}"), supplier=t.supplier, nation=t.nation)
+    found = S.best_matches(asked, t.companies.select("id", "name", "country"))
+    return found.select(F.col("id").alias("s_suppkey"), "match_id", F.round("similarity", 6).alias("similarity"))
+
+
+_UNPLACED = "SELECT id, CASE WHEN id % 4 = 0 THEN concat(name, ', Inc.') WHEN id % 51 = 0 THEN 'Customer Group 42' ELSE name END AS name FROM companies WHERE domain IS NULL"
 
 
-@plan("J14_duplicate_report")
+@plan("J14_duplicate_report", f"""
+, c AS (SELECT x, min(id) AS id, count(*) AS copies FROM (SELECT id, {sorted_sql('norm')} AS x FROM (SELECT id, {name_sql('name', FULL_SQL)} AS norm FROM ({_UNPLACED}))) WHERE x <> '' GROUP BY x)
+SELECT a, b, copies_a, copies_b, round(similarity, 6) AS similarity FROM (
+  SELECT a.id AS a, b.id AS b, a.copies AS copies_a, b.copies AS copies_b, {alike_sql('a.x', 'b.x')} AS similarity FROM c a JOIN c b ON a.id < b.id AND levenshtein(a.x, b.x) <= 0.08 * (length(a.x) + length(b.x)) + 1e-9)
+WHERE similarity >= 0.92 UNION ALL SELECT id, NULL, copies, NULL, 1.0 FROM c WHERE copies > 1""", "companies")
 def j14(t: Tables) -> DataFrame:
-    """Near-equal supplier names within a block, at 0.92."""
-    return J.blocked_similar_pairs(t.supplier, "s_suppkey", "s_name", F.right("s_name", F.lit(1)), 0.92).select("a", "b", "similarity")
+    """Likely duplicates among all firms without a domain at 0.92, as pairs of classes of equal normalised names."""
+    unplaced = t.spark.sql(_UNPLACED.replace("FROM companies", "FROM {companies}"), companies=t.companies)
+    return S.duplicate_report(unplaced, "id", "name").withColumn("similarity", F.round("similarity", 6))
 
 
 @plan("J15_later_event", """

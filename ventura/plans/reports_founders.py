@@ -9,11 +9,11 @@ from ventura.functions import predicates as P
 from ventura.functions import stats as S
 from ventura.functions import text as X
 from ventura.operators import learning as L
-from ventura.operators.joins import token_sort_ratio
+from ventura.operators.similarity import fuzzy_name_match
 from ventura.plans.aggregates import AI, BUCKET
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
-from ventura.plans.scalars import FULL_SQL, name_sql
+from ventura.plans.scalars import FULL_SQL, alike_sql, name_sql, sorted_sql
 from ventura.plans.statistics import wilson_sql
 
 _LO, _HI = wilson_sql("ai", "n")
@@ -210,14 +210,9 @@ def _variants(t: Tables) -> DataFrame:
 
 
 @plan("K52_name_variant_pairs", f"""
-SELECT id, name, raw_name, ({name_sql('raw_name', FULL_SQL)}) IS NOT DISTINCT FROM ({name_sql('name', FULL_SQL)}) AS exact_after_norm,
-  regexp_matches(lower(raw_name), '{_MARK}') <> regexp_matches(lower(name), '{_MARK}') AS marker_asymmetry
-FROM (SELECT id, name, {_RAW} AS raw_name FROM companies) WHERE lower(trim(raw_name)) <> lower(trim(name))""", "companies")
+SELECT id, name, raw_name, x IS NOT DISTINCT FROM y AS exact_after_norm, regexp_matches(lower(raw_name), '{_MARK}') <> regexp_matches(lower(name), '{_MARK}') AS marker_asymmetry,
+  round(CASE WHEN sx IS NULL OR sy IS NULL THEN 0.0 ELSE {alike_sql('sx', 'sy')} END, 6) AS similarity
+FROM (SELECT *, {sorted_sql('x')} AS sx, {sorted_sql('y')} AS sy FROM (SELECT id, name, raw_name, {name_sql('raw_name', FULL_SQL)} AS x, {name_sql('name', FULL_SQL)} AS y
+  FROM (SELECT id, name, {_RAW} AS raw_name FROM companies) WHERE lower(trim(raw_name)) <> lower(trim(name))))""", "companies")
 def k52(t: Tables) -> DataFrame:
-    return _variants(t)
-
-
-@plan("K52_name_variant_similarity")
-def k52_similarity(t: Tables) -> DataFrame:
-    """The same pairs with their similarity, which SQL can't say."""
-    return _variants(t).select("id", "exact_after_norm", F.round(token_sort_ratio(F.lower("raw_name"), F.lower("name")), 6).alias("similarity"))
+    return _variants(t).withColumn("similarity", F.round(fuzzy_name_match(F.col("raw_name"), F.col("name")), 6))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ventura.functions import predicates as P
 from ventura.functions import stats as S
 from ventura.functions.text import LEGAL_SUFFIXES, normalize_company_name
-from ventura.operators.joins import token_sort_ratio
+from ventura.operators.similarity import OPTIONAL, domain_confidence
 from ventura.plans.aggregates import AI, YEAR
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
 from ventura.plans.reports import _CHANNEL, _FUNDED, _funded, shares, shares_sql
-from ventura.plans.scalars import _SAMPLES, FULL_SQL, LEGAL_SQL, _samples, name_sql
+from ventura.plans.scalars import _SAMPLES, FULL_SQL, LEGAL_SQL, _samples, alike_sql, name_sql
 
 
 @plan("P17_looks_ai", f"SELECT id, regexp_matches(lower(body), 'deep learning|\\bllm\\b|transformer|machine learning') AS looks_ai FROM {_SAMPLES}", "companies")
@@ -53,13 +53,22 @@ def p39(t: Tables) -> DataFrame:
     return met.groupBy("id").agg(F.min_by("latitude", F.when(F.col("latitude").isNotNull(), F.col("at"))).alias("latitude"))
 
 
-@plan("P42_domain_resolution")
+_LABEL = "split_part(split_part(split_part(url, '://', 2), '/', 1), '.', {})"
+_FOUND = f"""SELECT page_id, page_id % 5 AS rank, concat(label, '.com') AS domain, CASE page_id % 4 WHEN 0 THEN concat(upper(label), ' AI') WHEN 1 THEN concat(label, 'x') WHEN 2 THEN concat('x', label) ELSE concat(label, ' holding') END AS name
+  FROM (SELECT page_id, CASE WHEN {_LABEL.format(1)} IN ('www', 'm', 'blog') THEN {_LABEL.format(2)} ELSE {_LABEL.format(1)} END AS label FROM pages)"""
+_CUT = ", ".join(f"CASE WHEN ends_with(v, '{x}') AND length(v) > {len(x) + 2} THEN left(v, length(v) - {len(x)}) END" for x in OPTIONAL)
+
+
+@plan("P42_domain_resolution", f"""
+SELECT page_id, round(max(score) - 0.01 * any_value(rank), 6) AS score FROM (SELECT page_id, rank, CASE WHEN v = '' OR label = '' THEN NULL WHEN v = label THEN 0.92
+    WHEN starts_with(label, v) OR starts_with(v, label) THEN CASE WHEN least(length(v), length(label)) >= 0.6 * greatest(length(v), length(label)) THEN 0.78 END
+    WHEN {alike_sql('v', 'label')} >= 0.88 THEN 0.7 * {alike_sql('v', 'label')} END AS score
+  FROM (SELECT page_id, rank, label, unnest([v, {_CUT}]) AS v FROM (SELECT page_id, rank, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS v, regexp_replace(left(domain, length(domain) - 4), '[^a-z0-9]', '', 'g') AS label FROM ({_FOUND}))))
+GROUP BY page_id HAVING round(max(score) - 0.01 * any_value(rank), 6) >= 0.55""")
 def p42(t: Tables) -> DataFrame:
-    """Score of each page's host label against its title's first word; the floor is 0.55."""
-    label = F.split_part(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), F.lit("."), F.lit(1))
-    title = F.lower(F.regexp_extract("html", r"<title>(\w+)", 1))
-    score = F.when(label == title, 0.92).when(F.startswith(label, title), 0.78).otherwise(0.7 * F.coalesce(token_sort_ratio(label, title), F.lit(0.0)))
-    return t.pages.select("page_id", F.round(score, 6).alias("score")).filter("score >= 0.55")
+    """Confidence of each page's domain for a name spelt close to it, the pages standing as search results of ranks 0 to 4; the floor is 0.55."""
+    found = t.spark.sql(_FOUND.replace("FROM pages", "FROM {pages}"), pages=t.pages)
+    return found.select("page_id", F.round(domain_confidence(F.col("name"), F.col("domain"), F.col("rank")), 6).alias("score")).filter("score >= 0.55")
 
 
 @plan("K21_country_growth", f"SELECT country, count(*) FILTER (WHERE {YEAR} BETWEEN 2000 AND 2010 AND {AI}) AS early, count(*) FILTER (WHERE {YEAR} > 2010 AND {AI}) AS late FROM companies GROUP BY 1 HAVING count(*) >= 40", "companies")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventura.functions import text as X
-from ventura.operators.joins import token_sort_ratio
+from ventura.operators.similarity import fuzzy_name_match
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
 
@@ -95,12 +95,31 @@ def p07(t: Tables) -> DataFrame:
     return _named(t).select("p_partkey", X.normalize_company_name(F.col("n"), X.LEGAL_SUFFIXES).alias("name"))
 
 
-@plan("P08_fuzzy_similarity")
+def sorted_sql(name: str) -> str:
+    """Tokens of a normalised name in order."""
+    return f"array_to_string(list_sort(list_filter(string_split({name}, ' '), lambda t: t <> '')), ' ')"
+
+
+def lcs_sql(xs: str, ys: str) -> str:
+    """Length of the longest common subsequence of two lists: a fold of one with the row of the other's lengths, each a running maximum."""
+    cell = f"CASE WHEN {ys}[k] = ch THEN coalesce(r[k - 1], 0) + 1 ELSE r[k] END"
+    row = f"list_transform(range(1, len({ys}) + 1), lambda i: list_max(list_transform(range(1, i + 1), lambda k: {cell})))"
+    return f"coalesce(list_last(list_reduce({xs}, lambda r, ch: {row}, list_transform({ys}, lambda c: CAST(0 AS BIGINT)))), 0)"
+
+
+def alike_sql(x: str, y: str) -> str:
+    """Similarity of two texts."""
+    xs, ys = f"string_split({x}, '')", f"string_split({y}, '')"
+    return f"CASE WHEN {x} = {y} THEN 1.0 ELSE 2.0 * {lcs_sql(xs, ys)} / (length({x}) + length({y})) END"
+
+
+@plan("P08_fuzzy_similarity", f"""
+SELECT p_partkey, round(CASE WHEN x IS NULL OR y IS NULL THEN 0.0 ELSE {alike_sql('x', 'y')} END, 6) AS similarity FROM (
+  SELECT a.p_partkey, {sorted_sql('a.name')} AS x, {sorted_sql('b.name')} AS y FROM (SELECT p_partkey, {name_sql('n', FULL_SQL)} AS name FROM {_NAMED}) a JOIN (SELECT p_partkey - 1 AS p_partkey, {name_sql('n', FULL_SQL)} AS name FROM {_NAMED}) b USING (p_partkey))""")
 def p08(t: Tables) -> DataFrame:
     """Similarity of each part's name and the next part's."""
-    a = t.part.select("p_partkey", "p_name")
-    b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return a.join(b, "p_partkey").select("p_partkey", F.round(token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("similarity"))
+    b = _named(t).select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("n").alias("other"))
+    return _named(t).join(b, "p_partkey").select("p_partkey", F.round(fuzzy_name_match(F.col("n"), F.col("other")), 6).alias("similarity"))
 
 
 @plan("P09_entity_key", "SELECT id, coalesce('domain:' || lower(domain), 'name:' || trim(regexp_replace(lower(name), '[^a-z0-9_ -]', ' ', 'g'))) AS key FROM companies", "companies")
