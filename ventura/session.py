@@ -32,6 +32,14 @@ def build(app: str = "ventura", cores: str | int = "*", shuffle_partitions: int
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the session's spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share; ventura.session.build does for a local session")
+    return folder.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per context, for UDFs that name its modules."""
     context = spark.sparkContext

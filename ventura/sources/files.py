@@ -6,22 +6,26 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ventura.functions.text import canonicalize_domain, normalize_company_name
+from ventura.sources.records import read_records
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], columns: list[str], sep: str = "|") -> DataFrame:
-    """A headered dump with every column as text, BEL as quote, malformed rows dropped."""
+def read_delimited(spark: SparkSession, paths: str | list[str], columns: list[str], sep: str = "|", header: bool = True) -> DataFrame:
+    """A dump with every column as text, BEL as quote, malformed rows dropped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("sep", sep).option("header", True).option("quote", "\u0007").option("mode", "DROPMALFORMED").csv(paths)
+    return spark.read.schema(schema).option("sep", sep).option("header", header).option("quote", "\u0007").option("mode", "DROPMALFORMED").csv(paths)
 
 
-def read_feeds(spark: SparkSession, csv: str | None = None, markdown: str | None = None, json: str | None = None) -> DataFrame:
+def read_feeds(spark: SparkSession, csv: str | None = None, markdown: str | None = None, json: str | None = None, yaml: str | None = None) -> DataFrame:
     """Site addresses of several feed files, one row per registrable domain; the first feed in this order wins."""
     parts: list[DataFrame] = []
     if csv:
@@ -31,6 +35,9 @@ def read_feeds(spark: SparkSession, csv: str | None = None, markdown: str | None
         parts.append(spark.read.text(markdown).select(F.explode(found).alias("url"), F.lit(2).alias("feed")))
     if json:
         parts.append(spark.read.schema("url string").json(json).select("url", F.lit(3).alias("feed")))
+    if yaml:
+        sites = read_records(spark, yaml, "seed_urls array<string>")
+        parts.append(sites.select(F.explode("seed_urls").alias("url"), F.lit(4).alias("feed")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -38,11 +45,12 @@ def read_feeds(spark: SparkSession, csv: str | None = None, markdown: str | None
     return rows.groupBy("domain").agg(F.min(F.struct("feed", "url")).alias("first")).select("domain", "first.url", "first.feed")
 
 
-def read_site_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per ``key: value`` file of flat YAML: path, domain, strategy and last record count; other keys are ignored."""
-    rows = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    one = lambda key, indent="": F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{indent}{key}:[ \t]*(.*)$", 1), F.lit(" '\"")), F.lit(""))
-    return rows.select("path", one("domain").alias("domain"), one("preferred_strategy").alias("strategy"), one("record_count", r"[ \t]+").try_cast("int").alias("record_count"))
+SITE = "domain string, seed_urls array<string>, preferred_strategy string, fallback_order array<string>, quality_expectation_min_records int, last_success struct<at: string, strategy: string, record_count: int, valid_name_ratio: double, duplicate_ratio: double, completeness_score: double>, notes string"
+
+
+def read_site_files(spark: SparkSession, folder: str, schema: str = SITE) -> DataFrame:
+    """One row per YAML or JSON file: path and the fields of ``schema`` at any depth; absent fields are null, others ignored."""
+    return read_records(spark, folder, schema)
 
 
 def read_inferred(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -103,27 +111,44 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
+    """The Parquet folder, or None if nothing was ever written there. Other errors are raised."""
+    try:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append the rows whose key isn't in the Parquet folder yet; returns what was appended."""
+    """Append the rows whose key isn't in the Parquet folder yet; returns what was appended. Null keys are one key."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = df.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti") if exists else df
-    fresh = fresh.dropDuplicates(keys)
+    there = read_if_there(spark, path)
+    fresh = df.dropDuplicates(keys)
+    if there is not None:
+        old = there.select(*(F.col(k).alias(f"_old_{k}") for k in keys)).distinct()
+        fresh = fresh.join(old, reduce(and_, (fresh[k].eqNullSafe(old[f"_old_{k}"]) for k in keys)), "left_anti")
     batch = uuid.uuid4().hex
     fresh.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(path)
     return spark.read.parquet(path).filter(F.col("_batch") == batch).drop("_batch")
 
 
-def replace_by_name(old: str, new: DataFrame, staged: str) -> None:
-    """Write old rows and new ones, by name with missing columns as null, to a staged folder for an atomic swap."""
-    new.sparkSession.read.parquet(old).unionByName(new, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
-
+def distinct_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, size, first: which files hold what another of a smaller name holds already (dumps delivered twice have first <> path).
 
-def distinct_files(df: DataFrame) -> DataFrame:
-    """Of files of equal size the one of the smallest name: skips dumps delivered twice."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.groupBy("file_size").agg(F.min("file_path").alias("file_path"))
+    Files of a size of their own are told apart without being read. Those that share a size are compared by a SHA-256 of their
+    bytes; files over 2 GB can't be read whole and are taken by their name, so never as copies. Empty files are skipped.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    sizes = files.select("path", F.col("length").alias("size"))
+    shared = sizes.groupBy("size").agg(F.count("*").alias("n")).filter("n > 1").select("size")
+    small = F.col("length") < 2**31 - 64
+    digests = files.filter(small).join(shared, F.col("length") == F.col("size"), "left_semi").select("path", F.sha2("content", 256).alias("digest"))
+    marked = sizes.join(digests, "path", "left").withColumn("print", F.coalesce("digest", F.col("path")))
+    first = marked.groupBy("size", "print").agg(F.min("path").alias("first"))
+    return marked.join(first, ["size", "print"]).select("path", "size", "first")
 
 
 def has_columns(df: DataFrame, *names: str) -> bool:

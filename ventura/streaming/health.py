@@ -1,17 +1,28 @@
-"""Site health: a keyed state machine over a stream of runs, as a stream and as a batch fold of the same function."""
+"""Site health: a keyed state machine over runs, as a stream with event-time timers and as a batch fold of the same steps.
+
+Streams: runs wait in state until the watermark has passed them, so they are folded in order of time however they arrive; rows
+later than the watermark are dropped by Spark. One timer per site stands at its earliest waiting run, its re-activation
+or its expiry; between timers a site costs nothing. Batches: rows are dealt by site, sorted within tasks and folded from an
+iterator, so that no site is ever held whole, however many runs it has.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ventura.session import ship
 
 DAY = 86_400_000_000
 STATE = "status string, failures int, runs long, successes long, next_at long, exclude_until long, diagnoses int, last_at long"
+#: A site without a run for so long is forgotten; a later run is its first.
+KEEP = 730 * DAY
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass
@@ -31,8 +42,7 @@ class Health:
         """One run: success heals for a week; no records degrade for two days; an error breaks for a day, a third failure
         in a row excludes for 90 days, and the second asks for one diagnosis. A site excluded until a time before the run
         is pending again first."""
-        if self.status == "excluded" and self.exclude_until <= at:
-            self.status, self.failures = "pending", 0
+        self.reactivate(at)
         self.runs, self.last_at = self.runs + 1, at
         if result == "success":
             self.status, self.failures, self.next_at = "healthy", 0, at + 7 * DAY
@@ -45,44 +55,185 @@ class Health:
             self.status, self.exclude_until = "excluded", at + 90 * DAY
             self.next_at = self.exclude_until
 
-
-def _fold(state: Health, rows: pd.DataFrame) -> Health:
-    for at, result in rows.sort_values(["at", "event_id"])[["at", "status"]].itertuples(index=False):
-        state.step(int(at), result)
-    return state
-
-
-def keyed(runs: DataFrame) -> DataFrame:
-    """site, event_id, at (microseconds), status."""
-    return runs.select("site", "event_id", F.unix_micros(F.col("finished_at").cast("timestamp")).alias("at"), "status")
+    def reactivate(self, at: int) -> bool:
+        """A site whose exclusion is over is pending and due at once."""
+        if self.status != "excluded" or self.exclude_until > at:
+            return False
+        self.status, self.failures, self.next_at = "pending", 0, self.exclude_until
+        return True
 
 
-def batch_health(runs: DataFrame) -> DataFrame:
-    """State of each site after all its runs; a site's runs are one group, as the fold needs their order."""
+def after(state: Health, at: int, result: str, keep: int = KEEP) -> Health:
+    """The state after one more run."""
+    own = Health() if state.runs and at - state.last_at >= keep else replace(state)
+    own.step(at, result)
+    return own
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *astuple(_fold(Health(), rows)))], columns=["site", *Health.__annotations__])
 
-    return keyed(runs).groupBy("site").applyInPandas(run, f"site long, {STATE}")
-
-
-def stream_health(runs: DataFrame) -> DataFrame:
-    """Streaming counterpart: an updated row per site and micro-batch."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = Health(*state.get) if state.exists else Health()
-        rows = pd.concat(list(batches))
-        own = _fold(own, rows)
-        state.update(astuple(own))
-        yield pd.DataFrame([(key[0], *astuple(own))], columns=["site", *Health.__annotations__])
-
-    return keyed(runs).groupBy("site").applyInPandasWithState(run, f"site long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+def keyed(runs: DataFrame) -> DataFrame:
+    """site, event_id, finished_at (the event time of a stream), at (microseconds), status."""
+    at = F.col("finished_at").cast("timestamp")
+    return runs.select("site", "event_id", at.alias("finished_at"), F.unix_micros(at).alias("at"), "status")
+
+
+def batch_health(runs: DataFrame, keep: int = KEEP) -> DataFrame:
+    """State of each site after all its runs, in order of time, then event_id. Null sites are one site; null times come first."""
+    ship(runs.sparkSession)
+    names = ["site", *Health.__annotations__]
+    kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, site, state = [], None, None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
+        for batch in batches:
+            for key, at, result in zip(*(batch.column(c).to_pylist() for c in ("site", "at", "status"))):
+                if state is None or key != site:
+                    if state:
+                        done.append((site, *astuple(state)))
+                    site, state = key, Health()
+                state = after(state, at or 0, result, keep)
+            if done:
+                yield made()
+                done.clear()
+        if state:
+            done.append((site, *astuple(state)))
+            yield made()
+
+    rows = keyed(runs).select(F.col("site").cast("long").alias("site"), "event_id", "at", "status")
+    ordered = rows.repartition("site").sortWithinPartitions("site", "at", "event_id")
+    return ordered.select("site", "at", "status").mapInArrow(run, f"site long, {STATE}")
+
+
+class InOrder(StatefulProcessor):
+    """Holds each key's rows until the watermark has passed them and hands them on in order of (at, event_id).
+
+    Subclasses say what to do with rows whose time has come, and when else to be called.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, event_id long", "status string")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _ring(self, at: int) -> None:
+        """One timer a key, at the earliest time asked for (milliseconds, rounded up)."""
+        at = -(-at // 1000)
+        if self.alarm.exists():
+            (set_for,) = self.alarm.get()
+            if set_for <= at:
+                return
+            self.handle.deleteTimer(set_for)
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = None
+        for r in rows:
+            self.waiting.updateValue((r["at"], r["event_id"]), (r["status"],))
+            first = r["at"] if first is None else min(first, r["at"])
+        if first is not None:
+            self._ring(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.alarm.exists() and self.alarm.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.alarm.clear()
+        come, first = [], None
+        for (at, event_id), (status,) in self.waiting.iterator():
+            if at <= now:
+                come.append((at, event_id, status))
+            else:
+                first = at if first is None else min(first, at)
+        come.sort()
+        for at, event_id, _ in come:
+            self.waiting.removeKey((at, event_id))
+        out = list(self.advance(key, come, now))
+        for at in (first, self.next_call()):
+            if at is not None:
+                self._ring(max(at, now + 1000))
+        return iter(out)
+
+    def advance(self, key: tuple, rows: list[tuple[int, int, str]], now: int) -> Iterator[Row]:
+        raise NotImplementedError
+
+    def next_call(self) -> int | None:
+        """Time of the next call that no row asks for."""
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+class SiteHealth(InOrder):
+    """An updated row per site whenever runs were folded or a timer re-activated it. State goes ``keep`` after the last run."""
+
+    def __init__(self, keep: int = KEEP):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.health = handle.getValueState("health", STATE)
+
+    def advance(self, key: tuple, rows: list[tuple[int, int, str]], now: int) -> Iterator[Row]:
+        own = Health(*self.health.get()) if self.health.exists() else Health()
+        for at, _, result in rows:
+            own = after(own, at, result, self.keep)
+        changed = own.reactivate(now) or bool(rows)
+        if own.last_at + self.keep <= now:
+            self.health.clear()
+        else:
+            self.health.update(astuple(own))
+        if changed:
+            yield Row(site=key[0], **dict(zip(Health.__annotations__, astuple(own))), as_of=now)
+
+    def next_call(self) -> int | None:
+        if not self.health.exists():
+            return None
+        own = Health(*self.health.get())
+        return min(own.exclude_until, own.last_at + self.keep) if own.status == "excluded" else own.last_at + self.keep
+
+
+class StatusChanges(InOrder):
+    """A row for each run whose status is another than the site's run before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "status string")
+
+    def advance(self, key: tuple, rows: list[tuple[int, int, str]], now: int) -> Iterator[Row]:
+        before = self.last.get()[0] if self.last.exists() else None
+        for _, event_id, status in rows:
+            if before is not None and status != before:
+                yield Row(site=key[0], event_id=event_id, before=before, status=status)
+            before = status
+        if rows:
+            self.last.update((before,))
+
+
+def _stateful(runs: DataFrame, late: str) -> DataFrame:
+    spark = runs.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the one that has timers
+    return keyed(runs).withWatermark("finished_at", late)
+
+
+def stream_health(runs: DataFrame, late: str = "1 day", keep: int = KEEP) -> DataFrame:
+    """Streaming counterpart of ``batch_health``: updated rows per site, ``as_of`` being the watermark they hold for."""
+    rows = _stateful(runs, late).groupBy("site")
+    return rows.transformWithState(SiteHealth(keep), f"site long, {STATE}, as_of long", "Update", "eventTime")
+
+
+def stream_changes(runs: DataFrame, late: str = "1 day") -> DataFrame:
+    """site, event_id, before, status of each change of a site's status; runs delivered again within the watermark count once."""
+    rows = _stateful(runs, late).dropDuplicatesWithinWatermark(["event_id"]).groupBy("site")
+    return rows.transformWithState(StatusChanges(), "site long, event_id long, before string, status string", "Append", "eventTime")
 
 
 def reactivate(health: DataFrame, as_of: int) -> DataFrame:
-    """Excluded sites whose time is over become pending and due at once."""
+    """Excluded sites whose time is over become pending and due since then."""
     over = (F.col("status") == "excluded") & (F.col("exclude_until") <= as_of)
-    return health.withColumn("next_at", F.when(over, as_of).otherwise(F.col("next_at"))).withColumn("failures", F.when(over, 0).otherwise(F.col("failures"))).withColumn("status", F.when(over, "pending").otherwise(F.col("status")))
+    return health.withColumn("next_at", F.when(over, F.col("exclude_until")).otherwise(F.col("next_at"))).withColumn("failures", F.when(over, 0).otherwise(F.col("failures"))).withColumn("status", F.when(over, "pending").otherwise(F.col("status")))
 
 
 def due(health: DataFrame, as_of: int) -> DataFrame:
