@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Second-level suffixes under which firms register names.
-SUFFIXES = ("co.uk", "com.au", "co.kr", "co.il", "co.in", "com.br", "co.jp", "com.mx", "co.nz", "co.za")
+from ventura.functions.places import registrable
+
 #: Hosts that are never a firm's own domain.
 SHARED_HOSTS = (
     "github.com", "github.io", "gitlab.com", "bitbucket.org",
@@ -43,11 +43,8 @@ def host(url: Column) -> Column:
 
 
 def canonicalize_domain(url: Column) -> Column:
-    """Registrable domain of a URL or host, the host itself for addresses and single labels; null if there is none."""
-    parts = F.split(host(url), r"\.")
-    last2 = F.array_join(F.slice(parts, -2, 2), ".")
-    address = host(url).rlike(r"^\d+\.\d+\.\d+\.\d+$")
-    return F.when((F.size(parts) <= 2) | address, host(url)).when(last2.isin(*SUFFIXES), F.array_join(F.slice(parts, -3, 3), ".")).otherwise(last2)
+    """Registrable domain of a URL or host, the host itself for addresses, single labels and public suffixes; null if there is none."""
+    return registrable(host(url))
 
 
 def is_product_domain(domain: Column) -> Column:

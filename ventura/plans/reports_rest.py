@@ -16,11 +16,6 @@ from ventura.plans.reports import _CHANNEL, _FUNDED, _funded, shares, shares_sql
 from ventura.plans.scalars import _SAMPLES, FULL_SQL, LEGAL_SQL, _samples, alike_sql, name_sql
 
 
-@plan("P17_looks_ai", f"SELECT id, regexp_matches(lower(body), 'deep learning|\\bllm\\b|transformer|machine learning') AS looks_ai FROM {_SAMPLES}", "companies")
-def p17(t: Tables) -> DataFrame:
-    return _samples(t).select("id", F.lower("body").rlike(r"deep learning|\bllm\b|transformer|machine learning").alias("looks_ai"))
-
-
 @plan("P24_clean_country", "SELECT id, coalesce(CASE code WHEN 'N_1' THEN 'NATION_1' WHEN 'N_2' THEN 'NATION_2' END, country) AS country FROM (SELECT id, country, replace(country, 'NATION', 'N') AS code FROM companies)", "companies")
 def p24(t: Tables) -> DataFrame:
     dim = t.spark.createDataFrame([("N_1", "NATION_1"), ("N_2", "NATION_2")], "code string, named string")

@@ -28,11 +28,6 @@ def _domains_sql(text: str) -> str:
     return f"list_filter({made}, lambda d, i: list_position({made}, d) = i)"
 
 
-@plan("P01_canonicalize_domain", f"SELECT page_id, {_REGISTRABLE.format(p='p', h='h')} AS domain FROM (SELECT page_id, {_HOST} AS h, string_split({_HOST}, '.') AS p FROM pages)")
-def p01(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.canonicalize_domain(F.col("url")).alias("domain"))
-
-
 #: Hosts that pages stand for in the plans of this rule, so that every branch is met.
 _ODD_HOSTS = ("arxiv.org", "a.kaggle.com", "localhost:8080", "10.1.2.3", "127.0.0.1", "firm.dev", "dev.to", "notdev.to", "myfirm.co.uk")
 
@@ -203,28 +198,6 @@ def p14(t: Tables) -> DataFrame:
     return _samples(t).select("id", X.ai_tags(F.array("topic"), F.col("body")).alias("tags"))
 
 
-_RULES = (("chat", r"\b(llm|chatbot)\b"), ("training", r"fine[- ]?tun"), ("serving", r"\binference\b"), ("vision", r"\bvision\b"))
-
-
-@plan("P15_first_match_class", f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(lower(body), {chr(39)}{r}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for n, r in _RULES)} ELSE 'other' END AS subdomain FROM {_SAMPLES}", "companies")
-def p15(t: Tables) -> DataFrame:
-    out = F.lit("other")
-    for name, rule in reversed(_RULES):
-        out = F.when(F.lower("body").rlike(rule), name).otherwise(out)
-    return _samples(t).select("id", out.alias("subdomain"))
-
-
-@plan("P16_bounded_keyword", f"SELECT id, regexp_matches(lower(body), '(^|[^a-z0-9])(llm|ai|deep learning)($|[^a-z0-9])') AS is_ai FROM {_SAMPLES}", "companies")
-def p16(t: Tables) -> DataFrame:
-    return _samples(t).select("id", F.lower("body").rlike(r"(?<![a-z0-9])(llm|ai|deep learning)(?![a-z0-9])").alias("is_ai"))
-
-
-@plan("P18_new_vocabulary", "SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(before, w) AND regexp_matches(after, w)) AS added FROM (SELECT doc_id, substr(lower(text), 1, 200) AS before, substr(lower(text), 201) AS after, unnest(['ing ', 'tion', 'ung', 'que']) AS w FROM documents) GROUP BY 1")
-def p18(t: Tables) -> DataFrame:
-    before, after = F.substring(F.lower("text"), 1, 200), F.substring(F.lower("text"), 201, 2**31 - 1)
-    hit = lambda w: (F.instr(before, w) == 0) & (F.instr(after, w) > 0)
-    total = sum((F.when(hit(w), 1).otherwise(0) for w in ("ing ", "tion", "ung", "que")), F.lit(0))
-    return t.documents.select("doc_id", total.cast("long").alias("added"))
 
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b.*?</footer\\s*>', ' ', 'g'), '(?is)<svg\\b.*?</svg\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
@@ -235,12 +208,6 @@ def p19(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.visible_text(F.col("html")).alias("body"))
 
 
-@plan("P20_clean_text", r"SELECT doc_id, length(regexp_replace(text, 'https?://[^ \n]+', '', 'g')) AS clean_len, length(regexp_replace(text, 'https?://[^ \n]+', '', 'g'))::DOUBLE / length(text) >= 0.4 AS keep FROM documents WHERE length(text) > 0")
-def p20(t: Tables) -> DataFrame:
-    clean = F.length(F.regexp_replace("text", r"https?://[^ \n]+", ""))
-    return t.documents.filter(F.length("text") > 0).select("doc_id", clean.cast("long").alias("clean_len"), (clean / F.length("text") >= 0.4).alias("keep"))
-
-
 @plan("P21_token_jaccard", """
 SELECT item_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS j FROM (SELECT x.item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(x.text)), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(trim(y.text)), '\\s+'), lambda w: w <> '')) AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)""")
 def p21(t: Tables) -> DataFrame:
@@ -248,27 +215,6 @@ def p21(t: Tables) -> DataFrame:
     return t.benchmark.join(nxt, "item_id").select("item_id", F.round(X.token_jaccard(F.col("text"), F.col("other")), 9).alias("j"))
 
 
-@plan("P22_normalize_country", "SELECT id, CASE trim(split_part(split_part(country || ' / x;y', ';', 1), '/', 1)) WHEN 'NATION_3' THEN 'Three' ELSE trim(split_part(split_part(country || ' / x;y', ';', 1), '/', 1)) END AS country FROM companies", "companies")
-def p22(t: Tables) -> DataFrame:
-    raw = F.trim(F.split_part(F.split_part(F.concat("country", F.lit(" / x;y")), F.lit(";"), F.lit(1)), F.lit("/"), F.lit(1)))
-    return t.companies.select("id", F.coalesce(F.try_element_at(F.create_map(F.lit("NATION_3"), F.lit("Three")), raw), raw).alias("country"))
-
-
-@plan("P23_regions", "SELECT region, count(DISTINCT country) AS countries FROM companies GROUP BY 1", "companies")
-def p23(t: Tables) -> DataFrame:
-    dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-    return t.companies.select("country").join(F.broadcast(dim), F.col("country") == F.col("n_name")).groupBy(F.col("r_name").alias("region")).agg(F.countDistinct("country").alias("countries"))
-
-
-@plan("P25_tld_country", "SELECT page_id, CASE WHEN d LIKE '%.example.org' THEN 'O' WHEN d LIKE '%.example.net' THEN 'N' WHEN d LIKE '%.com' THEN 'C' END AS place FROM (SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS d FROM pages)")
-def p25(t: Tables) -> DataFrame:
-    """The longest suffix of a small table that the host ends with."""
-    dim = t.spark.createDataFrame([(".com", "C"), (".example.net", "N"), (".example.org", "O")], "suffix string, place string")
-    d = F.lower(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)))
-    rows = t.pages.select("page_id", d.alias("d")).join(F.broadcast(dim), F.col("d").endswith(F.col("suffix")), "left")
-    return rows.groupBy("page_id").agg(F.max_by("place", F.length("suffix")).alias("place"))
-
-
 @plan("P26_location_parts", "SELECT c_custkey, trim(split_part(loc, ',', 1)) AS city, trim(split_part(loc, ',', -1)) AS country FROM (SELECT c_custkey, c_mktsegment || ', NATION_' || c_nationkey AS loc FROM customer)")
 def p26(t: Tables) -> DataFrame:
     loc = F.split(F.concat("c_mktsegment", F.lit(", NATION_"), F.col("c_nationkey").cast("string")), ",")
@@ -300,23 +246,11 @@ def p32(t: Tables) -> DataFrame:
     return t.part.select("p_type", X.tag_label(F.col("p_type")).alias("label")).distinct()
 
 
-@plan("P33_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def p33(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @plan("P34_vocabulary", "SELECT id, CASE WHEN segment IN ('MACHINERY', 'BUILDING') THEN segment ELSE 'other' END AS segment, CASE WHEN founded_year BETWEEN 2005 AND 2020 THEN founded_year END AS year FROM companies", "companies")
 def p34(t: Tables) -> DataFrame:
     return t.companies.select("id", F.when(F.col("segment").isin("MACHINERY", "BUILDING"), F.col("segment")).otherwise("other").alias("segment"), F.when(F.col("founded_year").between(2005, 2020), F.col("founded_year")).alias("year"))
 
 
-@plan("P36_rule_cascade", "SELECT event_id, CASE WHEN status = 'error' AND seconds > 90 THEN 'timeout' WHEN status = 'error' THEN 'failed' WHEN status = 'zero_result' AND difficulty = 'easy' THEN 'escalate' ELSE 'fine' END AS verdict FROM runs", "runs")
-def p36(t: Tables) -> DataFrame:
-    status = F.col("status")
-    verdict = F.when((status == "error") & (F.col("seconds") > 90), "timeout").when(status == "error", "failed").when((status == "zero_result") & (F.col("difficulty") == "easy"), "escalate").otherwise("fine")
-    return t.runs.select("event_id", verdict.alias("verdict"))
-
-
 @plan("P37_dates", "SELECT o_orderkey, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m') AS m, CAST(date_trunc('week', o_orderdate) AS DATE) AS w, year(o_orderdate) || CASE WHEN month(o_orderdate) <= 6 THEN 'H1' ELSE 'H2' END AS h FROM orders")
 def p37(t: Tables) -> DataFrame:
     d = F.col("o_orderdate")
@@ -335,11 +269,6 @@ def p40(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(people.alias("p")).select("l_orderkey", F.slice("p.l_suppkey", 1, 6).alias("people"))
 
 
-@plan("P41_numbers_check", r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '\b[0-9]+\b'), lambda x: length(x) <> 4)) = 0 AS ok FROM documents")
-def p41(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (~F.exists(F.regexp_extract_all("text", F.lit(r"\b([0-9]+)\b"), 1), lambda x: F.length(x) != 4)).alias("ok"))
-
-
 @plan("P43_math", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, floor(c_acctbal) AS f, least(1, greatest(0, c_acctbal / 10000)) AS clipped, round(ln(1 + abs(c_acctbal)), 6) AS l FROM customer")
 def p43(t: Tables) -> DataFrame:
     v = F.col("c_acctbal")
