@@ -1,90 +1,74 @@
-"""Bootstraps and clustering on Spark."""
+"""Bootstraps on Spark: a row expands into runs of draws, each with a generator of its own."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ventura.functions.stats import precision_recall
 
+#: Draws of a run; runs, not draws, are the rows that Spark deals out.
+RUN = 1000
 
-def beta_bootstrap(counts: DataFrame, key: str, hits: str, n: str, draws: int, seed: int) -> DataFrame:
-    """2.5, 50 and 97.5 percentiles of each row's share under its Jeffreys posterior.
 
-    A row expands into its draws in Spark; each draw's generator is seeded by the row's key and the draw's number.
-    """
+def _draws(rows: DataFrame, key: str, draws: int, seed: int, inputs: list[str], output: str, draw: Callable[[np.random.Generator, int, tuple], dict]) -> DataFrame:
+    """Rows (key, draw, ``output``) of each row's draws. A run's generator is seeded by the row's key and the run's number."""
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values = [np.random.default_rng([seed, h & 0x7FFFFFFF, d]).beta(k + 0.5, m - k + 0.5) for h, d, k, m in zip(b["h"], b["draw"], b["k"], b["m"])]
-            yield pd.DataFrame({"key": b["key"], "share": values})
+            for r in b.itertuples(index=False):
+                size = min(RUN, draws - r.run * RUN)
+                made = draw(np.random.default_rng([seed, r.h & 0x7FFFFFFF, r.run]), size, tuple(getattr(r, c) for c in inputs))
+                yield pd.DataFrame({"key": r.key, "draw": r.run * RUN + np.arange(size), **made})
+
+    runs = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // RUN))).alias("run")
+    given = rows.select(F.col(key).cast("string").alias("key"), F.crc32(F.col(key).cast("string").cast("binary")).alias("h"), runs, *inputs)
+    return given.mapInPandas(sample, f"key string, draw int, {output}").withColumnRenamed("key", key)
+
 
-    rows = counts.select(F.col(key).alias("key"), F.crc32(F.col(key).cast("binary")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.col(hits).alias("k"), F.col(n).alias("m"))
-    made = rows.mapInPandas(sample, "key string, share double").groupBy("key").agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
-    return made.select(F.col("key").alias(key), F.col("p")[0].alias("lo"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("hi"))
+def beta_bootstrap(counts: DataFrame, key: str, hits: str, n: str, draws: int = 20_000, seed: int = 11) -> DataFrame:
+    """2.5, 50 and 97.5 percentiles of each row's share under its Jeffreys posterior."""
+    made = _draws(counts, key, draws, seed, [hits, n], "share double", lambda rng, size, r: {"share": rng.beta(r[0] + 0.5, r[1] - r[0] + 0.5, size)})
+    p = made.groupBy(key).agg(F.percentile("share", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
+    return p.select(key, F.col("p")[0].alias("lo"), F.col("p")[1].alias("mid"), F.col("p")[2].alias("hi"))
 
 
-def corrected_draws(counts: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+def corrected_draws(counts: DataFrame, key: str, draws: int = 20_000, seed: int = 8) -> DataFrame:
     """Draws of each row's prevalence corrected for its own test error: (key, draw, share).
 
     ``counts`` has ai and n of the population and tp, fp, fn, tn of the validated part. Observed share, sensitivity and
     specificity are drawn from Jeffreys posteriors; a draw whose test is no better than chance has no share.
     """
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            shares = []
-            for h, d, k, m, tp, fp, fn, tn in zip(b["h"], b["draw"], b["ai"], b["n"], b["tp"], b["fp"], b["fn"], b["tn"]):
-                rng = np.random.default_rng([seed, h & 0x7FFFFFFF, d])
-                observed, sensitivity, specificity = rng.beta([k + 0.5, tp + 0.5, tn + 0.5], [m - k + 0.5, fn + 0.5, fp + 0.5])
-                gain = sensitivity + specificity - 1
-                shares.append(min(1.0, max(0.0, (observed + specificity - 1) / gain)) if gain > 0 else None)
-            yield pd.DataFrame({"key": b["key"], "draw": b["draw"], "share": pd.Series(shares, dtype="float64")})
+    def draw(rng: np.random.Generator, size: int, r: tuple) -> dict:
+        ai, n, tp, fp, fn, tn = r
+        observed, sensitivity, specificity = (rng.beta(a + 0.5, b + 0.5, size) for a, b in ((ai, n - ai), (tp, fn), (tn, fp)))
+        gain = sensitivity + specificity - 1
+        share = np.clip((observed + specificity - 1) / np.where(gain > 0, gain, 1), 0, 1)
+        return {"share": pd.Series(share).where(gain > 0, None).astype("Float64")}
 
-    rows = counts.select(F.col(key).alias("key"), F.crc32(F.col(key).cast("binary")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "ai", "n", "tp", "fp", "fn", "tn")
-    return rows.mapInPandas(sample, "key string, draw int, share double").withColumnRenamed("key", key)
+    return _draws(counts, key, draws, seed, ["ai", "n", "tp", "fp", "fn", "tn"], "share double", draw)
 
 
-def poisson_bootstrap_f1(rows: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
-    """Interval of precision, recall and F1 by Poisson resampling of (p, y) rows.
+def bootstrap_f1(rows: DataFrame, draws: int = 2000, seed: int = 7) -> DataFrame:
+    """Interval of precision, recall and F1 when (p, y) rows are drawn again with replacement.
 
-    Rows fold into counts of (p, y, weight) for each draw, so what is shuffled doesn't grow with the rows. A row's weight
-    comes from a uniform hash of its key and the draw by the inverse distribution of Poisson(1).
+    The measures depend on the four cells of the table alone, and the cells of n rows drawn with replacement are one multinomial
+    draw. So rows fold to four counts before anything is drawn, and the result has the same distribution as drawing rows.
     """
-    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, total = F.lit(0), 0.0
-    for k in range(1, 8):
-        total += float(np.exp(-1.0)) / float(np.prod(range(1, k)) if k > 1 else 1)
-        weight = weight + F.when(u > total, 1).otherwise(0)
-    drawn = rows.select(key, "p", "y", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    p, y, w = F.col("p"), F.col("y"), F.col("w")
-    cell = lambda test: F.sum(F.when(test, w).otherwise(0))
-    folds = drawn.groupBy("draw").agg(cell(p & y).alias("tp"), cell(p & ~y).alias("fp"), cell(~p & y).alias("fn"))
+    p, y = F.coalesce("p", F.lit(False)), F.coalesce("y", F.lit(False))
+    cells = rows.agg(F.lit("all").alias("key"), F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+
+    def draw(rng: np.random.Generator, size: int, r: tuple) -> dict:
+        n = sum(r)
+        made = rng.multinomial(n, np.array(r) / n, size) if n else np.zeros((size, 4), np.int64)
+        return {"tp": made[:, 0], "fp": made[:, 1], "fn": made[:, 2]}
+
+    folds = _draws(cells, "key", draws, seed, ["tp", "fp", "fn", "tn"], "tp long, fp long, fn long", draw)
     precision, recall, f1 = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
     values = folds.select(F.inline(F.array(*(F.struct(F.lit(name).alias("measure"), v.alias("v")) for name, v in (("precision", precision), ("recall", recall), ("f1", f1))))))
     return values.groupBy("measure").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"))
-
-
-def text_clusters(docs: DataFrame, k: int, features: int = 8000, min_df: float = 8, max_df: float = 0.35, seed: int = 0) -> DataFrame:
-    """doc_id and cluster: TF-IDF over words and word pairs, then k-means."""
-    words = RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"[^\p{L}]+", minTokenLength=2).transform(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    words = StopWordsRemover(inputCol="raw", outputCol="words").transform(words)
-    words = NGram(n=2, inputCol="words", outputCol="pairs").transform(words).withColumn("terms", F.concat("words", "pairs"))
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=min_df, maxDF=max_df).fit(words).transform(words)
-    weights = IDF(inputCol="tf", outputCol="features").fit(counts).transform(counts).select("doc_id", "features")
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(weights)
-    return model.transform(weights).select("doc_id", F.col("prediction").alias("cluster"))
-
-
-def vector_clusters(vectors: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """vec_id and cluster by k-means over L2-normalised vectors."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.select("vec_id", array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), norm))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=15).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))

@@ -184,13 +184,6 @@ def a08(t: Tables) -> DataFrame:
     return rows.select("company_id", F.col("d.deal_id").alias("deal_ids"))
 
 
-@plan("A08_ordered_list_all", "SELECT company_id, list(deal_id ORDER BY deal_date, deal_id) AS deal_ids FROM deals GROUP BY 1", "deals")
-def a08_all(t: Tables) -> DataFrame:
-    """Of all firms; A08_ordered_list keeps the ids of its oracle."""
-    rows = t.deals.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("deal_date", "deal_id"))).alias("d"))
-    return rows.select("company_id", F.col("d.deal_id").alias("deal_ids"))
-
-
 @plan("A09_decoded_min", "SELECT company_id, min(deal_year) FILTER (WHERE deal_year BETWEEN 1996 AND 2026) AS first_year FROM deals GROUP BY 1", "deals")
 def a09(t: Tables) -> DataFrame:
     return t.deals.groupBy("company_id").agg(F.min(F.when(F.col("deal_year").between(1996, 2026), F.col("deal_year"))).alias("first_year"))

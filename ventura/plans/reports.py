@@ -240,15 +240,8 @@ def k31(t: Tables) -> DataFrame:
     return shares(t.firm_tags.join(t.companies, F.col("company_id") == F.col("id")), "tag", P.effective_year().alias("y"))
 
 
-@plan("D01_newest_firms", f"SELECT id, d.deal_id, coalesce({AI} OR ai_score >= 0.3, false) AS is_ai FROM companies LEFT JOIN (SELECT * FROM deals QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY deal_date DESC, deal_id) = 1) d ON d.company_id = id ORDER BY d.deal_date DESC NULLS LAST, id LIMIT 500", "companies", "deals")
+@plan("D01_newest_firms", f"SELECT id, d.deal_id, coalesce({AI} OR ai_score >= 0.3, false) AS is_ai FROM companies LEFT JOIN (SELECT * FROM deals QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY deal_date DESC, deal_id) = 1) d ON d.company_id = id ORDER BY d.deal_date DESC NULLS LAST, id LIMIT 15000", "companies", "deals")
 def d01(t: Tables) -> DataFrame:
-    latest = top_per_key(t.deals, ["company_id"], [F.desc("deal_date"), F.col("deal_id")]).select("company_id", "deal_id", "deal_date")
-    rows = t.companies.join(latest, F.col("company_id") == F.col("id"), "left").orderBy(F.desc_nulls_last("deal_date"), "id").limit(500)
-    return rows.select("id", "deal_id", F.coalesce(P.is_ai() | (F.col("ai_score") >= 0.3), F.lit(False)).alias("is_ai"))
-
-
-@plan("D01_newest_firms_15000", f"SELECT id, d.deal_id, coalesce({AI} OR ai_score >= 0.3, false) AS is_ai FROM companies LEFT JOIN (SELECT * FROM deals QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY deal_date DESC, deal_id) = 1) d ON d.company_id = id ORDER BY d.deal_date DESC NULLS LAST, id LIMIT 15000", "companies", "deals")
-def d01_15000(t: Tables) -> DataFrame:
     latest = top_per_key(t.deals, ["company_id"], [F.desc("deal_date"), F.col("deal_id")]).select("company_id", "deal_id", "deal_date")
     rows = t.companies.join(latest, F.col("company_id") == F.col("id"), "left").orderBy(F.desc_nulls_last("deal_date"), "id").limit(15000)
     return rows.select("id", "deal_id", F.coalesce(P.is_ai() | (F.col("ai_score") >= 0.3), F.lit(False)).alias("is_ai"))

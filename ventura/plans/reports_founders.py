@@ -169,12 +169,12 @@ def q49(t: Tables) -> DataFrame:
 
 @plan("K08_corrected_gap")
 def k08(t: Tables) -> DataFrame:
-    """Gap of unlisted firms to each database after correction, from 2,000 draws of a few rows: median, interval, P(gap > 0)."""
+    """Gap of unlisted firms to each database after correction, from 20,000 draws of a few rows: median, interval, P(gap > 0)."""
     said, true = F.col("ai_score") >= 0.5, F.col("llm_ai_verified")
     cells = t.companies.groupBy(P.coverage_bucket().alias("bucket")).agg(
         F.count("ai_score").alias("n"), F.count_if(said).alias("ai"), F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn")
     )
-    drawn = L.corrected_draws(cells, "bucket", 2000, 8).filter("share IS NOT NULL")
+    drawn = L.corrected_draws(cells, "bucket", 20_000, 8).filter("share IS NOT NULL")
     own = drawn.filter("bucket = 'Unlisted'").select("draw", F.col("share").alias("own"))
     gaps = drawn.filter("bucket <> 'Unlisted'").join(own, "draw").withColumn("gap", 100 * (F.col("own") - F.col("share")))
     made = gaps.groupBy("bucket").agg(F.percentile("gap", F.array(*map(F.lit, (0.025, 0.5, 0.975)))).alias("p"), F.avg((F.col("gap") > 0).cast("double")).alias("above"))

@@ -189,14 +189,8 @@ def d18(t: Tables) -> DataFrame:
     return shares(t.companies, P.coverage_bucket().alias("bucket"), "operating_status")
 
 
-@plan("D20_hidden_search", f"SELECT id, name FROM companies WHERE {HIDDEN} AND (name ILIKE '%00000%' OR domain ILIKE '%firm1%') AND {AI} ORDER BY ai_score DESC NULLS LAST, id LIMIT 50", "companies")
+@plan("D20_hidden_search", f"SELECT id, name FROM companies WHERE {HIDDEN} AND (name ILIKE '%00000%' OR domain ILIKE '%firm1%') AND {AI} ORDER BY ai_score DESC NULLS LAST, id LIMIT 5000", "companies")
 def d20(t: Tables) -> DataFrame:
-    found = hidden(t).filter((F.col("name").ilike("%00000%") | F.col("domain").ilike("%firm1%")) & P.is_ai())
-    return found.orderBy(F.desc_nulls_last("ai_score"), "id").limit(50).select("id", "name")
-
-
-@plan("D20_hidden_search_5000", f"SELECT id, name FROM companies WHERE {HIDDEN} AND (name ILIKE '%00000%' OR domain ILIKE '%firm1%') AND {AI} ORDER BY ai_score DESC NULLS LAST, id LIMIT 5000", "companies")
-def d20_5000(t: Tables) -> DataFrame:
     found = hidden(t).filter((F.col("name").ilike("%00000%") | F.col("domain").ilike("%firm1%")) & P.is_ai())
     return found.orderBy(F.desc_nulls_last("ai_score"), "id").limit(5000).select("id", "name")
 

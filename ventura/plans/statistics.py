@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ventura.functions import predicates as P
 from ventura.functions import stats as S
+from ventura.operators import clustering as C
 from ventura.operators import learning as L
+from ventura.operators.joins import top_per_key
 from ventura.plans.aggregates import AI, BUCKET, YEAR
 from ventura.plans.catalogue import plan
 from ventura.plans.model import Tables
@@ -123,13 +125,13 @@ def m10(t: Tables) -> DataFrame:
 
 @plan("M11_parametric_bootstrap")
 def m11(t: Tables) -> DataFrame:
-    return L.beta_bootstrap(by_bucket(t), "bucket", "ai", "n", 2000, 11)
+    return L.beta_bootstrap(by_bucket(t), "bucket", "ai", "n", 20_000, 11)
 
 
 @plan("M12_bootstrap_f1")
 def m12(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", (F.col("quality") == 1).alias("y"), (F.length("text") >= 600).alias("p"))
-    return L.poisson_bootstrap_f1(rows, "doc_id", 200, 7)
+    return L.bootstrap_f1(rows, 2000, 7)
 
 
 @plan("M13_two_proportions", f"SELECT bucket, round(z, 8) AS z FROM (SELECT bucket, ({_P1} - {_P2}) / sqrt(((k1 + k2)::DOUBLE / (n1 + n2)) * (1 - (k1 + k2)::DOUBLE / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) AS z FROM ({_GAPS}))", "companies")
@@ -171,21 +173,37 @@ def m17(t: Tables) -> DataFrame:
 
 @plan("M18_text_clusters")
 def m18(t: Tables) -> DataFrame:
-    return L.text_clusters(t.documents, 8)
+    """All documents in 50 clusters."""
+    return C.text_clusters(t.documents, 50).select(F.col("id").alias("doc_id"), "cluster")
 
 
 @plan("M19_vector_clusters")
 def m19(t: Tables) -> DataFrame:
-    return L.vector_clusters(t.embeddings, 10)
-
-
-@plan("M20_distinctive_terms", """
-SELECT lang, term, n FROM (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n::DOUBLE / total DESC, n DESC, term) AS k FROM (SELECT lang, term, count(*) AS n, sum(count(*)) OVER (PARTITION BY term) AS total FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE length(term) > 3 GROUP BY 1, 2) WHERE n >= 20) WHERE k <= 5""")
+    """All vectors in 150 clusters, each with the label that most of its members have (ties: the smallest)."""
+    vectors = C.dense_vectors(t.embeddings, "vec_id", "embedding")
+    dims = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    found = C.assign(vectors, C.minibatch_kmeans(vectors, 150, dims, batch=4096)).withColumnRenamed("id", "vec_id")
+    met = found.join(t.embeddings.select("vec_id", "label"), "vec_id")
+    named = met.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("cluster_label"))
+    return met.select("vec_id", "cluster").join(named, "cluster")
+
+
+@plan("M20_distinctive_terms", r"""
+, k AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}'), lambda w: NOT list_contains(__STOP__, w)) AS w FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM k),
+c AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+v AS (SELECT term, df, n FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1), n WHERE df >= 8 AND df <= 0.35 * n ORDER BY total DESC, term LIMIT 8000),
+x AS (SELECT doc_id, term, (1 + ln(tf)) * (1 + ln((1 + n)::DOUBLE / (1 + df))) AS w FROM c JOIN v USING (term)),
+y AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x),
+g AS (SELECT lang, count(*) AS docs FROM documents GROUP BY 1),
+m AS (SELECT lang, term, sum(w) / any_value(docs) AS mean FROM y JOIN documents USING (doc_id) JOIN g USING (lang) GROUP BY 1, 2)
+SELECT lang, term, round(mean, 9) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(mean, 9) DESC, term) <= 10""".replace(", k AS", "WITH k AS", 1).replace("__STOP__", "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP) + "]"))
 def m20(t: Tables) -> DataFrame:
-    terms = t.documents.select("lang", F.explode(F.split(F.lower("text"), " ")).alias("term")).filter(F.length("term") > 3)
-    rows = terms.groupBy("lang", "term").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("term"))).filter("n >= 20")
-    k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("n").cast("double") / F.col("total")), F.desc("n"), "term"))
-    return rows.withColumn("k", k).filter("k <= 5").select("lang", "term", "n")
+    """The ten terms of the largest mean TF-IDF in each language, a language standing for a cluster."""
+    weights = C.tf_idf(t.documents).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("weight").alias("total"))
+    sizes = t.documents.groupBy("lang").agg(F.count("*").alias("docs"))
+    means = weights.join(F.broadcast(sizes), "lang").select("lang", "term", F.round(F.col("total") / F.col("docs"), 9).alias("mean"))
+    return top_per_key(means, ["lang"], [F.desc("mean"), F.col("term")], 10)
 
 
 @plan("M21_taxonomy_assembly", """
