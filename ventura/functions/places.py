@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +104,11 @@ def ending_country(domain: Column) -> Column:
     return F.when(F.size(parts) > 2, F.coalesce(_lookup(ENDING_OF, two), _lookup(ENDING_OF, one))).otherwise(_lookup(ENDING_OF, one))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def registrable(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
     """Public suffix of a host and one label more; the host itself if it is a suffix or an address.
 
@@ -109,14 +116,17 @@ def registrable(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
     longest rule wins, an exception before all, and without any the suffix is the last label.
     """
     exact, wild, out = [r for r in rules if r[0] not in "*!"], [r[2:] for r in rules if r.startswith("*.")], [r[1:] for r in rules if r[0] == "!"]
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    rest = lambda k: F.array_join(F.slice(parts, k, F.greatest(n - k + 1, F.lit(0))), ".")
-    places = F.sequence(F.lit(1), n)
     none = F.lit(False)
-    # a place stands for the suffix that begins there
-    at_exception = F.filter(places, lambda k: rest(k).isin(*out) if out else none)
-    at_rule = F.filter(places, lambda k: (rest(k).isin(*exact) if exact else none) | (((k < n) & rest(k + 1).isin(*wild)) if wild else none))
-    start = F.coalesce(F.get(at_exception, F.lit(0)) + 1, F.get(at_rule, F.lit(0)), n)
-    address = host.rlike(r"^\d+\.\d+\.\d+\.\d+$")
-    return F.when(address | (start == 1), host).otherwise(rest(F.greatest(start - 1, F.lit(1))))
+
+    def of(host: Column, parts: Column) -> Column:
+        n = F.size(parts)
+        rest = lambda k: F.array_join(F.slice(parts, k, F.greatest(n - k + 1, F.lit(0))), ".")
+        places = F.sequence(F.lit(1), n)
+        # a place stands for the suffix that begins there
+        at_exception = F.filter(places, lambda k: rest(k).isin(*out) if out else none)
+        at_rule = F.filter(places, lambda k: (rest(k).isin(*exact) if exact else none) | (((k < n) & rest(k + 1).isin(*wild)) if wild else none))
+        start = F.coalesce(F.get(at_exception, F.lit(0)) + 1, F.get(at_rule, F.lit(0)), n)
+        address = host.rlike(r"^\d+\.\d+\.\d+\.\d+$")
+        return F.when(address | (start == 1), host).otherwise(rest(F.greatest(start - 1, F.lit(1))))
+
+    return _bound(host, lambda h: _bound(F.split(h, r"\."), lambda parts: of(h, parts)))
