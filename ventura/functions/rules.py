@@ -91,6 +91,12 @@ BLOCKED = ("403", "429", "forbidden", "rate limit", "blocked", "captcha", "cloud
 THIN = ("no content", "empty", "thin", "playwright", "render", "javascript required", "tavily returned")
 UNPARSED = ("json", "parse", "decode", "invalid extraction", "validation")
 SPENT = ("pagination", "budget", "max_calls", "exceeded")
+#: What tells that a listing goes on, below how many records that matters, and up to how many a site is challenging.
+MORE_PAGES = (
+    "view more", "load more", "show more", "see more", "read more", "next page", "older posts", "newer posts", "previous page", "prev page", "pagination",
+    r"[?&]page\s*=\s*\d+", r"/page/\d+", r"[?&]p\s*=\s*\d+", r"/p/\d+", r"[?&]offset\s*=\s*\d+", r"[?&]cursor\s*=", r"\bpage\s+\d+\s+of\s+\d+", r"\b\d+\s*[-–]\s*\d+\s+of\s+\d+",
+)
+FEW_RECORDS, CHALLENGING = 20, 5
 
 
 def _blob(*parts: Column) -> Column:
@@ -180,6 +186,32 @@ def failure_bucket(probe_error: Column, status_code: Column, parked: Column, rea
     )
 
 
+def more_pages(text: Column) -> Column:
+    """Whether a listing's text tells that it goes on: words, addresses of pages, or counts such as ``1-20 of 90``."""
+    return F.coalesce(text, F.lit("")).rlike("(?iU)" + "|".join(MORE_PAGES))
+
+
+def escalated(is_good: Column, reason: Column, record_count: Column, more: Column) -> Column:
+    """struct(is_good, reason): a good answer of few records fails where more pages are told; others stay."""
+    few = is_good & (record_count < FEW_RECORDS) & more
+    told = F.concat(reason, F.lit(" | Escalation: "), record_count.cast("string"), F.lit(f" < {FEW_RECORDS} while pagination/load-more signals present (likely partial list) — use agent."))
+    return F.when(few, F.struct(F.lit(False).alias("is_good"), told.alias("reason"))).otherwise(F.struct(is_good.alias("is_good"), reason.alias("reason")))
+
+
+def scrapeability(own_scraper: Column, record_count: Column, probe_result: Column, probe_reason: Column) -> Column:
+    """struct(level, reason) of a site: by its own scraper, then what an agent got, then the probe."""
+    made = lambda level, *reason: F.struct(F.lit(level).alias("level"), F.concat(*reason).alias("reason"))
+    count, why = record_count.cast("string"), F.coalesce(probe_reason, F.lit(""))
+    return (
+        F.when(own_scraper, made("easy", F.lit("dedicated scraper (API / HTML / parquet)")))
+        .when(record_count > CHALLENGING, made("agentic", F.lit("AI agent extracted "), count, F.lit(" records")))
+        .when(record_count > 0, made("challenging", F.lit("AI agent only extracted "), count, F.lit(" record(s) — limited or JS-heavy")))
+        .when(probe_result == "easy_candidate", made("agentic", F.lit("not yet scraped — HTTP probe: accessible ("), why, F.lit(")")))
+        .when(probe_result == "challenging", made("challenging", F.lit("HTTP probe: "), why))
+        .otherwise(made("challenging", F.lit("no successful extraction recorded")))
+    )
+
+
 _FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```")
 _BRACKET = re.compile(r'["{}\[\]]')
 _STRING_END = re.compile(r'(?:[^"\\]|\\[\s\S])*"')

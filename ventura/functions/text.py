@@ -196,10 +196,5 @@ def batch_year(batch: Column) -> Column:
     return F.when(short != "", 2000 + short.try_cast("int")).otherwise(F.nullif(full, F.lit("")).try_cast("int"))
 
 
-def employee_count(text: Column) -> Column:
-    """Lower bound of a range such as ``51-100``."""
-    return F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"(\d+)", 1), F.lit("")).try_cast("int")
-
-
 def tag_label(tag: Column) -> Column:
     return F.initcap(F.translate(F.lower(tag), "-_", "  "))

@@ -47,4 +47,4 @@ def plan(name: str, sql: str | None = None, *views: str):
 
 def load() -> None:
     """Import the plan modules, which register themselves."""
-    from ventura.plans import aggregates, joins, merges, reports, reports_data, reports_founders, reports_more, reports_weekly, reports_rest, rules, scalars, sources, statistics, streams, windows  # noqa: F401
+    from ventura.plans import aggregates, imports, joins, merges, reports, reports_data, reports_founders, reports_more, reports_weekly, reports_rest, rules, scalars, sources, statistics, streams, windows  # noqa: F401

@@ -16,38 +16,12 @@ from ventura.plans.reports import _CHANNEL, _FUNDED, _funded, shares, shares_sql
 from ventura.plans.scalars import _SAMPLES, FULL_SQL, LEGAL_SQL, _samples, alike_sql, name_sql
 
 
-@plan("P24_clean_country", "SELECT id, coalesce(CASE code WHEN 'N_1' THEN 'NATION_1' WHEN 'N_2' THEN 'NATION_2' END, country) AS country FROM (SELECT id, country, replace(country, 'NATION', 'N') AS code FROM companies)", "companies")
-def p24(t: Tables) -> DataFrame:
-    dim = t.spark.createDataFrame([("N_1", "NATION_1"), ("N_2", "NATION_2")], "code string, named string")
-    rows = t.companies.select("id", "country", F.replace("country", F.lit("NATION"), F.lit("N")).alias("code"))
-    return rows.join(F.broadcast(dim), "code", "left").select("id", F.coalesce("named", "country").alias("country"))
-
-
 @plan("P28_first_award_year", "SELECT id, CAST(nullif(regexp_extract(s, 'first award[^0-9]{0,6}((19|20)[0-9]{2})', 1), '') AS INT) AS y FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'first award: ' || CAST(1990 + id % 40 AS VARCHAR) ELSE 'award 2001' END AS s FROM companies)", "companies")
 def p28(t: Tables) -> DataFrame:
     s = F.when(F.col("id") % 2 == 0, F.concat(F.lit("first award: "), (1990 + F.col("id") % 40).cast("string"))).otherwise("award 2001")
     return t.companies.select("id", F.nullif(F.regexp_extract(s, r"first award\D{0,6}((19|20)\d{2})", 1), F.lit("")).try_cast("int").alias("y"))
 
 
-@plan("P31_category_score", "SELECT company_id, CASE WHEN list_contains(list(tag), 'PROMO') THEN 0.9 WHEN list_contains(list(tag), 'SMALL') THEN 0.75 WHEN list_contains(list(tag), 'LARGE') THEN 0.6 ELSE 0 END::DOUBLE AS score FROM firm_tags GROUP BY 1", "firm_tags")
-def p31(t: Tables) -> DataFrame:
-    has = lambda tag: F.bool_or(F.col("tag") == tag)
-    return t.firm_tags.groupBy("company_id").agg(F.when(has("PROMO"), 0.9).when(has("SMALL"), 0.75).when(has("LARGE"), 0.6).otherwise(0.0).alias("score"))
-
-
-@plan("P35_scrub", "SELECT doc_id, length(regexp_replace(text, '\\b(19|20)[0-9]{2}\\b', 'YEAR', 'g')) AS masked FROM documents")
-def p35(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.length(F.regexp_replace("text", r"\b(19|20)\d{2}\b", "YEAR")).cast("long").alias("masked"))
-
-
-@plan("P39_geocode", "SELECT id, coalesce(CASE WHEN segment = 'MACHINERY' THEN 1.5 END, CASE WHEN country = 'NATION_4' THEN 4.0 END)::DOUBLE AS latitude FROM companies", "companies")
-def p39(t: Tables) -> DataFrame:
-    places = t.spark.createDataFrame([("machinery", 1.5), ("nation_4", 4.0)], "place string, latitude double")
-    rows = t.companies.select("id", F.array(F.lower("segment"), F.lower("country")).alias("p"))
-    met = rows.select("id", F.posexplode("p").alias("at", "place")).join(F.broadcast(places), "place", "left")
-    return met.groupBy("id").agg(F.min_by("latitude", F.when(F.col("latitude").isNotNull(), F.col("at"))).alias("latitude"))
-
-
 _LABEL = "split_part(split_part(split_part(url, '://', 2), '/', 1), '.', {})"
 _FOUND = f"""SELECT page_id, page_id % 5 AS rank, concat(label, '.com') AS domain, CASE page_id % 4 WHEN 0 THEN concat(upper(label), ' AI') WHEN 1 THEN concat(label, 'x') WHEN 2 THEN concat('x', label) ELSE concat(label, ' holding') END AS name
   FROM (SELECT page_id, CASE WHEN {_LABEL.format(1)} IN ('www', 'm', 'blog') THEN {_LABEL.format(2)} ELSE {_LABEL.format(1)} END AS label FROM pages)"""

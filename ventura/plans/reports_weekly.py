@@ -23,19 +23,6 @@ def d08(t: Tables) -> DataFrame:
     return cells.withColumn("ai_pct", S.pct(F.col("ai"), F.col("total"), 4))
 
 
-#: Places with a position; a stand-in for a gazetteer, which would be a table of its own.
-_PLACES = [("NATION_1", 1.5, 10.0), ("NATION_4", 4.0, 20.0), ("NATION_9", 9.25, 30.0)]
-
-
-@plan("D17_place_totals", f"SELECT country AS place, n, ai, latitude, longitude FROM (SELECT country, count(*) AS n, count(*) FILTER (WHERE {AI}) AS ai FROM companies WHERE country IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100) LEFT JOIN (VALUES ('NATION_1', 1.5::DOUBLE, 10::DOUBLE), ('NATION_4', 4, 20), ('NATION_9', 9.25, 30)) AS p(place, latitude, longitude) ON lower(country) = lower(place)", "companies")
-def d17(t: Tables) -> DataFrame:
-    """The hundred largest places with their position, null where the gazetteer has none."""
-    cells = t.companies.filter("country IS NOT NULL").groupBy(F.col("country").alias("place")).agg(F.count("*").alias("n"), F.count_if(P.is_ai()).alias("ai"))
-    known = t.spark.createDataFrame(_PLACES, "known string, latitude double, longitude double")
-    top = cells.orderBy(F.desc("n"), "place").limit(100)
-    return top.join(F.broadcast(known), F.lower("place") == F.lower("known"), "left").drop("known")
-
-
 _FIRST = "SELECT company_id AS firm, min(deal_date) AS seen FROM deals GROUP BY 1"
 
 

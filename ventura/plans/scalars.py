@@ -215,12 +215,6 @@ def p21(t: Tables) -> DataFrame:
     return t.benchmark.join(nxt, "item_id").select("item_id", F.round(X.token_jaccard(F.col("text"), F.col("other")), 9).alias("j"))
 
 
-@plan("P26_location_parts", "SELECT c_custkey, trim(split_part(loc, ',', 1)) AS city, trim(split_part(loc, ',', -1)) AS country FROM (SELECT c_custkey, c_mktsegment || ', NATION_' || c_nationkey AS loc FROM customer)")
-def p26(t: Tables) -> DataFrame:
-    loc = F.split(F.concat("c_mktsegment", F.lit(", NATION_"), F.col("c_nationkey").cast("string")), ",")
-    return t.customer.select("c_custkey", F.trim(loc[0]).alias("city"), F.trim(F.element_at(loc, -1)).alias("country"))
-
-
 @plan("P27_batch_year", "SELECT id, CASE WHEN id % 3 = 0 THEN 2000 + CAST(substr(b, 2) AS INT) WHEN id % 3 = 1 THEN CAST(regexp_extract(b, '((?:19|20)[0-9]{2})', 1) AS INT) END AS y FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'W' || lpad(CAST(id % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'Cohort ' || CAST(1990 + id % 30 AS VARCHAR) ELSE 'none' END AS b FROM companies)", "companies")
 def p27(t: Tables) -> DataFrame:
     i = F.col("id")
@@ -228,19 +222,6 @@ def p27(t: Tables) -> DataFrame:
     return t.companies.select("id", X.batch_year(b).alias("y"))
 
 
-@plan("P29_category_map", "SELECT company_id, list_sort(list_distinct(list(CASE tag WHEN 'ECONOMY' THEN 'value' WHEN 'PROMO' THEN 'value' WHEN 'SMALL' THEN 'size' WHEN 'LARGE' THEN 'size' ELSE 'other' END))) AS verticals FROM firm_tags GROUP BY 1", "firm_tags")
-def p29(t: Tables) -> DataFrame:
-    names = F.create_map(*map(F.lit, ("ECONOMY", "value", "PROMO", "value", "SMALL", "size", "LARGE", "size")))
-    lists = t.firm_tags.groupBy("company_id").agg(F.collect_list("tag").alias("tags"))
-    return lists.select("company_id", F.array_sort(F.array_distinct(F.transform("tags", lambda x: F.coalesce(F.try_element_at(names, x), F.lit("other"))))).alias("verticals"))
-
-
-@plan("P30_parsers", "SELECT p_partkey, CAST(regexp_extract(s, '([0-9]+)', 1) AS INT) AS low, nullif(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_retailprice END, 0) AS amount FROM (SELECT *, CAST(p_size * 1 AS VARCHAR) || '-' || CAST(p_size * 2 AS VARCHAR) AS s FROM part)")
-def p30(t: Tables) -> DataFrame:
-    s = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") * 2).cast("string"))
-    return t.part.select("p_partkey", X.employee_count(s).alias("low"), F.nullif(F.when(F.col("p_size") % 4 == 0, 0.0).otherwise(F.col("p_retailprice")), F.lit(0.0)).alias("amount"))
-
-
 @plan("P32_tag_label", "SELECT DISTINCT p_type, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS label FROM part")
 def p32(t: Tables) -> DataFrame:
     return t.part.select("p_type", X.tag_label(F.col("p_type")).alias("label")).distinct()

@@ -206,14 +206,6 @@ def m20(t: Tables) -> DataFrame:
     return top_per_key(means, ["lang"], [F.desc("mean"), F.col("term")], 10)
 
 
-@plan("M21_taxonomy_assembly", """
-SELECT id, CASE WHEN segment = 'MACHINERY' THEN 'mapped' WHEN founded_year IS NULL THEN 'pending' WHEN top IS NOT NULL THEN 'category_mapped' ELSE 'pending' END AS status FROM companies LEFT JOIN (SELECT company_id, min(tag) AS top FROM firm_tags GROUP BY 1) ON company_id = id""", "companies", "firm_tags")
-def m21(t: Tables) -> DataFrame:
-    top = t.firm_tags.groupBy("company_id").agg(F.min("tag").alias("top"))
-    status = F.when(F.col("segment") == "MACHINERY", "mapped").when(F.col("founded_year").isNull(), "pending").when(F.col("top").isNotNull(), "category_mapped").otherwise("pending")
-    return t.companies.join(top, F.col("company_id") == F.col("id"), "left").select("id", status.alias("status"))
-
-
 @plan("M23_triangulation", "SELECT company_id, late > early AS grew, (late > early) AND bool_flag AS both FROM (SELECT company_id, sum(deal_size) FILTER (WHERE deal_year >= 1999) AS late, sum(deal_size) FILTER (WHERE deal_year < 1997) AS early, bool_or(round_rank = 0) AS bool_flag FROM deals GROUP BY 1)", "deals")
 def m23(t: Tables) -> DataFrame:
     total = lambda test: F.sum(F.when(test, F.col("deal_size")))
