@@ -91,9 +91,45 @@ def test_fingerprints_see_whole_records(spark):
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, "[]"), (91, "{}"), (92, "3")], "conv_id long, body string")
     kinds = {r["conv_id"]: r["layout"] for r in C.layouts(df, "conv_id", "body").collect()}
-    assert [kinds[i] for i in range(6)] == ["messages", "messages", "from_value", "messages", None, None]
-    assert kinds[6] is None and kinds[7] == "instruction" and [kinds[i] for i in (90, 91, 92)] == [None] * 3
+    assert [kinds[i] for i in range(6)] == ["messages", "messages", "from_value", None, None, None]
+    assert kinds[6] is None and kinds[7] is None and [kinds[i] for i in (90, 91, 92)] == [None] * 3
     turns = [(r["conv_id"], r["role"], r["text"]) for r in C.record_turns(df, "conv_id", "body").orderBy("conv_id", "turn").collect()]
     assert turns[:2] == [(0, "user", None), (0, "assistant", "a")] and not [t for t in turns if t[0] in (1, 2)]
     paths = df.select("conv_id", C.record_paths(F.try_parse_json("body")).alias("p")).filter("conv_id = 6").first()["p"]
     assert sorted(paths) == ["prompt.text", "response"]
+
+
+def test_parts_and_system_fields(spark):
+    """Parts of a content are joined; a system field goes before a list; plain lists and empty objects are no turns."""
+    parts = [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b", 3, None, {"text": "c"}]
+    records = [
+        {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": []}, {"role": "user", "content": 5}], "system": "s"},
+        {"conversations": [{"from": "human", "value": "q"}], "system": None},
+        {"messages": [], "system": "alone"},
+        {"messages": ["a"], "prompt": "p", "completion": "c"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, body string")
+    got = {}
+    for r in C.record_turns(df, "conv_id", "body").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got[0] == [("system", "s"), ("user", "ab3c"), ("assistant", ""), ("user", "5")]
+    assert got[1] == [("user", "q")] and got[2] == [("system", "alone")]
+    assert got[3] == [("user", "p"), ("assistant", "c")]
+
+
+def test_loss_of_long_conversations_is_linear(spark):
+    """Four times the turns take far less than sixteen times as long, and the loss is read back whole."""
+    import time
+
+    def run(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 1, 'assistant', 'user') AS role", "repeat(concat('<|end|> é', id), 40) AS text")
+        made = C.render(C.table_turns(rows)).select(F.sha2(C.loss_text(F.col("formatted"), F.col("loss_spans")), 256).alias("h"))
+        start = time.time()
+        got = made.first()["h"]
+        seconds = time.time() - start
+        assert got == hashlib.sha256("".join(f"<|end|> é{k}" * 40 for k in range(1, n, 2)).encode()).hexdigest()
+        return seconds
+
+    run(500)
+    few, many = run(2_000), run(8_000)
+    assert many < 8 * max(few, 0.5)

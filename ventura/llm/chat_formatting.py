@@ -4,7 +4,8 @@ A record's nested field paths, restricted to those a layout knows, are sorted an
 path sets it accepts; the first layout, in the order of LAYOUTS, that accepts the record's hash gives the mapping. For a
 typed table the paths come from the DataFrame's schema when the plan is built; for records in a JSON column they are
 read from each record itself by Spark's variant functions, over all elements of its lists. An empty list has the path
-``a[]``; a layout whose list is empty is accepted and gives no turns. Everything is DataFrame functions.
+``a[]``, one of plain values ``a[]:``, an empty object ``a{}``; a layout whose list is empty is accepted and gives no turns
+but that of its ``system`` field. Everything is DataFrame functions.
 
 Rendered form of a turn: ``<|start|>role<|text|>text<|end|>``. Inside role and text a backslash is doubled and each
 control string of LITERALS gets a backslash after its first character, so no text can end or open a turn, and
@@ -52,8 +53,8 @@ class Layout:
     def accepted(self) -> list[str]:
         """Fingerprints of all path sets the mapping can read."""
         more = sorted(self.optional)
-        whole = [{*self.required, *c} for k in range(len(more) + 1) for c in combinations(more, k)]
-        return [fingerprint(p) for p in (*whole, self.lists) if p]
+        beside = [c for k in range(len(more) + 1) for c in combinations(more, k)]
+        return [fingerprint({*base, *c}) for base in (self.required, self.lists) if base for c in beside]
 
     @property
     def lists(self) -> set[str]:
@@ -80,9 +81,17 @@ def _renamed(old: str, new: str):
     return lambda t: F.struct(F.when(t["role"] == old, F.lit(new)).otherwise(t["role"]).alias("role"), t["text"].alias("text"))
 
 
+def _said(value: Column) -> Column:
+    """Text of a turn: a plain value, or a list of parts whose texts are joined; parts without text, such as images, say nothing."""
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(~F.schema_of_variant(p).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(p, "$", "string")))
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
 def _list_of(path: str, role: str, text: str):
     def turns(get) -> Column:
-        return F.transform(get(path, f"array<struct<{role}:string,{text}:string>>"), lambda t: F.struct(t[role].alias("role"), t[text].alias("text")))
+        listed = F.transform(get(path, f"array<struct<{role}:string,{text}:variant>>"), lambda t: F.struct(t[role].alias("role"), _said(t[text]).alias("text")))
+        return F.concat(_pairs(("system", get("system", "string"))), listed)
 
     return turns
 
@@ -91,8 +100,8 @@ SHARE_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 #: Rows that hold one turn each carry no list; ``turn_rows`` reads them.
 LAYOUTS = (
     Layout("turn_rows", ("conv_id", "role", "text", "turn"), None),
-    Layout("messages", ("messages[].content", "messages[].role"), _list_of("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), _list_of("conversations", "from", "value"), roles=SHARE_ROLES),
+    Layout("messages", ("messages[].content", "messages[].role"), _list_of("messages", "role", "content"), ("system",)),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), _list_of("conversations", "from", "value"), ("system",), SHARE_ROLES),
     Layout("instruction", ("instruction", "output"), _instruction, ("input", "system")),
     Layout("prompt_response", ("prompt", "response"), lambda get: _pairs(("system", get("system", "string")), ("user", get("prompt", "string")), ("assistant", get("response", "string"))), ("system",)),
     Layout("prompt_completion", ("completion", "prompt"), lambda get: _pairs(("user", get("prompt", "string")), ("assistant", get("completion", "string")))),
@@ -112,14 +121,14 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
 
 
 def record_paths(record: Column) -> Column:
-    """Distinct field paths of a variant record: ``a``, ``a.b``, ``a[].b`` and ``a[]`` for a list without objects; null if it is no object."""
+    """Distinct field paths of a variant record: ``a``, ``a.b``, ``a[].b``, and as above for what is empty or a list without objects; null if it is no object."""
     fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
 
     def below(entry: Column) -> Column:
         key, items, inner = entry["key"], F.try_variant_get(entry["value"], "$", "array<variant>"), fields(entry["value"])
         of_items = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(fields(x)), F.array().cast("array<string>")))))
-        listed = F.when(F.size(of_items) > 0, F.transform(of_items, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(F.concat(key, F.lit("[]"))))
-        nested = F.when(F.size(F.map_keys(inner)) > 0, F.transform(F.map_keys(inner), lambda k: F.concat(key, F.lit("."), k))).otherwise(F.array(key))
+        listed = F.when(F.size(of_items) > 0, F.transform(of_items, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(F.concat(key, F.when(F.size(items) > 0, "[]:").otherwise("[]"))))
+        nested = F.when(F.size(F.map_keys(inner)) > 0, F.transform(F.map_keys(inner), lambda k: F.concat(key, F.lit("."), k))).otherwise(F.array(F.concat(key, F.lit("{}"))))
         return F.when(items.isNotNull(), listed).when(inner.isNotNull(), nested).otherwise(F.array(key))
 
     return F.flatten(F.transform(F.map_entries(fields(record)), below))
@@ -185,7 +194,7 @@ def unescape(text: Column) -> Column:
 def render(turns: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted text and the loss mask as spans of code points (from 1).
 
-    Offsets are running sums over a conversation's rows; window and grouping share one shuffle on conv_id.
+    A span also tells its turn (from 0) and its start within it, so that no reader has to count from the text's beginning. Offsets are running sums over a conversation's rows; window and grouping share one shuffle on conv_id.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
@@ -193,7 +202,8 @@ def render(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("head") + F.length("body") + F.lit(len(END))
     rows = rows.select("conv_id", "role", "head", "body", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("at"), F.sum(size.cast("long")).over(order).alias("upto"))
-    span = F.when(F.col("role") == "assistant", F.struct((F.col("upto") - len(END) - F.length("body") + 1).cast("int").alias("start"), F.length("body").alias("length")))
+    start, within = F.col("upto") - len(END) - F.length("body") + 1, F.length("head") + 1
+    span = F.when(F.col("role") == "assistant", F.struct(start.cast("int").alias("start"), F.length("body").alias("length"), (F.col("at") - 1).cast("int").alias("turn"), within.alias("within")))
     piece = F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     return whole.select(
@@ -210,8 +220,10 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+    """The text under the loss mask, unescaped, in time linear in the text: it is split into turns once and each span read in its own."""
+    of = lambda turns: F.transform(spans, lambda s: unescape(F.substring(F.get(turns, s["turn"]), s["within"], s["length"])))
+    # a bound array, as a lambda would split the text again for every span
+    return F.array_join(F.get(F.transform(F.array(F.split(formatted, r"<\|end\|>")), of), F.lit(0)), "")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
