@@ -138,3 +138,27 @@ def test_promotion(spark):
 def test_promotion_without_examples(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, promote_pending(df).collect())) == sorted(rows)
+
+
+def test_scope_of_questions(spark):
+    from ventura.functions import scope as Q
+
+    tags, places = ["llm", "rag"], ["Paris", "Köln", "Rio de Janeiro"]
+    made = lambda names, needle: F.array(*(F.struct(F.lit(n).alias("name"), needle(F.lit(n)).alias("needle")) for n in names))
+    vocabulary = F.array(*(F.struct(F.lit(n).alias("name"), Q.needles(F.lit(n)).alias("needles")) for n in tags))
+    ask = lambda q: Q.scope_of(q, vocabulary, made(places, Q.place_needle), made(["France", "India"], Q.place_needle))
+    want = {
+        "language-model or language models?": ("category", "llm", None, None, False, False, False),
+        "ragtime": ("overview", None, None, None, False, False, False),
+        "RAG and LLM": ("category", "llm", None, None, False, False, False),
+        "rag in Köln, France": ("place", "rag", "Köln", None, False, False, False),
+        "rag in kölns": ("category", "rag", None, None, False, False, False),
+        "india, rio de janeiro": ("place", None, "Rio de Janeiro", None, False, False, False),
+        "India outside the US": ("place", None, None, None, True, False, False),
+        "hidden and growing": ("hidden", None, None, None, False, True, False),
+        "which AI sectors for rag": ("momentum", None, None, None, False, False, True),
+        "hot": ("momentum", None, None, None, False, False, False),
+        "": ("overview", None, None, None, False, False, False),
+        None: ("overview", None, None, None, False, False, False),
+    }
+    assert [tuple(v) for v in values(spark, ask, list(want))] == list(want.values())

@@ -1,4 +1,4 @@
-"""Fields, places and categories of imported firms, masking, and the taxonomy's last step, over values that meet every branch."""
+"""Fields, places and categories of imported firms, masking, the taxonomy's last step and the scope of questions, over values that meet every branch."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ventura.functions import masking as K
 from ventura.functions import places as L
 from ventura.functions import predicates as P
 from ventura.functions import rules as R
+from ventura.functions import scope as Q
 from ventura.operators import taxonomy as X
 from ventura.plans.aggregates import AI
 from ventura.plans.catalogue import plan
@@ -35,7 +36,7 @@ def p24(t: Tables) -> DataFrame:
 
 _LOCATIONS = (
     "San Francisco, CA", "London, United Kingdom", "Berlin, Germany", "Singapore", "Fresno, C.A.", "Remote", "Paris, Ile-de-France, FR", "Lyon, Gondor", " Usa ", "", "nan", "Vianden, Luxembourg", "Boston | Remote",
-    "Earth", "greater new  york area", "Fresno, TX", "x / Kenya", "São Paulo", "Köln, DE", "Washington, DC", "Berlin · Germany", "Piran, Slovenia", "Cambridge, MA, area", "X, 1A", "united states", "A,,", "parishes", "Tel Aviv-Yafo", "None", "x, Wales",
+    "Earth", "greater new  york area", "Fresno, TX", "x / Kenya", "São Paulo", "Köln, DE", "Washington, DC", "Berlin · Germany", "Piran, Slovenia", "Cambridge, MA, area", "X, 1A", "united states", "A,,", "parishes", "Tel Aviv-Yafo", "None", "x, Wales", "Jeju, Korea",
 )
 _LOCATED = f"SELECT c_custkey, CASE WHEN c_custkey % 41 > 0 THEN {_pick(_LOCATIONS, 'c_custkey')} END AS loc FROM customer"
 
@@ -223,3 +224,39 @@ SELECT id, bucket, ai_application, ai_subfield, CASE WHEN told OR ill THEN 'cate
   CASE WHEN told THEN l WHEN ill THEN (SELECT label FROM named) ELSE label END AS label, CASE WHEN told THEN k WHEN ill THEN (SELECT cluster FROM largest) ELSE cluster END AS cluster FROM met""", "companies")
 def m21(t: Tables) -> DataFrame:
     return X.promote_pending(_rows(t, _FIRMS, "companies"))
+
+
+_OPENINGS = (
+    "Which AI sectors are growing?", "promo firms in nation_4", "Are STANDARD firms hidden in Tokyo?", "firms outside the US, nation_7", "fastest-growing medium firms", "Top 10 categories in paris", "hot firms", "What is not in Pitchbook", "nothing here",
+    "large-scale x, boston", "on sale in Lima", "promotional nation_40", "what  ai industries in NATION_1", "small", "Atlantis non-US hidden growth", "bargains",
+)
+_QUESTIONS = f"SELECT conv_id, turn, CASE WHEN conv_id % 19 > 0 THEN concat({_pick(_OPENINGS, '(conv_id + turn)')}, ' ', coalesce(text, '')) END AS q FROM conversations"
+_WORDS = {"PROMO": ["on sale", "bargains"]}
+_MARKED = lambda v: f"(chr(1) || regexp_replace({v}, '([^a-z0-9])', chr(1) || '\\1' || chr(1), 'g') || chr(1))"
+_SAID = lambda words: f"len(list_filter({_list(words)}, lambda w: contains(ql, w))) > 0"
+
+
+@plan("D52_scope_resolver", f"""
+WITH tags AS (SELECT tag, count(*) AS n FROM firm_tags JOIN companies ON id = company_id WHERE {AI} GROUP BY 1 HAVING count(*) >= 60),
+  tagged AS (SELECT list(tag ORDER BY n DESC, tag) AS tags FROM tags),
+  cities AS (SELECT coalesce(list(city ORDER BY city), []) AS cities FROM (SELECT trim(city) AS city, count(*) AS n FROM ({_SEATED}) WHERE {AI} AND city <> '' GROUP BY city HAVING count(*) >= 40 ORDER BY n DESC, city LIMIT 120)),
+  lands AS (SELECT coalesce(list(country ORDER BY country), []) AS lands FROM (SELECT country FROM companies WHERE {AI} GROUP BY 1 HAVING count(*) >= 20)),
+  asked AS (SELECT conv_id, turn, ' ' || lower(trim(coalesce(q, ''))) || ' ' AS ql FROM ({_QUESTIONS})),
+  met AS (SELECT *, regexp_matches(ql, {_text('|'.join(Q.RANKING))}) AS ranking, {_MARKED('ql')} AS edged, {_SAID(Q.ABROAD)} AS non_us, {_SAID(Q.HIDDEN)} AS hidden_only, {_SAID(Q.MOMENTUM)} AS moving FROM asked),
+  found AS (SELECT *, CASE WHEN NOT ranking THEN list_filter(tags, lambda t: contains(edged, {_MARKED("lower(replace(t, '-', ' '))")}) OR contains(edged, {_MARKED('lower(t)')}) OR t = 'PROMO' AND (contains(edged, {_MARKED("'on sale'")}) OR contains(edged, {_MARKED("'bargains'")})))[1] END AS tag,
+    list_filter(cities, lambda c: contains(edged, {_MARKED('lower(c)')}))[1] AS city, list_filter(lands, lambda c: contains(edged, {_MARKED('lower(c)')}))[1] AS land FROM met, tagged, cities, lands)
+SELECT conv_id, turn, CASE WHEN ranking THEN 'momentum' WHEN non_us OR city IS NOT NULL OR land IS NOT NULL THEN 'place' WHEN tag IS NOT NULL THEN 'category' WHEN hidden_only THEN 'hidden' WHEN moving THEN 'momentum' ELSE 'overview' END AS kind,
+  tag, city, CASE WHEN city IS NULL AND NOT non_us THEN land END AS country, non_us, hidden_only, ranking FROM found""", "companies", "firm_tags")
+def d52(t: Tables) -> DataFrame:
+    """What the turns of conversations ask for, with the tags, cities and countries of many firms as vocabulary."""
+    firms = _rows(t, _SEATED, "companies").filter(P.is_ai())
+    many = lambda rows, key, least: rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    tags = many(t.firm_tags.join(firms.select(F.col("id").alias("company_id")), "company_id"), "tag", 60)
+    tags = tags.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("tag").alias("name"), Q.needles(F.col("tag"), Q.SYNONYMS | _WORDS).alias("needles")))).alias("tags"))
+    places = lambda rows, name: rows.agg(F.array_sort(F.collect_list(F.struct(F.trim(name).alias("name"), Q.place_needle(F.trim(name)).alias("needle")))).alias(name))
+    cities = places(many(firms.filter("city <> ''"), "city", 40).orderBy(F.desc("n"), "city").limit(120), "city")
+    countries = places(many(firms, "country", 20), "country")
+    # three rows, of as many values as tags, cities and countries of many firms there are
+    vocabulary = tags.join(F.broadcast(cities), how="cross").join(F.broadcast(countries), how="cross")
+    rows = _rows(t, _QUESTIONS, "conversations").join(F.broadcast(vocabulary), how="cross")
+    return rows.withColumn("s", Q.scope_of(F.col("q"), F.col("tags"), F.col("city"), F.col("country"))).select("conv_id", "turn", "s.*")

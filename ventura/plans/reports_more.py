@@ -252,16 +252,6 @@ def d51(t: Tables) -> DataFrame:
     return t.companies.filter("region = 'ASIA'").join(tagged, "id", "left_semi").groupBy(P.effective_year().alias("y")).agg(F.count("*").alias("n"), F.count_if(P.is_ai()).alias("ai"))
 
 
-@plan("D52_scope_resolver", """
-SELECT q, CASE WHEN regexp_matches(q, '(^|[^a-z])(hidden|unlisted)([^a-z]|$)') THEN 'hidden' WHEN regexp_matches(q, '(^|[^a-z])(fastest|momentum|growing)([^a-z]|$)') THEN 'momentum' ELSE 'all' END AS mode, CASE WHEN contains(q, 'asia') THEN 'ASIA' WHEN contains(q, 'europe') THEN 'EUROPE' END AS place
-FROM (SELECT unnest(['hidden firms in asia', 'fastest growing tags', 'europe firms', 'unhidden gems']) AS q)""")
-def d52(t: Tables) -> DataFrame:
-    q = F.col("q")
-    asked = t.spark.createDataFrame([("hidden firms in asia",), ("fastest growing tags",), ("europe firms",), ("unhidden gems",)], "q string")
-    mode = F.when(q.rlike(r"(?<![a-z])(hidden|unlisted)(?![a-z])"), "hidden").when(q.rlike(r"(?<![a-z])(fastest|momentum|growing)(?![a-z])"), "momentum").otherwise("all")
-    return asked.select("q", mode.alias("mode"), F.when(q.contains("asia"), "ASIA").when(q.contains("europe"), "EUROPE").alias("place"))
-
-
 @plan("D54_peak_share", "SELECT arg_max(deal_year, (share, deal_year)) AS peak_year FROM (SELECT deal_year, count(*) FILTER (WHERE status = 'F')::DOUBLE / count(*) AS share FROM deals GROUP BY 1 HAVING count(*) >= 100)", "deals")
 def d54(t: Tables) -> DataFrame:
     rows = t.deals.groupBy("deal_year").agg((F.count_if(F.col("status") == "F").cast("double") / F.count("*")).alias("share"), F.count("*").alias("n")).filter("n >= 100")
