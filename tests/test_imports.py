@@ -162,3 +162,15 @@ def test_scope_of_questions(spark):
         None: ("overview", None, None, None, False, False, False),
     }
     assert [tuple(v) for v in values(spark, ask, list(want))] == list(want.values())
+
+
+def test_equal_indexes_whatever_the_session_does_with_equal_keys(spark):
+    answer = '{"verdicts": [{"index": 1, "is_ai": true}, {"index": 0}, {"index": "1", "is_ai": false}, {"index": 0, "is_ai": true}, {"index": 3}, {"is_ai": true}]}'
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")  # Spark's own default
+    try:
+        rows = spark.createDataFrame([(answer, ["a", "b", "c"]), ("sorry", ["d"]), (None, ["e"])], "answer string, ids array<string>")
+        found = [[tuple(v) for v in r[0]] for r in rows.select(R.aligned_verdicts(F.col("answer"), F.col("ids"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", before)
+    assert found == [[("a", True), ("b", False)], [], []]

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ventura.functions.places import _bound
 from ventura.session import ship
 
 #: Subdomains and layers of repositories in order, the first whose words are met wins.
@@ -271,7 +272,10 @@ def aligned_verdicts(answer: Column, ids: Column) -> Column:
     equal indexes counts, ids without a verdict are left out, and so are verdicts without an id."""
     verdicts = F.from_json(answer, "verdicts array<struct<index: string, is_ai: boolean>>")["verdicts"]
     good = F.filter(F.coalesce(verdicts, F.array()), lambda v: v["index"].try_cast("int").isNotNull())
-    keyed = F.map_from_entries(F.transform(good, lambda v: F.struct(v["index"].try_cast("int"), F.coalesce(v["is_ai"], F.lit(False)))))
+    placed = F.array_sort(F.transform(good, lambda v, k: F.struct(v["index"].try_cast("int").alias("index"), k.alias("k"), F.coalesce(v["is_ai"], F.lit(False)).alias("is_ai"))))
+    # the last of equal indexes, so that the map has each key once whatever the session does with equal ones
+    last = _bound(placed, lambda rows: F.filter(rows, lambda v, k: ~v["index"].eqNullSafe(F.get(rows, k + 1)["index"])))
+    keyed = F.map_from_entries(F.transform(last, lambda v: F.struct(v["index"], v["is_ai"])))
     made = F.transform(ids, lambda i, k: F.struct(i.alias("id"), F.try_element_at(keyed, k).alias("is_ai")))
     return F.filter(made, lambda r: r["is_ai"].isNotNull())
 
