@@ -58,6 +58,34 @@ def test_tf_idf_by_hand(spark):
     assert {r["term"] for r in C.tf_idf(docs, min_df=2, max_df=0.5).collect()} == {"red"} and C.tf_idf(docs, min_df=3, max_df=1.0).count() == 0
 
 
+def test_tf_idf_of_random_texts_by_hand(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, rng.integers(0, 60)), 400)) for _ in range(300)]
+    rows = [(i % 280, "de" if i % 3 else "en", t) for i, t in enumerate(texts)]  # 20 ids in two rows
+    tf, df, total = {}, {}, {}
+    for i, _, text in rows:
+        w = text.split()
+        for t in (*w, *map(" ".join, zip(w, w[1:]))):
+            tf[i, t] = tf.get((i, t), 0) + 1
+    for (_, t), k in tf.items():
+        df[t], total[t] = df.get(t, 0) + 1, total.get(t, 0) + k
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    for features, low, high in ((3, 8, 0.35), (40, 5, 0.1), (5000, 2, 0.9), (9, 1, 0.02)):  # the most frequent terms are often too frequent
+        fit = sorted((t for t in df if low <= df[t] <= high * 280), key=lambda t: (-total[t], t))[:features]
+        raw = {(i, t): (1 + np.log(k)) * (1 + np.log(281 / (1 + df[t]))) for (i, t), k in tf.items() if t in set(fit)}
+        size = {}
+        for (i, _), v in raw.items():
+            size[i] = size.get(i, 0) + v * v
+        got = C.tf_idf(docs, features=features, min_df=low, max_df=high, carried=("lang",)).collect()
+        assert {(r["doc_id"], r["term"]): r["weight"] for r in got} == {k: pytest.approx(v / np.sqrt(size[k[0]])) for k, v in raw.items()}
+        assert all(len(r["lang"]) == (2 if r["doc_id"] < 20 else 1) for r in got) and len(got) == len(raw)
+
+
+def test_tf_idf_shuffles_no_document(spark):
+    docs = Tables(spark, DIR).documents
+    assert "Exchange hashpartitioning" not in C.tf_idf(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_clusters_at_the_stated_size(spark):
     docs = Tables(spark, DIR).documents
     found = {r["id"]: r["cluster"] for r in C.text_clusters(docs, 50).collect()}

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ventura.operators.joins import top_per_key
@@ -23,39 +24,145 @@ STOP = tuple(
 BATCH, STEPS, FIRST_ROWS, TRIES = 2048, 20, 6144, 5
 #: Rows a task compares with all centres at a time.
 CHUNK = 256
+#: Counters of hashed terms, words whose terms a task holds at a time, and terms it adds up before it hands them on.
+COUNTERS, WORDS, TERMS = 1 << 20, 1 << 17, 200_000
 
 
-def terms(text: Column, stop: tuple[str, ...] = STOP) -> Column:
-    """Words of two word characters and more but stop words, and pairs of neighbours among what is left."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), 1), lambda w: ~w.isin(*stop))
-    less = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+def words(text: Column, stop: tuple[str, ...] = STOP) -> Column:
+    """Words of two word characters and more but stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), 1), lambda w: ~w.isin(*stop))
 
 
-def tf_idf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 8000, min_df: int = 8, max_df: float = 0.35) -> DataFrame:
-    """id, term, weight: (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), each document's weights of length 1.
+def _documents(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...]) -> DataFrame:
+    """id, words (an empty one behind each text), and arrays of the carried columns; rows with equal ids are one document.
 
-    The vocabulary is the ``features`` terms of the most occurrences (ties: the smaller term) in at least ``min_df`` documents and at most
-    the share ``max_df`` of them. It is the only thing broadcast, and bounded by ``features``. Documents without such a
-    term have no row; rows with equal ids are one document.
+    One pass over the ids alone tells whether any is in several rows; if none is, no text is shuffled.
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count_distinct(id_col).alias("n"))
-    found = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))  # one row
-    vocabulary = found.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("total"), "term").limit(features)
-    weights = counted.join(F.broadcast(vocabulary.select("term", "df", "n")), "term")
-    weights = weights.withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return weights.select(F.col("id").alias(id_col), "term", (F.col("w") / length).alias("weight"))
+    rows = docs.select(F.col(id_col).alias("id"), F.concat(words(F.col(text_col)), F.array(F.lit(""))).alias("words"), *carried)
+    if docs.groupBy(id_col).agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
+        return rows.select("id", "words", *(F.array(c).alias(c) for c in carried))
+    return rows.groupBy("id").agg(F.flatten(F.collect_list("words")).alias("words"), *(F.collect_list(c).alias(c) for c in carried))
 
 
-def as_vectors(weights: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, list[str]]:
-    """id, at, x (places and values of a sparse vector), and the terms by place; at most ``features`` terms come to the driver."""
-    vocabulary = sorted(r["term"] for r in weights.select("term").distinct().collect())
-    places = weights.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
-    placed = weights.join(F.broadcast(places), "term").groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("v"))
-    return placed.select("id", F.col("v.place").alias("at"), F.col("v.weight").alias("x")), vocabulary
+def _terms(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row and row behind the last, and row and term of all words and pairs of neighbours in them, WORDS words at a time."""
+    lists = batch.column(batch.schema.get_field_index("words"))
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    flat, low = lists.flatten(), 0
+    while low < len(lists):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + WORDS, "right")) - 1)
+        w = flat.slice(ends[low], ends[high] - ends[low]).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(low, high), np.diff(ends[low : high + 1]))
+        there = w != ""
+        pair = there[:-1] & there[1:]
+        yield low, high, np.concatenate([row[there], row[:-1][pair]]), np.concatenate([w[there], w[:-1][pair] + (" " + w[1:][pair])])
+        low = high
+
+
+def _slots(terms: np.ndarray) -> np.ndarray:
+    return (pd.util.hash_array(terms, categorize=False) % COUNTERS).astype(np.int64)
+
+
+def _slot_totals(rows: DataFrame) -> np.ndarray:
+    """Occurrences by hash values of terms: tasks count in tables of COUNTERS numbers, and at most as many rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for *_, terms in _terms(batch):
+                n += np.bincount(_slots(terms), minlength=COUNTERS)
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], ["slot", "n"])
+
+    found = rows.select("words").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _counted(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """term, df, total of all terms whose slot is wanted; tasks add up before the shuffle, in tables of at most TERMS terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list[int]] = {}
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.int64()) for k in (0, 1))], ["term", "df", "total"])
+        for batch in batches:
+            for low, _, row, terms in _terms(batch):
+                keep = wanted[_slots(terms)]
+                code, names = pd.factorize(terms[keep])
+                key, tf = np.unique((row[keep] - low) * len(names) + code, return_counts=True)
+                code = key % max(len(names), 1)
+                for name, df, total in zip(names, np.bincount(code).tolist(), np.bincount(code, tf).astype(np.int64).tolist()):
+                    had = sums.setdefault(name, [0, 0])
+                    had[0] += df
+                    had[1] += total
+                if len(sums) > TERMS:
+                    yield made()
+                    sums.clear()
+        yield made()
+
+    return rows.select("words").mapInArrow(run, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def _vocabulary(rows: DataFrame, n: int, features: int, min_df: int, max_df: float) -> dict[str, int]:
+    """df of the terms of the vocabulary, in their order.
+
+    Only terms in slots of at least ``least`` occurrences are counted one by one: another term has fewer. So the ``features`` most
+    occurring ones are found when the last of them has ``least`` or more, or when ``least`` is so low that it keeps out none.
+    """
+    totals = _slot_totals(rows)
+    floor, most = max(min_df, 1), min(3 * features // 2, COUNTERS)
+    least = max(floor, int(np.partition(totals, COUNTERS - most)[COUNTERS - most]))
+    while True:
+        fit = _counted(rows, totals >= least).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        found = fit.orderBy(F.desc("total"), "term").limit(features).collect()
+        full = len(found) == features
+        if least <= floor or full and found[-1]["total"] >= least:
+            return {r["term"]: r["df"] for r in sorted(found, key=lambda r: r["term"])}
+        least = max(floor, found[-1]["total"] if full else least // 16)
+
+
+def tf_idf_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 8000, min_df: int = 8, max_df: float = 0.35, carried: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """id, at, x (places and values of a sparse vector), arrays of the carried columns; and the terms by place.
+
+    Values are (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), each document's of length 1. The vocabulary is the ``features`` terms of the
+    most occurrences (ties: the smaller term) in at least ``min_df`` documents and at most the share ``max_df`` of them. It goes through
+    the driver to all tasks, and is bounded by ``features``. Documents without such a term have no row; rows with equal ids are
+    one document. A document's terms are counted where it stands: its vector is made without a shuffle.
+    """
+    ship(docs.sparkSession)
+    rows = _documents(docs, id_col, text_col, carried)
+    n = docs.agg(F.count_distinct(id_col)).first()[0]
+    df = _vocabulary(rows, n, features, min_df, max_df)
+    vocabulary, idf = list(df), 1 + np.log((1 + n) / (1 + np.array(list(df.values()), np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pd.Index(vocabulary, dtype=object)
+        for batch in batches:
+            for low, high, row, terms in _terms(batch):
+                place = index.get_indexer(pd.Index(terms, dtype=object))
+                known = place >= 0
+                key, tf = np.unique((row[known] - low) * max(len(index), 1) + place[known], return_counts=True)
+                row, place = np.divmod(key, max(len(index), 1))
+                x = (1 + np.log(tf)) * idf[place]
+                x /= np.sqrt(np.bincount(row, x * x, high - low))[row]
+                size = np.bincount(row, minlength=high - low)
+                met = np.flatnonzero(size)
+                ends = pa.array(np.concatenate([[0], np.cumsum(size[met])]).astype(np.int32))
+                kept = batch.take(pa.array(low + met))
+                arrays = [kept.column("id"), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x)), *(kept.column(c) for c in carried)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "at", "x", *carried])
+
+    kinds = "".join(f", {c} array<{docs.schema[c].dataType.simpleString()}>" for c in carried)
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, at array<int>, x array<double>{kinds}"), vocabulary
+
+
+def tf_idf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = 8000, min_df: int = 8, max_df: float = 0.35, carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, term, weight, and arrays of the carried columns: a row for each entry of ``tf_idf_vectors``."""
+    vectors, vocabulary = tf_idf_vectors(docs, id_col, text_col, features, min_df, max_df, carried)
+    places = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+    entries = vectors.select("id", *carried, F.explode(F.arrays_zip("at", "x")).alias("e")).select("id", *carried, F.col("e.at").alias("place"), F.col("e.x").alias("weight"))
+    return entries.join(F.broadcast(places), "place").select(F.col("id").alias(id_col), "term", "weight", *carried)
 
 
 def dense_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -189,7 +296,7 @@ def representatives(assigned: DataFrame, count: int = 8) -> DataFrame:
 
 def text_clusters(docs: DataFrame, k: int = 50, features: int = 8000, min_df: int = 8, max_df: float = 0.35, seed: int = 0) -> DataFrame:
     """id, cluster, distance of all documents that have a term of the vocabulary."""
-    vectors, vocabulary = as_vectors(tf_idf(docs, features=features, min_df=min_df, max_df=max_df))
+    vectors, vocabulary = tf_idf_vectors(docs, features=features, min_df=min_df, max_df=max_df)
     path = f"{shared_dir(docs.sparkSession)}/ventura-vectors-{uuid.uuid4().hex}"
     vectors.write.parquet(path)  # read several times below
     vectors = docs.sparkSession.read.parquet(path)
