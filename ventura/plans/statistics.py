@@ -200,7 +200,8 @@ m AS (SELECT lang, term, sum(w) / any_value(docs) AS mean FROM y JOIN documents
 SELECT lang, term, round(mean, 9) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(mean, 9) DESC, term) <= 10""".replace(", k AS", "WITH k AS", 1).replace("__STOP__", "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP) + "]"))
 def m20(t: Tables) -> DataFrame:
     """The ten terms of the largest mean TF-IDF in each language, a language standing for a cluster."""
-    weights = C.tf_idf(t.documents).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.sum("weight").alias("total"))
+    weights = C.tf_idf(t.documents, carried=("lang",)).filter("doc_id IS NOT NULL")
+    weights = weights.select(F.explode("lang").alias("lang"), "term", "weight").groupBy("lang", "term").agg(F.sum("weight").alias("total"))
     sizes = t.documents.groupBy("lang").agg(F.count("*").alias("docs"))
     means = weights.join(F.broadcast(sizes), "lang").select("lang", "term", F.round(F.col("total") / F.col("docs"), 9).alias("mean"))
     return top_per_key(means, ["lang"], [F.desc("mean"), F.col("term")], 10)
