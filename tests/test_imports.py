@@ -44,6 +44,12 @@ def test_profile_countries(spark):
     assert [tuple(v) for v in values(spark, G.country_of, list(want))] == list(want.values())
 
 
+def test_profile_steps_are_computed_once(spark):
+    rows = spark.createDataFrame([("Berlin",)], "t string").withColumn("at", G.country_of(F.col("t"))).select("at.country", "at.confidence")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\b") == 1  # the edges of a text's words, not once for each city and answer
+
+
 def test_positions(spark):
     rows = [("Germany", "Berlin"), ("Germany", "nowhere"), ("germany", "BERLIN"), ("UK", "paris"), (None, "sf"), ("x", None), (None, None)]
     made = spark.createDataFrame(rows, "land string, city string").select(G.position_of(F.col("land"), F.col("city")).alias("v")).collect()

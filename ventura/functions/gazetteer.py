@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ventura.functions.places import COUNTRIES, _lookup, known_country, normalize_country
+from ventura.functions.places import COUNTRIES, _bound, _lookup, known_country, normalize_country
 
 #: Three-letter codes of countries.
 ISO3 = {
@@ -156,25 +156,25 @@ def _edged_word(words: str) -> str:
 
 def country_of(text: Column) -> Column:
     """struct(country, confidence) of a profile's location: .95 for a country's name, .85 for a listed city, .75 for one among other
-    words, .8 for a state at the end, .9 for a country at the end, as far as it is known in lower case; null and 0 for anything else."""
-    raw = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    low = F.lower(raw)
-    made = lambda country, sure: F.struct(country.alias("country"), F.lit(sure).alias("confidence"))
-    parts = F.filter(_pieces(low, "[,/|·•]"), lambda p: p != "")
-    listed = F.get(F.filter(F.transform(parts, lambda p: _lookup(CITY_COUNTRY, p)), lambda c: c.isNotNull()), F.lit(0))
+    words, .8 for a state at the end, .9 for a country at the end, as far as it is known in lower case; null and 0 for anything else.
+
+    Each step is computed once, and only where those before it told nothing: a name that a lambda uses stands for a value, not for its rule.
+    """
     cities = F.array(*(F.struct(F.lit(_edged_word(city)).alias("city"), F.lit(country).alias("country")) for city, country in CITY_COUNTRY.items()))
-    edged = _edged(low)
-    among = F.get(F.filter(cities, lambda c: F.contains(edged, c["city"])), F.lit(0))["country"]
-    state = (F.size(parts) > 1) & F.element_at(parts, -1).isin(*STATES, DISTRICT)
-    trailing = F.get(F.filter(F.transform(F.reverse(parts), known_country), lambda c: c.isNotNull()), F.lit(0))
-    return (
-        F.when(known_country(raw).isNotNull(), made(known_country(raw), 0.95))
-        .when(listed.isNotNull(), made(listed, 0.85))
-        .when(among.isNotNull(), made(among, 0.75))
-        .when(state, made(F.lit("United States"), 0.8))
-        .when(trailing.isNotNull(), made(trailing, 0.9))
-        .otherwise(made(F.lit(None).cast("string"), 0.0))
-    )
+    made = lambda country, sure: F.struct(country.cast("string").alias("country"), F.lit(sure).alias("confidence"))
+    first = lambda found: F.get(F.filter(found, lambda c: c.isNotNull()), F.lit(0))
+    told = lambda country, sure, rest: _bound(country, lambda c: F.when(c.isNotNull(), made(c, sure)).otherwise(rest()))
+
+    def of(raw: Column, low: Column, parts: Column) -> Column:
+        state = F.when((F.size(parts) > 1) & F.element_at(parts, -1).isin(*STATES, DISTRICT), F.lit("United States"))
+        among = _bound(_edged(low), lambda edged: F.get(F.filter(cities, lambda c: F.contains(edged, c["city"])), F.lit(0))["country"])
+        trailing = lambda: told(first(F.transform(F.reverse(parts), known_country)), 0.9, lambda: made(F.lit(None), 0.0))
+        listed = lambda: told(first(F.transform(parts, lambda p: _lookup(CITY_COUNTRY, p))), 0.85, lambda: told(among, 0.75, lambda: told(state, 0.8, trailing)))
+        return told(known_country(raw), 0.95, listed)
+
+    pieces = lambda low: F.filter(_pieces(low, "[,/|·•]"), lambda p: p != "")
+    raw = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return _bound(raw, lambda raw: _bound(F.lower(raw), lambda low: _bound(pieces(low), lambda parts: of(raw, low, parts))))
 
 
 def _positions(table: dict[str, tuple[float, float]]) -> Column:
