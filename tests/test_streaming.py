@@ -127,3 +127,14 @@ def test_steps(results, want):
         state = H.after(state, k * D, {"E": "error", "S": "success", "Z": "zero_result"}[r])
     assert (state.status, state.failures) == want
     assert H.after(state, 10_000 * D, "error").runs == 1
+
+
+def test_cooldown_of_a_week_on_both_sides(spark):
+    """Success a week before the date, an hour less, never; a later failure changes nothing."""
+    import types
+
+    from ventura.plans.streams import r04
+
+    rows = [(1, "2024-01-24 00:00:00", "success"), (2, "2024-01-24 01:00:00", "success"), (3, "2024-01-30 00:00:00", "error"), (1, "2024-01-30 00:00:00", "error"), (2, "2023-01-01 00:00:00", "success")]
+    runs = spark.createDataFrame(rows, "site long, at string, status string").select("site", F.col("at").cast("timestamp_ntz").alias("finished_at"), "status")
+    assert {r["site"] for r in r04(types.SimpleNamespace(runs=runs)).collect()} == {1, 3}
