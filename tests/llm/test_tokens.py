@@ -140,3 +140,23 @@ def test_packing_tells_colliding_words_apart():
         texts = [*order, " ".join(order), f"{order[1]} x {order[0]}"]
         for text, ids in zip(texts, [*own.encode(texts[:1]), *own.encode(texts[1:])]):
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_memo_of_chunks_stays_small():
+    """Every worker keeps up to a million chunks: at most 28 bytes each beside their ids."""
+    from ventura.llm.memo import HashMemo
+
+    memo, rng = HashMemo(), np.random.default_rng(2)
+    want = {}
+    for _ in range(5):
+        keys = np.unique(rng.integers(0, 1 << 62, 1000).astype(np.uint64))
+        keys = keys[memo.missing(keys)]
+        size = rng.integers(0, 4, len(keys))
+        flat = rng.integers(0, 49_000, size.sum()).astype(np.uint32)
+        memo.add(keys, keys + np.uint64(1), size, flat)
+        want |= dict(zip(keys.tolist(), map(np.ndarray.tolist, np.split(flat, np.cumsum(size)[:-1]))))
+    keys = np.array(sorted(want), np.uint64)
+    at = rng.integers(0, len(keys), 5000)
+    ids, ends, check = memo.gather(keys, at)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [want[k] for k in keys[at].tolist()] and (check == keys[at] + np.uint64(1)).all()
+    assert sum(a.nbytes for a in (memo.keys, memo.check, memo.slot, memo.start, memo.size)) <= 28 * len(memo)

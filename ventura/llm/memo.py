@@ -41,8 +41,8 @@ class HashMemo:
     """Id sequences by 64-bit hash, with a second hash as check: sorted keys found by binary search, and one flat pool."""
 
     def __init__(self) -> None:
-        self.keys, self.check, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.check, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -56,16 +56,16 @@ class HashMemo:
     def add(self, keys: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         """New keys, sorted, their checks, and their ids end to end."""
         at = np.searchsorted(self.keys, keys)
-        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(keys)))
+        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
         self.keys, self.check = np.insert(self.keys, at, keys), np.insert(self.check, at, check)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, flat])
+        self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(size) - size).astype(np.int32)])
+        self.size, self.pool = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.pool, flat])
 
     def gather(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the known keys[at], end to end, the number of ids up to each, and each one's check."""
         place = np.searchsorted(self.keys, keys)
         slot = self.slot[place][at]
-        size = self.size[slot]
+        size = self.size[slot].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, ends, self.check[place][at]

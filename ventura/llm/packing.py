@@ -37,6 +37,8 @@ SENTENCE_CUT, HARD_CUT, HARD_STEP, SEQUENCE_COST = 8.0, 96.0, 256, 1.0
 #: Windows of a power of two below this are left to the end of a partition.
 LEAST_POWER = 256
 BLOCK = 1 << 20
+#: Documents encoded at a time: what their words need stands beside the memos in every worker.
+ROWS = 512
 CACHED_CHUNKS, CACHED_PIECES = 1_000_000, 300_000
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -247,8 +249,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pd.DataFrame(rows, columns=columns)
 
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.iloc[lo : lo + 2048]
+            for lo in range(0, len(batch), ROWS):
+                part = batch.iloc[lo : lo + ROWS]
                 for doc_id, ids in zip(part["doc_id"].tolist(), own.encode(["" if t is None else t for t in part["text"]])):
                     packer.add(doc_id, np.append(ids, np.uint32(end_id)))
                 if packer.size >= BLOCK and (rows := packer.flush(False)):
