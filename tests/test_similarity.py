@@ -116,6 +116,35 @@ def test_candidates_do_not_grow_with_the_square_of_a_block(spark):
     assert numbered < 4000 * 3999 / 2 / 10, numbered
 
 
+@pytest.mark.parametrize("one_table", [True, False])
+def test_numbered_names_meet_by_common_subsequences_alone(spark, one_table):
+    """Keys of numbered names grow with the table, and rows of their join with the result: both were quadratic by bigrams."""
+    for count in (1000, 4000):
+        df = spark.createDataFrame([("c", f"{k * 37 + 5:09d} customer") for k in range(count)], "block string, name string")
+        other = df if one_table else df.select("block", F.replace("name", F.lit("customer"), F.lit("custommer")).alias("name"))
+        given, asked = S._lengths(df), S._lengths(other)
+        assert S._met_by(18, asked, 0.95)[1] == ()  # none by bigrams
+        keys = S._subsequences(df, 0.95, asked, True, one_table), S._subsequences(other, 0.95, given, False, one_table)
+        met = keys[0].alias("x").join(keys[1].alias("y"), "key")
+        assert met.count() <= 2 * count and keys[0].count() <= 20 * count and keys[1].count() <= 20 * count
+        assert S.similar_names(df, None if one_table else other, 0.95).count() == (0 if one_table else count)
+
+
+def test_names_that_meet_either_way_equal_brute_force(spark):
+    """Lengths on either side of the limit of subsequences, two tables of different lengths, characters repeated."""
+    rnd = random.Random(11)
+    left = [f"{rnd.randrange(10**k):0{k}d} {'aab' * j}" for k in (3, 9, 12) for j in range(1, 14) for _ in range(8)]
+    right = [S.token_sorted("".join(c for c in n if rnd.random() > 0.03) + rnd.choice(["", "b", "aa"])) for n in left]
+    frames = [spark.createDataFrame([("c", n) for n in side], "block string, name string") for side in (left, right)]
+    for threshold in (0.9, 0.95, 1.0):
+        pairs = [(x, y) for x in sorted({*left}) for y in sorted({*right})]
+        near = S.ratios(*map(list, zip(*pairs))) >= threshold
+        got = sorted((r["left"], r["right"]) for r in S.similar_names(*frames, threshold).collect())
+        assert got == [p for p, n in zip(pairs, near) if n] and len(got) > 5
+        ways = {S.by_subsequences(len(x), len(y), threshold) for x, y in got}
+        assert ways == ({True} if threshold == 1 else {True, False})
+
+
 def test_domain_confidence(spark):
     rows = [("Scale AI", "scale.com", 0, 0.92), ("Scale", "scaleai.com", 1, 0.77), ("Acme", "zzz.com", 0, None), ("Anthropicc", "anthropick.com", 0, 0.63), ("A", "abcdefgh.com", 0, None), ("!!", "x.com", 0, None)]
     df = spark.createDataFrame(rows, "name string, domain string, rank int, want double")

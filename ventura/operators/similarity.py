@@ -9,6 +9,12 @@ largest for which a name of that length has at most KEYS keys: up to five bigram
 by a part of all names that does not shrink as the table grows. Lengths and 64-bit bitmaps of the bigrams rule out more
 within the join; what is left is compared exactly.
 
+Numbered names share nearly all their bigrams, and the pairs that share a key then grow with the square of the table. So where
+the threshold leaves few characters to spare, names meet by what they have in common instead: names of n and m characters
+with LCS of at least L share a subsequence of L characters, and each has C(n, L) and C(m, L) of these. Keys are the lengths with
+such a subsequence; names that share one are similar, so the rows of the join follow those of the result. A pair of lengths goes
+this way if neither name has more than SUBSEQUENCES, and only lengths that occur are taken; the others meet by bigrams.
+
 The order comes from counts of hashed bigrams in a table of fixed size. Names are joined as distinct values: however many rows
 have a name, it is one node; membership is for the caller to join back.
 """
@@ -34,6 +40,8 @@ from ventura.session import ship
 COUNTERS, LEAST, CHUNK = 1 << 16, 0.8, 2048
 #: Most bigrams in a key, and most keys of a name for which more than two are taken.
 WIDEST_KEY, KEYS = 5, 130
+#: Most subsequences of a name that are keys for one length of the other.
+SUBSEQUENCES = 300
 _NO_X, _NO_Y = 0xFFFFFFFF, 0xFFFFFFFE  # no characters
 
 
@@ -140,6 +148,25 @@ def key_sizes(n: int, threshold: float) -> tuple[tuple[int, int], ...]:
     return tuple((k, spoilt + k) for k in sorted({key_size(m, threshold) for m in range(max(1, shortest), n + 1)}))
 
 
+def by_subsequences(n: int, m: int, threshold: float) -> bool:
+    """Whether names of n and m characters meet by common subsequences; else they meet by bigrams."""
+    least = least_lcs(n, m, threshold)
+    return least <= min(n, m) and max(math.comb(n, least), math.comb(m, least)) <= SUBSEQUENCES
+
+
+@lru_cache(maxsize=None)
+def _met_by(n: int, lengths: tuple[int, ...], threshold: float) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+    """Of the ``lengths`` of other names, those that a name of n characters meets by subsequences, and its key sizes for the rest."""
+    near = [m for m in lengths if least_lcs(n, m, threshold) <= min(n, m)]
+    sizes = {key_size(min(n, m), threshold) for m in near if not by_subsequences(n, m, threshold)}
+    return tuple(m for m in near if by_subsequences(n, m, threshold)), tuple(k for k in key_sizes(n, threshold) if k[0] in sizes)
+
+
+def _lengths(names: DataFrame) -> tuple[int, ...]:
+    """Lengths that occur: as many rows as there are different ones come to the driver."""
+    return tuple(sorted(r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect()))
+
+
 def _bigrams(name: str) -> list[tuple[str, int]]:
     """Numbered bigrams, with marks at both ends."""
     seen: Counter[str] = Counter()
@@ -173,20 +200,26 @@ def _order(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _keys(names: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
-    """A row per name (block, name) and key: the sets of its prefix, as 64-bit numbers with the block in them."""
+def _keys(names: DataFrame, order: np.ndarray, threshold: float, lengths: tuple[int, ...] | None = None) -> DataFrame:
+    """A row per name (block, name) and key: the sets of its prefix, as 64-bit numbers with the block in them.
+
+    With the ``lengths`` of the names to meet, names that meet none of them by bigrams have no row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for block, name in zip(batch["block"], batch["name"]):
+                kinds = key_sizes(len(name), threshold) if lengths is None else _met_by(len(name), lengths, threshold)[1]
+                if not kinds:
+                    continue
                 grams = _bigrams(name)
                 bits = 0
                 for g in grams:
                     bits |= 1 << (_hash(*g, "bit") & 63)
                 grams.sort(key=lambda g: (order[_hash(*g) % COUNTERS], g))
                 bits -= (bits >> 63) << 64
-                for size, prefix in key_sizes(len(name), threshold):
+                for size, prefix in kinds:
                     for chosen in combinations(grams[:prefix], size):
                         made = "\x1f".join([block, *(f"{g}{k}" for g, k in chosen)]).encode("utf-8", "surrogatepass")
                         out.append((int.from_bytes(blake2b(made, digest_size=8).digest(), "big", signed=True), block, name, len(name), bits))
@@ -195,6 +228,31 @@ def _keys(names: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
     return names.select("block", "name").mapInPandas(run, "key long, block string, name string, n int, bits long")
 
 
+def _subsequences(names: DataFrame, threshold: float, lengths: tuple[int, ...], first: bool, one_table: bool) -> DataFrame:
+    """A row per name (block, name) and key: the lengths of both sides and a subsequence that a similar name has as well.
+
+    In ``one_table`` the shorter name of a pair is of the ``first`` side and the longer one of the other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for block, name in zip(batch["block"], batch["name"]):
+                n, made = len(name), {}
+                for m in _met_by(n, lengths, threshold)[0]:
+                    if one_table and (n > m if first else n < m):
+                        continue
+                    least, both = least_lcs(n, m, threshold), (n, m) if first else (m, n)
+                    if least not in made:
+                        made[least] = set(combinations(name, least))
+                    for chosen in made[least]:
+                        key = f"{both}{block}\x1f{''.join(chosen)}".encode("utf-8", "surrogatepass")
+                        out.append((int.from_bytes(blake2b(key, digest_size=8).digest(), "big", signed=True), block, name))
+            yield pd.DataFrame(out, columns=["key", "block", "name"])
+
+    return names.select("block", "name").mapInPandas(run, "key long, block string, name string")
+
+
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.assign(similarity=ratios(batch["left"].tolist(), batch["right"].tolist()))
@@ -210,15 +268,28 @@ def similar_names(left: DataFrame, right: DataFrame | None = None, threshold: fl
         raise ValueError(f"a threshold from {LEAST} to 1 is needed, as shorter prefixes would miss pairs below")
     ship(left.sparkSession)
     named = lambda df: df.select(F.col("block").cast("string").alias("block"), F.col("name").cast("string").alias("name")).filter("block IS NOT NULL AND name <> ''").distinct()
-    a = named(left)
-    order = _order(a if right is None else a.unionByName(named(right)))
-    x = _keys(a, order, threshold)
-    y = x if right is None else _keys(named(right), order, threshold)
-    x, y = x.alias("x"), y.alias("y")
-    lcs = f"ceil({threshold!r}D * (x.n + y.n) / 2 - 1e-9)"
-    near = f"{lcs} <= least(x.n, y.n) AND bit_count(x.bits & ~y.bits) <= 2 * x.n + y.n - 3 * {lcs} AND bit_count(y.bits & ~x.bits) <= 2 * y.n + x.n - 3 * {lcs}"
-    on = F.expr(f"x.key = y.key AND x.block = y.block AND {near}" + (" AND x.name < y.name" if right is None else ""))
-    pairs = x.join(y.hint("merge"), on).select("x.block", F.col("x.name").alias("left"), F.col("y.name").alias("right")).distinct()
+    a, b = named(left), named(left if right is None else right)
+    of_a = _lengths(a)
+    of_b = of_a if right is None else _lengths(b)
+    found = []
+    if any(_met_by(n, of_b, threshold)[0] for n in of_a):
+        x, y = _subsequences(a, threshold, of_b, True, right is None).alias("x"), _subsequences(b, threshold, of_a, False, right is None).alias("y")
+        own = " AND (length(x.name) < length(y.name) OR x.name < y.name)" if right is None else ""
+        met = x.join(y.hint("merge"), F.expr("x.key = y.key AND x.block = y.block" + own))
+        sides = (F.col("x.name"), F.col("y.name")) if right is not None else (F.least("x.name", "y.name"), F.greatest("x.name", "y.name"))
+        found.append(met.select("x.block", sides[0].alias("left"), sides[1].alias("right")))
+    if any(_met_by(n, of_b, threshold)[1] for n in of_a):
+        order = _order(a if right is None else a.unionByName(b))
+        x = _keys(a, order, threshold, of_b)
+        y = x if right is None else _keys(b, order, threshold, of_a)
+        x, y = x.alias("x"), y.alias("y")
+        lcs = f"ceil({threshold!r}D * (x.n + y.n) / 2 - 1e-9)"
+        near = f"{lcs} <= least(x.n, y.n) AND bit_count(x.bits & ~y.bits) <= 2 * x.n + y.n - 3 * {lcs} AND bit_count(y.bits & ~x.bits) <= 2 * y.n + x.n - 3 * {lcs}"
+        on = F.expr(f"x.key = y.key AND x.block = y.block AND {near}" + (" AND x.name < y.name" if right is None else ""))
+        found.append(x.join(y.hint("merge"), on).select("x.block", F.col("x.name").alias("left"), F.col("y.name").alias("right")))
+    if not found:
+        return a.select("block", F.col("name").alias("left"), F.col("name").alias("right"), F.lit(None).cast("double").alias("similarity")).filter("false")
+    pairs = (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct()
     return pairs.mapInPandas(_compared, "block string, left string, right string, similarity double").filter(F.col("similarity") >= threshold)
 
 
