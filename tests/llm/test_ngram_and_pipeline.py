@@ -157,3 +157,60 @@ def test_components_of_stars_and_loose_ends(spark):
     got = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {500: 1} | {k: 1 for k in range(2, 90)} | {700 + k: 600 for k in range(50)} | {900: 600, 950: 600, 2001: 2000, 3001: 3000, 3002: 3000, 3003: 3000}
     assert got == want
+
+
+def near(seed, first, count, words, edits, shared=()):
+    """Texts of one base with up to ``edits`` words replaced, some of them by one of the words ``shared``, or cut off."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(count):
+        own = [f"n{first}w{k}" for k in range(words)]
+        for k in rng.sample(range(words), rng.randint(0, edits)):
+            own[k] = rng.choice(shared) if shared and rng.random() < 0.5 else f"e{rng.randrange(10**9)}"
+        out.append((first + i, " ".join(own[: words - rng.choice((0, 0, 0, 1, 3))])))
+    return out
+
+
+def test_links_of_all_sizes_and_thresholds(spark):
+    """Short and long texts, families with many members on either side of the threshold, and equal sets; thresholds with parts and without."""
+    rng = random.Random(31)
+    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    for f, words in enumerate((5, 6, 9, 12, 16, 25, 40)):
+        texts += near(f, 1000 * (f + 1), 14, words, 2)
+    texts += near(40, 20000, 80, 90, 9, ["x", "y"]) + near(41, 30000, 60, 250, 20, [f"s{k}" for k in range(6)])
+    for n, t in ((3, Fraction(9, 10)), (3, Fraction(1, 2)), (2, Fraction(4, 5))):
+        assert found(J.link_components(frame(spark, texts), n, t)) == brute(texts, n, t), (n, t)
+
+
+def most_paired(spark, texts):
+    """Most rows that one join, or one generator of pairs, makes for these texts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    J.link_components(frame(spark, texts), 3, Fraction(9, 10)).collect()
+    made = {}
+    runs = store.executionsList()
+    for run in (runs.apply(k).executionId() for k in range(runs.size())):
+        if run < before:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                value = values.get(metric.accumulatorId())
+                pairs = "Join" in node.name() or re.search(r"explode\(([xy]s|delta)", node.desc())
+                if pairs and metric.name() == "number of output rows" and value.isDefined():
+                    name = re.sub(r"#\d+L?", "", node.desc())
+                    made[name] = made.get(name, 0) + int(value.get().replace(",", ""))
+    return max(v for k, v in made.items() if "explode(xs)" in k or "explode(" not in k)
+
+
+def test_phrases_of_unrelated_texts_make_no_pairs(spark):
+    """Texts of few words share most phrases; their pairs are no more for it."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(80))) for i in range(1000)]
+    assert most_paired(spark, texts) <= 3000
+
+
+def test_pairs_of_a_family_grow_with_it(spark):
+    """Near copies of which many don't link with any other: four times as many make few times as many rows."""
+    few, many = (most_paired(spark, near(5, 0, count, 400, 20)) for count in (150, 600))
+    assert many <= 8 * few

@@ -3,16 +3,20 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams. Links (Jaccard >= threshold) are found exactly:
 
 1. Equal sets are one node, named by the smallest id, so a group of copies never meets itself.
-2. Shingles have one global order, rare before frequent: classes of document frequency, from a sketch of 2**SKETCH_BITS
-   counters over all documents (a fixed size), then the hash. Whatever the sketch says it is one order for all, so the
-   prefix filter is exact: of two linked sets, the first |x| - ceil(t|x|) + 1 shingles of each share one. Prefixes make
-   inverted lists; those of one entry go.
-3. Leaders, a linear number of comparisons. In each list and size class the entry with the fewest rarer shingles leads, and
+2. A set is cut into m parts by ranges of the hash, m being more than the d shingles that it and a linked one can differ in, so
+   two linked sets have at least m - d parts in common, each of several shingles: unrelated texts don't share one by a phrase that
+   both use, however many texts there are. A part is one token. Tokens have one order, parts of many shingles before those of few, so
+   the prefix filter is exact: the first d + 1 tokens of each of two linked sets share one. m is fixed for a level, some size
+   classes in a row; a set of the lowest class of a level also has tokens by the level below. Below PARTS_FROM a part would
+   hold too few shingles. There the tokens are the shingles, rare before frequent: classes of document frequency, from a sketch of
+   2**SKETCH_BITS counters over all documents (a fixed size), then the hash; the first |x| - ceil(t|x|) + 1 of each share one.
+   Tokens of prefixes make inverted lists; those of one entry go.
+3. Leaders, a linear number of comparisons. In each list and size class the entry with the fewest tokens before it leads, and
    in lists of LED_ROWS and more the entry of the smallest hash does too. Each node is compared with one leader of either kind, the one it shares most lists
    with. A comparison also gives the node's difference from its leader, the shingles that only one of them has.
 4. What is left are lists with more than one component. Lists of more than BLOCK_ROWS are cut into blocks by size class
    (ratio 1/t) and position (POSITION_BLOCK); a block meets blocks of its own and the next size class alone, skips those at
-   positions where too few shingles are left, and blocks of one component skip each other. Pairs must pass sizes, positions,
+   positions where too few tokens are left. Entries of a list's most frequent component skip each other. Pairs must pass sizes, positions,
    parity bitmaps (they bound how many shingles two sets differ in) and the triangle inequality: two nodes whose differences
    from a common leader are too far apart in number cannot link. If more pairs than nodes are left, the most promising pair
    of every two components is compared first, and then those whose components that has not joined.
@@ -36,13 +40,15 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ventura.llm.common import cut, free, lookup, table
-from ventura.llm.hashing import ShingleHasher
+from ventura.llm.hashing import STEP, ShingleHasher, mix
 
 SKETCH_BITS, CHUNK, POSITION_BLOCK, BLOCK_ROWS = 20, 1024, 8, 64
+#: Least threshold at which sets are cut into parts, and how far the sizes of one level may be apart.
+PARTS_FROM, LEVEL_RATIO = Fraction(3, 4), Fraction(7, 5)
 #: A list or group of more than 1 in HOT_SHARE of all rows (and HOT_ROWS) is dealt out over several tasks; there are fewer than
 #: HOT_SHARE of these at every size, so they are broadcast.
 HOT_SHARE, HOT_ROWS = 4096, 256
@@ -52,6 +58,8 @@ BITMAP = 1024
 SHORT = 4
 SHORT_BITS = tuple(f"s{k}" for k in range(SHORT))
 SHORT_DIFFER = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SHORT_BITS)
+#: Of a pair of nodes x and y, the ids and roots in order.
+ENDS = ("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b", "least(x.root, y.root) AS ra", "greatest(x.root, y.root) AS rb")
 #: Fewest entries of a list that has a leader of each kind; the one of a shorter list counts as both.
 LED_ROWS = 8
 #: Blocks of one list that meet in one task.
@@ -68,6 +76,52 @@ def size_classes(t: Fraction) -> np.ndarray:
     return np.array(least, np.int64)
 
 
+class Parts:
+    """Prefixes by parts of sets: tokens that two sets of Jaccard ``t`` or more share, unless they are equal."""
+
+    def __init__(self, t: Fraction):
+        self.t, self.least, self.held = t, size_classes(t), {}
+        # classes of a level; neighbouring ones differ by 1/t
+        self.step = 1
+        while t < 1 and t ** (self.step + 1) * LEVEL_RATIO >= 1:
+            self.step += 1
+
+    def most(self, size: int) -> int:
+        """Most shingles that a set of ``size`` and a linked one of as many or more differ in."""
+        return size * (self.t.denominator - self.t.numerator) // self.t.numerator
+
+    def level(self, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Most shingles that linked sets differ in if the smaller one is of level ``k``; first hash of each part but the first; seeds of the parts."""
+        if k not in self.held:
+            d = self.most(int(self.least[(k + 1) * self.step]) - 1)
+            # spare parts, so that empty ones and the smallest stay behind the prefix
+            m = d + 1 + max(1, d // 16)
+            edges = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
+            with np.errstate(over="ignore"):
+                self.held[k] = d, edges, mix((np.arange(m, dtype=np.uint64) + np.uint64(k << 40)) * STEP)
+        return self.held[k]
+
+    def tokens(self, s: np.ndarray) -> list[np.ndarray]:
+        """Prefix of the set's own level and of the one below, where it can link with sets of that; ``s`` is sorted."""
+        d = self.most(len(s))
+        if not d:
+            return [s[:0], s[:0]]
+        sc = int(np.searchsorted(self.least, len(s), side="right")) - 1
+        upto = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(s, out=upto[1:])
+        out = []
+        for k in (sc // self.step, sc // self.step - 1 if sc % self.step == 0 else -1):
+            far, edges, seeds = self.level(k) if k >= 0 else (0, s[:0], s[:0])
+            if not far:  # sets that link with equal ones alone
+                out.append(s[:0])
+                continue
+            ends = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
+            first = np.argsort(ends[:-1] - ends[1:], kind="stable")[: min(d, far) + 1]
+            with np.errstate(over="ignore"):
+                out.append(mix(upto[ends[first + 1]] - upto[ends[first]] + seeds[first]))
+        return out
+
+
 def bitmap_bits(least: int) -> int:
     """Bits for the sets of a size class of at least ``least`` shingles."""
     return max(BITMAP, 1 << (4 * least - 1).bit_length())
@@ -113,14 +167,14 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
     return np.clip(np.floor(np.log2((total + 1) / (total.mean() + 1)) * 2), 0, 60).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataFrame:
-    """id, size and size class of the set, its 128-bit key, its prefix in the global order and its parity bitmap."""
+def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray | None) -> DataFrame:
+    """id, size and size class of the set, its 128-bit key, its prefixes in the global order (the second one by the level below) and its parity bitmap."""
     least = size_classes(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ShingleHasher(n)
+        own, parts = ShingleHasher(n), Parts(t)
         for batch in batches:
-            sizes, k1, k2, heads, bits, short = [], [], [], [], [], []
+            sizes, k1, k2, heads, below, bits, short = [], [], [], [], [], [], []
             for s in own.sets(batch.column("text").to_pylist()):
                 with np.errstate(over="ignore"):
                     k1.append(s.sum(dtype=np.uint64))
@@ -130,15 +184,20 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, classes: np.ndarray) -> DataF
                 odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.uint64))
                 short.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, SHORT), axis=0))
-                order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                heads.append(s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s)
+                if classes is None:
+                    head, low = parts.tokens(s)
+                else:
+                    order = np.argsort(classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                    head, low = s[order[: len(s) + (-t.numerator * len(s)) // t.denominator + 1]] if len(s) else s, s[:0]
+                heads.append(head)
+                below.append(low)
             size = np.array(sizes, np.int64)
             sc = np.searchsorted(least, size, side="right") - 1 if t < 1 else size
-            made = [batch.column("id"), pa.array(size), pa.array(sc.astype(np.int32)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(bits)]
+            made = [batch.column("id"), pa.array(size), pa.array(sc.astype(np.int32)), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _list_column(heads), _list_column(below), _list_column(bits)]
             made += [pa.array(c) for c in np.array(short, np.uint64).view(np.int64).reshape(-1, SHORT).T.copy()]
-            yield pa.RecordBatch.from_arrays(made, ["id", "size", "sc", "k1", "k2", "prefix", "bits", *SHORT_BITS])
+            yield pa.RecordBatch.from_arrays(made, ["id", "size", "sc", "k1", "k2", "prefix", "below", "bits", *SHORT_BITS])
 
-    return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, bits array<long>, " + ", ".join(f"{c} long" for c in SHORT_BITS))
+    return docs.mapInArrow(run, "id long, size long, sc int, k1 long, k2 long, prefix array<long>, below array<long>, bits array<long>, " + ", ".join(f"{c} long" for c in SHORT_BITS))
 
 
 def picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -223,7 +282,7 @@ class _Join:
     """State of one join: the nodes, their lists, the links and components so far."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, lists: DataFrame, n: int, t: Fraction):
-        self.docs, self.nodes, self.lists, self.n, self.t = docs, nodes, lists, n, t
+        self.docs, self.nodes, self.lists, self.n, self.t, self.parts = docs, nodes, lists, n, t, t >= PARTS_FROM
         self.compared: list[DataFrame] = []
         self.derived: list[DataFrame] = []
         self.roots: DataFrame | None = None
@@ -236,10 +295,12 @@ class _Join:
     def may_link(self, a: str, b: str) -> str:
         """Size and positional filters of two entries of a list."""
         num, den = self.t.numerator, self.t.denominator
-        return (
-            f"least({a}.size, {b}.size) * {den} >= greatest({a}.size, {b}.size) * {num}"
-            f" AND least({a}.size - {a}.pos, {b}.size - {b}.pos) * {num + den} >= ({a}.size + {b}.size) * {num}"
-        )
+        # of the first token that sets share, those before it are parts that differ, or shingles of one set alone
+        if self.parts:
+            first = self.linked(f"greatest({a}.pos, {b}.pos)", f"{a}.size + {b}.size")
+        else:
+            first = f"least({a}.size - {a}.pos, {b}.size - {b}.pos) * {num + den} >= ({a}.size + {b}.size) * {num}"
+        return f"least({a}.size, {b}.size) * {den} >= greatest({a}.size, {b}.size) * {num} AND {first}"
 
     def leader_pairs(self) -> DataFrame:
         """Each node with two leaders: of the central and of the random leaders of its lists, the one it shares most lists with."""
@@ -269,48 +330,92 @@ class _Join:
         free(pairs, ids, own)
         return made
 
-    def reference(self) -> DataFrame:
-        """Per node the leader that its difference is known from: itself if it has followers, else the first it was compared with."""
-        c = self.compared[0].filter("delta IS NOT NULL")
+    def reference(self, hubs: DataFrame) -> DataFrame:
+        """Per node the hub that its difference is known from: itself if it has followers, else the one it was compared with."""
+        c = hubs.filter("delta IS NOT NULL")
         one = c.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct((F.col("a") != F.col("b")).alias("other"), "b")).alias("first")).select("a", F.col("first.b").alias("b"))
-        return c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.first("size_a").alias("size"), F.count("*").alias("n")).filter("n = 1").select(F.col("a").alias("id"), "ref", "delta", "size")
+        found = c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.first("size_a").alias("size"), F.first("size_b").alias("lead"), F.count("*").alias("n")).filter("n = 1")
+        return found.select(F.col("a").alias("id"), "ref", "delta", "size", "lead")
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (id and further columns) with the root of the id's component."""
+        return rows.join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def mixed(self, p: DataFrame, by: str) -> DataFrame:
+        """Lists of ``p`` in which the column ``by`` has several values, with the most frequent one: token, salt, main."""
+        most = F.max(F.struct("size", by))[by].alias("main")
+        tokens = p.groupBy("token", by).agg(F.count("*").alias("size"), F.max("salts").alias("salts")).groupBy("token").agg(most, F.count("*").alias("several"), F.max("salts").alias("salts"))
+        return tokens.filter("several > 1").select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def hub_pairs(self) -> DataFrame:
+        """Each node of a list of LED_ROWS and more with several components, with the root of the one that is largest in most of its lists."""
+        p = self.lists.filter(F.col("n") >= LED_ROWS).join(self.rooted(self.nodes.select("id")).hint("merge"), "id")
+        met = p.select("id", "token", "salt").join(self.mixed(p, "root").hint("merge"), ["token", "salt"]).groupBy("id", "main").agg(F.count("*").alias("n"))
+        best = met.groupBy("id").agg(F.max(F.struct("n", "main"))["main"].alias("b"))
+        return cut(best.select(F.col("id").alias("a"), "b").filter("a <> b"), "hubs")
+
+    def close_differences(self, refs: DataFrame) -> DataFrame:
+        """Pairs of different components and one hub whose differences from it may have enough in common: a, b, their roots, the hub and a slack.
+
+        The sets differ in |dx| + |dy| - 2|dx & dy| shingles, so a link needs a least number of common ones, as one of the two
+        isn't linked with the hub. That is a prefix filter: shingles that few of the hub's followers differ in come first, and those of
+        one follower alone make no list.
+        """
+        num, den = self.t.numerator, self.t.denominator
+        r = self.rooted(refs.withColumn("far", F.size("delta"))).withColumn("near", F.expr(self.linked("far", "size + lead")))
+        r = r.join(r.filter("NOT near").select("ref").distinct().hint("merge"), "ref", "left_semi").withColumn("most", F.expr(f"size * {den - num} div {num}"))
+        # fewest common shingles with any node that can link: of a node linked with the hub, with those that are not
+        least = F.expr(f"IF(near, CAST(floor((far * {num + den} - (size - lead) * {den - num}) / {2 * (num + den)}) AS LONG) + 1, 1)")
+        r = r.withColumn("low", F.col("far") - F.greatest(F.col("far") - F.expr("most div 2"), least)).withColumn("high", F.col("far") - F.greatest(F.col("far") - F.col("most"), least))
+        r = cut(r.select("ref", "id", "size", "far", "near", "root", "low", "high", "delta"), "followers")
+        each = r.select("ref", "id", F.explode("delta").alias("token"))
+        shared = each.groupBy("ref", "token").agg(F.count("*").alias("n")).filter("n > 1")
+        own = Window.partitionBy("id")
+        at = each.join(shared.hint("merge"), ["ref", "token"]).select("id", "token", F.row_number().over(own.orderBy("n", "token")).alias("k"), F.count("*").over(own).alias("held"))
+        at = at.join(r.drop("delta").hint("merge"), "id").withColumn("pos", F.col("far") - F.col("held") + F.col("k") - 1).filter("pos <= high").drop("k", "held", "high")
+        at = cut(at, "shared")
+        meet = (
+            "x.ref = y.ref AND x.token = y.token AND x.root <> y.root AND NOT (x.near AND y.near) AND struct(y.far, y.id) < struct(x.far, x.id)"
+            f" AND {self.linked('x.far + y.far - 2 * least(x.far - x.pos, y.far - y.pos)', 'x.size + y.size')}"
+        )
+        met = at.alias("x").join(at.filter("pos <= low").alias("y").hint("merge"), F.expr(meet))
+        made = met.selectExpr(*ENDS, "x.ref", "0D AS slack").distinct()
+        made = cut(made.join(self.seen().hint("merge"), ["a", "b"], "left_anti"), "close")
+        free(r, at)
+        return made
 
     def plausible(self, refs: DataFrame) -> DataFrame:
-        """Pairs of different components that share a list and pass all filters: a, b, their roots, their common leader and how much they seem to differ."""
+        """Pairs of different components and hubs that share a list and pass all filters: a, b, their roots, no hub and how much they seem to differ."""
         num, den = self.t.numerator, self.t.denominator
-        state = self.nodes.select("id", *SHORT_BITS).join(self.roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(refs.select("id", "ref", F.size("delta").alias("far")).hint("merge"), "id", "left")
-        state = cut(state.withColumn("root", F.coalesce("root", "id")), "state")
+        state = self.rooted(self.nodes.select("id", *SHORT_BITS)).join(refs.select("id", "ref").hint("merge"), "id", "left")
+        # entries of one kind don't meet: those of one hub do by their differences, those of one component need not
+        state = cut(state.withColumn("kind", F.struct(F.col("ref").isNotNull().alias("led"), F.coalesce("ref", "root").alias("by"))), "state")
         p = self.lists.join(state.hint("merge"), "id")
-        rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "far", *SHORT_BITS)).alias("rows")
-        whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows, F.min("root").alias("main"), F.max("root").alias("last")).filter("main <> last")
-        whole = whole.select(F.col("rows").alias("xs"), F.col("rows").alias("ys"), F.lit(True).alias("own"))
+        rows = F.collect_list(F.struct("id", "sc", F.col("size").cast("int").alias("size"), "pos", "root", "ref", "kind", *SHORT_BITS)).alias("rows")
+        whole = p.filter(F.col("n") <= BLOCK_ROWS).groupBy("token").agg(rows, F.mode("kind", True).alias("main"), F.min("kind").alias("least"), F.max("kind").alias("last")).filter("least <> last")
+        whole = whole.select(F.expr("filter(rows, r -> r.kind <> main)").alias("xs"), F.expr("filter(rows, r -> r.kind = main)").alias("mains"))
+        whole = whole.select("xs", F.inline(F.array(F.struct(F.col("xs").alias("ys"), F.lit(True).alias("own")), F.struct(F.col("mains").alias("ys"), F.lit(False).alias("own")))))
         large = p.filter(F.col("n") > BLOCK_ROWS)
-        tokens = large.groupBy("token").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.max("salts").alias("salts")).filter("main <> last")
-        large = large.drop("salts").join(tokens.select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).hint("merge"), ["token", "salt"])
+        large = large.join(self.mixed(large, "kind").hint("merge"), ["token", "salt"])
         deal = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
-        blocks = large.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("root") == F.col("main")).alias("main")).agg(
-            rows, F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most")
+        blocks = large.groupBy("token", "sc", F.floor(F.col("pos") / POSITION_BLOCK).alias("pb"), deal.alias("deal"), (F.col("kind") == F.col("main")).alias("main")).agg(
+            rows, F.max("n").alias("n"), F.min("size").alias("least"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("size").alias("most"), F.min("pos").alias("first")
         )
         blocks = cut(blocks, "blocks")
         stripes = F.ceil(F.col("n") / (BLOCK_ROWS * STRIPE)).cast("int")
         x = blocks.withColumn("stripe", F.pmod(F.xxhash64("deal"), stripes).cast("int")).alias("x")
         y = blocks.select("*", F.explode(F.sequence(F.lit(0), stripes - 1)).alias("stripe")).select("*", F.explode(F.array("sc", F.col("sc") - 1)).alias("meets")).alias("y")
+        left = self.linked("greatest(x.first, y.first)", "x.most + y.most") if self.parts else f"least(x.rest, y.rest) * {num + den} >= (x.least + y.least) * {num}"
         meet = (
             "x.token = y.token AND x.sc = y.meets AND x.stripe = y.stripe AND NOT (x.main AND y.main)"
             " AND (x.sc <> y.sc OR struct(x.pb, x.deal, x.main) <= struct(y.pb, y.deal, y.main))"
-            f" AND least(x.rest, y.rest) * {num + den} >= (x.least + y.least) * {num}"
-            f" AND x.least * {num} <= y.most * {den} AND y.least * {num} <= x.most * {den}"
+            f" AND {left} AND x.least * {num} <= y.most * {den} AND y.least * {num} <= x.most * {den}"
         )
         same = F.expr("x.sc = y.sc AND x.pb = y.pb AND x.deal = y.deal AND x.main = y.main")
         met = whole.unionByName(x.join(y.hint("merge"), F.expr(meet)).select(F.col("x.rows").alias("xs"), F.col("y.rows").alias("ys"), same.alias("own")))
         pairs = met.select("xs", "own", F.explode("ys").alias("y")).select(F.explode("xs").alias("x"), "y", "own").filter("NOT own OR x.id < y.id")
-        apart = "coalesce(x.ref = y.ref AND NOT " + self.linked("abs(x.far - y.far)", "x.size + y.size") + ", false)"
-        differ = SHORT_DIFFER
-        pairs = pairs.filter(F.expr(f"x.root <> y.root AND {self.may_link('x', 'y')} AND NOT {apart}")).filter(F.expr(self.linked(differ, "x.size + y.size")))
-        pairs = pairs.select(
-            F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.expr("least(x.root, y.root)").alias("ra"), F.expr("greatest(x.root, y.root)").alias("rb"),
-            F.expr("CASE WHEN x.ref = y.ref THEN x.ref END").alias("ref"), F.expr(f"({differ}) / (x.size + y.size)").alias("slack"),
-        )
+        pairs = pairs.filter(F.expr(f"x.root <> y.root AND x.kind <> y.kind AND {self.may_link('x', 'y')}")).filter(F.expr(self.linked(SHORT_DIFFER, "x.size + y.size")))
+        pairs = pairs.selectExpr(*ENDS, "CAST(NULL AS LONG) AS ref", f"({SHORT_DIFFER}) / (x.size + y.size) AS slack")
         drawn = cut(pairs.distinct().join(self.seen().hint("merge"), ["a", "b"], "left_anti"), "drawn")
         free(state, blocks)
         return self.screened(drawn)
@@ -351,8 +456,11 @@ class _Join:
         self.compared.append(differences(self.docs, pairs, self.n, keep))
         free(pairs)
         self.join_links(extra)
-        refs = cut(self.reference(), "references")
-        pairs = self.plausible(refs)
+        hubs = self.hub_pairs()
+        self.compared.append(differences(self.docs, hubs, self.n, 2 * keep))
+        refs = cut(self.reference(self.compared[1]), "references")
+        pairs = self.plausible(refs).unionByName(self.close_differences(refs))
+        free(hubs)
         if pairs.count() > self.nodes.count():
             self.compare(pairs.groupBy("ra", "rb").agg(F.min(F.struct("slack", "a", "b", "ref")).alias("p")).select("p.a", "p.b", "p.ref"), refs)
             self.join_links(extra)
@@ -389,16 +497,17 @@ def link_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id IS NOT NULL")
-    heads = cut(prefixes(rows, n, threshold, frequency_classes(named, n)), "prefixes")
+    heads = cut(prefixes(rows, n, threshold, None if threshold >= PARTS_FROM else frequency_classes(named, n)), "prefixes")
     found = heads.withColumn("key", F.struct("k1", "k2", "size"))
     filled = found.filter("size > 0 AND id IS NOT NULL")
     sets = filled.groupBy("key").agg(F.min("id").alias("node"))
-    own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "bits", *SHORT_BITS), "nodes")
+    own = cut(filled.join(sets.withColumnRenamed("node", "id").hint("merge"), ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("id", "size", "sc", "prefix", "below", "bits", *SHORT_BITS), "nodes")
     members = cut(lookup(found.select("id", "size", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")), "key", sets, F.col("id")).select("id", "size", "node"), "members")
     free(heads)
-    postings = own.select("id", "size", "sc", F.posexplode("prefix").alias("pos", "token"))
+    postings = own.select("id", "size", "sc", F.size("prefix").alias("head"), F.posexplode(F.concat("prefix", "below")).alias("at", "token"))
+    postings = postings.select("id", "size", "sc", F.expr("IF(at < head, at, at - head)").alias("pos"), "token")
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
-    total = own.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = own.agg(F.sum(F.size("prefix") + F.size("below"))).first()[0] or 0
     most = max(HOT_ROWS, total // HOT_SHARE)
     salts = F.ceil(F.col("n") / F.lit(most)).cast("int")
     hot = shared.filter(F.col("n") > most).select("token", salts.alias("salts"))
