@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from tests.llm.helpers import AWKWARD, DIR, frame, input_dir, labels
@@ -80,6 +82,25 @@ def test_toxicity_deobfuscation(fitted):
     assert own.words("plain words, stay as-is.") >= {"plain", "words", "stay"}
 
 
+def test_trigrams_of_many_words_in_little_memory():
+    """Counts by one scan per word, and memory that does not follow a batch's distinct words."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(60)) for _ in range(3000)] + [None, "", "Don't (stop) it,", "it it 4"]
+    want: Counter[int] = Counter()
+    for token in (t for text in texts for t in (text or "").lower().split()):
+        w = token.strip(toxicity._EDGES)
+        if re.fullmatch("[a-z]+", w):
+            codes = [0, 0, *(ord(c) - 96 for c in w), 0]
+            want.update(a * 729 + b * 27 + c for a, b, c in zip(codes, codes[1:], codes[2:]))
+    batches = [pd.DataFrame({"text": texts[k : k + 1600]}) for k in (0, 1600)]
+    tracemalloc.start()
+    made = pd.concat(toxicity.trigrams(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.groupby("code")["n"].sum().to_dict() == want
+    assert peak < 70e6
+
+
 def test_toxicity_spaced_sentences_and_fragments(fitted):
     (chars, model), _, _ = fitted
     own = toxicity.Restorer(chars, {"stupid", "idiot"})

@@ -38,6 +38,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs of a letter for another character, of leaving out a letter of a run of three or more or of a pair, any character, a separator.
 SUBSTITUTE, RUN, PAIR, DROP, SEPARATOR = 0.5, 0.3, 6.0, 9.0, 0.3
 CACHED = 400_000
+#: Distinct words whose trigrams are counted at once.
+COUNTED = 50_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _LETTER, _SIGN = re.compile("[a-z]"), re.compile("[0-9@$!+|(€]")
 _RUN = re.compile(r"([a-z])\1\1|[a-z][.\-_*~'][a-z][.\-_*~']")
@@ -209,33 +211,41 @@ class Restorer:
         return out
 
 
+def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Trigram counts of one task's texts: code, n. Words are counted across batches, and at most COUNTED and one text's are held."""
+    total = np.zeros(27**3, np.int64)
+    counts: Counter[str] = Counter()
+
+    def add() -> None:
+        known = [(w, n) for w, n in ((w.strip(_EDGES), n) for w, n in counts.items()) if _PLAIN.fullmatch(w)]
+        counts.clear()
+        if not known:
+            return
+        # two edges before each word, one after: every trigram of the joined codes that begins inside a word counts
+        flat = np.frombuffer(("".join(f"``{w}`" for w, _ in known)).encode(), np.uint8).astype(np.int64) - 96
+        size = np.array([len(w) for w, _ in known])
+        weight = np.repeat([n for _, n in known], size + 3)
+        last = np.cumsum(size + 3) - 1
+        code = flat[:-2] * 729 + flat[1:-1] * 27 + flat[2:]
+        ok = np.ones(len(flat), bool)
+        ok[last] = False
+        ok[last - 1] = False
+        np.add(total, np.bincount(code[ok[:-2]], weights=weight[:-2][ok[:-2]], minlength=27**3).astype(np.int64), out=total)
+
+    for batch in batches:
+        for text in batch["text"]:
+            if text:
+                counts.update(text.lower().split())
+                if len(counts) > COUNTED:
+                    add()
+    add()
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"code": at, "n": total[at]})
+
+
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts over all words of a-z, summed by Spark; at most 27 cubed rows reach the driver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(27**3, np.int64)
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch["text"]:
-                if text:
-                    counts.update(text.lower().split())
-            known = [(w, n) for w, n in ((w.strip(_EDGES), n) for w, n in counts.items()) if _PLAIN.fullmatch(w)]
-            if not known:
-                continue
-            # two edges before each word, one after: every trigram of the joined codes that begins inside a word counts
-            flat = np.frombuffer(("".join(f"``{w}`" for w, _ in known)).encode(), np.uint8).astype(np.int64) - 96
-            size = np.array([len(w) for w, _ in known])
-            weight = np.repeat([n for _, n in known], size + 3)
-            last = np.cumsum(size + 3) - 1
-            code = flat[:-2] * 729 + flat[1:-1] * 27 + flat[2:]
-            ok = np.ones(len(flat), bool)
-            ok[last] = False
-            ok[last - 1] = False
-            total += np.bincount(code[ok[:-2]], weights=weight[:-2][ok[:-2]], minlength=27**3).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"code": at, "n": total[at]})
-
-    made = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    made = docs.select(F.col(text_col).alias("text")).mapInPandas(trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(27**3, np.int64)
     for r in made.collect():
         out[r["code"]] = r["n"]
