@@ -214,3 +214,21 @@ def test_pairs_of_a_family_grow_with_it(spark):
     """Near copies of which many don't link with any other: four times as many make few times as many rows."""
     few, many = (most_paired(spark, near(5, 0, count, 400, 20)) for count in (150, 600))
     assert many <= 8 * few
+
+
+def test_hubs_that_follow_a_larger_one_pass_their_nodes_on(spark):
+    """A node whose component of most lists has a hub itself, of more nodes, follows that one."""
+    roots = spark.createDataFrame([(k, 1) for k in range(2, 7)] + [(10, 9), (11, 9)], "node long, root long")
+    members = {100: [9, 1, 2, 3, 4, 30, 31, 32], 101: [9, 10, 11, 20, 21], 102: [9, 1, 2, 30]}
+    lists = spark.createDataFrame([(t, i, 0, 8, 1) for t, ids in members.items() for i in ids], "token long, id long, salt int, n long, salts int")
+    join = J._Join(None, lists.select("id").distinct(), lists, 3, Fraction(9, 10))
+    join.roots = roots
+    assert {(r["a"], r["b"]) for r in join.hub_pairs().collect()} == {(k, 1) for k in (2, 3, 4, 9, 10, 11, 20, 21, 30, 31, 32)}
+
+
+def test_reference_of_a_hub_with_a_larger_hub(spark):
+    """A hub that was compared with a larger one is known by its difference from that, one of none by itself."""
+    rows = [(1, 1, []), (2, 1, [5]), (3, 1, [6]), (9, 1, [7, 8]), (9, 9, []), (20, 9, [4]), (40, 40, []), (41, 40, [3])]
+    hubs = spark.createDataFrame([(a, b, 10, 10, 9, d) for a, b, d in rows], "a long, b long, size_a long, size_b long, common long, delta array<long>")
+    refs = J._Join(None, None, None, 3, Fraction(9, 10)).reference(hubs)
+    assert {(r["id"], r["ref"], len(r["delta"])) for r in refs.collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 1), (9, 1, 2), (20, 9, 1), (40, 40, 0), (41, 40, 1)}

@@ -331,9 +331,10 @@ class _Join:
         return made
 
     def reference(self, hubs: DataFrame) -> DataFrame:
-        """Per node the hub that its difference is known from: itself if it has followers, else the one it was compared with."""
+        """Per node the hub that its difference is known from: of itself, if it has followers, and the one it was compared with, that of more followers."""
         c = hubs.filter("delta IS NOT NULL")
-        one = c.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct((F.col("a") != F.col("b")).alias("other"), "b")).alias("first")).select("a", F.col("first.b").alias("b"))
+        counted = lookup(c.select("a", "b"), "b", c.groupBy("b").agg(F.count("*").alias("n")), F.col("a"))
+        one = counted.groupBy("a").agg(F.max(F.struct("n", (F.col("a") == F.col("b")).alias("own"), "b"))["b"].alias("b"))
         found = c.join(one.hint("merge"), ["a", "b"]).groupBy("a").agg(F.first("b").alias("ref"), F.first("delta").alias("delta"), F.first("size_a").alias("size"), F.first("size_b").alias("lead"), F.count("*").alias("n")).filter("n = 1")
         return found.select(F.col("a").alias("id"), "ref", "delta", "size", "lead")
 
@@ -348,11 +349,19 @@ class _Join:
         return tokens.filter("several > 1").select("token", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def hub_pairs(self) -> DataFrame:
-        """Each node of a list of LED_ROWS and more with several components, with the root of the one that is largest in most of its lists."""
+        """Each node of a list of LED_ROWS and more with several components, with the root of the one that is largest in most of its lists, its hub.
+
+        If that root has a hub of more followers itself, the node follows this one: nodes of two hubs would meet in their lists.
+        """
         p = self.lists.filter(F.col("n") >= LED_ROWS).join(self.rooted(self.nodes.select("id")).hint("merge"), "id")
         met = p.select("id", "token", "salt").join(self.mixed(p, "root").hint("merge"), ["token", "salt"]).groupBy("id", "main").agg(F.count("*").alias("n"))
-        best = met.groupBy("id").agg(F.max(F.struct("n", "main"))["main"].alias("b"))
-        return cut(best.select(F.col("id").alias("a"), "b").filter("a <> b"), "hubs")
+        best = cut(met.groupBy("id").agg(F.max(F.struct("n", "main"))["main"].alias("b")).filter("id <> b"), "best")
+        groups = best.groupBy("b").agg(F.count("*").alias("n"))
+        above = lookup(groups.join(best.select(F.col("id").alias("b"), F.col("b").alias("up")).hint("merge"), "b"), "up", groups.select(F.col("b").alias("up"), F.col("n").alias("more")), F.col("b"))
+        above = above.filter("struct(more, up) > struct(n, b)").select("b", "up")
+        made = cut(lookup(best, "b", above, F.col("id")).select(F.col("id").alias("a"), F.coalesce("up", "b").alias("b")).filter("a <> b"), "hubs")
+        free(best)
+        return made
 
     def close_differences(self, refs: DataFrame) -> DataFrame:
         """Pairs of different components and one hub whose differences from it may have enough in common: a, b, their roots, the hub and a slack.
@@ -363,7 +372,8 @@ class _Join:
         """
         num, den = self.t.numerator, self.t.denominator
         r = self.rooted(refs.withColumn("far", F.size("delta"))).withColumn("near", F.expr(self.linked("far", "size + lead")))
-        r = r.join(r.filter("NOT near").select("ref").distinct().hint("merge"), "ref", "left_semi").withColumn("most", F.expr(f"size * {den - num} div {num}"))
+        apart = r.filter("NOT near").select("ref").distinct().withColumn("open", F.lit(True))
+        r = lookup(r, "ref", apart, F.col("id")).filter("open").drop("open").withColumn("most", F.expr(f"size * {den - num} div {num}"))
         # fewest common shingles with any node that can link: of a node linked with the hub, with those that are not
         least = F.expr(f"IF(near, CAST(floor((far * {num + den} - (size - lead) * {den - num}) / {2 * (num + den)}) AS LONG) + 1, 1)")
         r = r.withColumn("low", F.col("far") - F.greatest(F.col("far") - F.expr("most div 2"), least)).withColumn("high", F.col("far") - F.greatest(F.col("far") - F.col("most"), least))
@@ -457,7 +467,8 @@ class _Join:
         free(pairs)
         self.join_links(extra)
         hubs = self.hub_pairs()
-        self.compared.append(differences(self.docs, hubs, self.n, 2 * keep))
+        # differences of any size: a node without one would meet all its hub's followers in their lists
+        self.compared.append(differences(self.docs, hubs, self.n, Fraction(1)))
         refs = cut(self.reference(self.compared[1]), "references")
         pairs = self.plausible(refs).unionByName(self.close_differences(refs))
         free(hubs)
